@@ -94,7 +94,7 @@ def nce(target: np.ndarray, one: np.ndarray, two: np.ndarray, start: np.ndarray,
     p, rng = initial(start), np.random.default_rng(seed + 1)
     chance = np.exp(start - np.logaddexp.reduce(start))
     noise_log = (np.log(chance) + np.log(NOISE)).astype(np.float32)
-    total = {k: np.full_like(v, 0.1) for k, v in p.items()}
+    total = {k: np.full_like(v, 1e-6) for k, v in p.items()}
     n = len(target)
     for step in range(max(-(-n // BATCH), LEAST_STEPS if n else 0)):
         a = step * BATCH % max(n - BATCH + 1, 1) if step * BATCH >= n else step * BATCH
