@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from seqloom.llm.shared import chunks, utf8
 
@@ -382,6 +383,7 @@ def store_payload(df: DataFrame, text: str, media: str = "media") -> DataFrame:
 
 
 ABOUT = "struct<width:int,height:int,thumb_ahash:string,thumb_dhash:string,error:string>"
+STORED = "struct<n_bytes:bigint,payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,media_bytes:bigint,media_sha256:string>"
 
 
 def describe(df: DataFrame, media: str = "media", payload: bool = False, drop: bool = True) -> DataFrame:
@@ -392,10 +394,10 @@ def describe(df: DataFrame, media: str = "media", payload: bool = False, drop: b
     column out. Clashing columns ``jpeg`` and ``stored`` are replaced."""
     keep = [c for c in df.columns if c not in ("jpeg", "stored") and (c != media or not drop)]
     more = {"jpeg": pa.struct([("width", pa.int32()), ("height", pa.int32()), ("thumb_ahash", pa.string()), ("thumb_dhash", pa.string()), ("error", pa.string())])}
-    kinds = df.select(*keep).schema.add("jpeg", ABOUT)
+    kinds = StructType(df.select(*keep).schema.fields + StructType.fromDDL(f"jpeg {ABOUT}").fields)
     if payload:
         more["stored"] = pa.struct([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())])
-        kinds = kinds.add("stored", "struct<n_bytes:bigint,payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,media_bytes:bigint,media_sha256:string>")
+        kinds = StructType(kinds.fields + StructType.fromDDL(f"stored {STORED}").fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
