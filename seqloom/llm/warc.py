@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import in_pieces, new_path, utf8
+from seqloom.llm.shared import in_pieces, materialise, new_path, utf8
 
 RECORDS = 3_000
 DATE = "2024-01-01T00:00:00Z"
@@ -170,7 +170,7 @@ def digest(pages: DataFrame) -> DataFrame:
     """The columns of ``op7_warc``: pages written to an archive in the shared folder, read back and assembled."""
     path = new_path(pages.sparkSession, "warc")
     write_pages(pages, path)
-    r = assemble(read(pages.sparkSession, path, payload=False))
+    r = assemble(materialise(read(pages.sparkSession, path, payload=False), "records"))
     return r.select(
         _page(F.col("main.record_id")).cast("long").alias("page_id"), "main.payload_bytes", "main.payload_digest", F.col("main.type").alias("record_type"),
         F.when(F.col("main.refers_to").isNotNull(), _page(F.col("main.refers_to")).cast("long")).alias("refers_to"),
