@@ -206,7 +206,7 @@ def test_gam_learns_an_interaction():
 def test_warc(spark):
     pages = spark.createDataFrame([(1, "http://a/ \r\nx", "<p>\r\nWARC/1.1\r\n</p>"), (2, None, None), (3, "u", ""), (4, "http://b", "<p>\r\nWARC/1.1\r\n</p>"), (None, "n", "n")], "page_id long, url string, html string")
     got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to, r.n_requests, r.n_metadata) for r in warc.digest(pages).collect()}
-    assert got == {1: (21, "response", None, 1, 1), 4: (21, "revisit", 1, 1, 1), 2: (0, "response", None, 1, 1), 3: (0, "revisit", 2, 1, 1)}
+    assert got == {1: (19, "response", None, 1, 1), 4: (19, "revisit", 1, 1, 1), 2: (0, "response", None, 1, 1), 3: (0, "revisit", 2, 1, 1)}
     assert warc.digest(pages.limit(0)).count() == 0
 
 
