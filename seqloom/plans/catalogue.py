@@ -258,7 +258,7 @@ def _(spark, sf):
 
 
 @query("ag08_severity", """WITH c AS (SELECT user_id, count(*) FILTER (WHERE value > 300) AS critical, count(*) FILTER (WHERE value > 200 AND value <= 300) AS error, count(*) FILTER (WHERE value > 100 AND value <= 200) AS warning, count(*) FILTER (WHERE value <= 100) AS info FROM events GROUP BY 1)
-SELECT *, round(greatest(0, 1 - (0.5 * critical + 0.2 * error + 0.05 * warning + 0.01 * info)), 6) AS score, critical = 0 AND error = 0 AS valid, critical = 0 AS usable FROM c""")
+SELECT *, CAST(round(greatest(0, 1 - (0.5 * critical + 0.2 * error + 0.05 * warning + 0.01 * info)), 6) AS DOUBLE) AS score, critical = 0 AND error = 0 AS valid, critical = 0 AS usable FROM c""")
 def _(spark, sf):
     kind = F.when(F.col("value") > 300, "critical").when(F.col("value") > 200, "error").when(F.col("value") > 100, "warning").otherwise("info")
     return rnd(st.severity_score(tb(spark, sf, "events"), "user_id", kind), "score")
