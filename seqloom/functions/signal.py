@@ -55,3 +55,19 @@ def flags(text: str) -> Column:
     """Letters and a signed number after them, as a map in lower case; the last of repeated letters counts."""
     pairs = f"transform(regexp_extract_all({text}, '[A-Za-z]+[+-]?[0-9]+', 0), x -> struct(lower(regexp_extract(x, '^[A-Za-z]+', 0)) AS k, CAST(regexp_extract(x, '[+-]?[0-9]+$', 0) AS INT) AS v))"
     return F.expr(f"map_from_entries(aggregate({pairs}, CAST(array() AS ARRAY<STRUCT<k: STRING, v: INT>>), (a, x) -> concat(filter(a, y -> y.k <> x.k), array(x))))")
+
+
+def magnitudes(values: str, n: int, keep: int) -> Column:
+    """Magnitudes of the first ``keep`` terms of the discrete Fourier transform of n values, by definition."""
+    part = lambda f: f"aggregate(sequence(0, {n - 1}), 0D, (s, j) -> s + {values}[j] * {f}(2 * pi() * k * j / {n}))"
+    return F.expr(f"transform(sequence(0, {keep - 1}), k -> sqrt(power({part('cos')}, 2) + power({part('sin')}, 2)))")
+
+
+def padded(values: str, n: int) -> Column:
+    """Exactly n values: cut, or followed by zeros."""
+    return F.expr(f"concat(slice({values}, 1, {n}), array_repeat(0D, greatest(0, {n} - size({values}))))")
+
+
+def tilted(values: str, decibels: float) -> Column:
+    """A log spectrum with a tilt that rises in equal steps to ``decibels`` at the last bin."""
+    return F.expr(f"transform({values}, (x, i) -> x + ln(power(10D, {decibels}D * i / greatest(1, size({values}) - 1) / 20)))")

@@ -118,3 +118,10 @@ def boundaries(df: DataFrame, keys: list[str], order: list[str], state: str) ->
     x = df.withColumn("_at", F.row_number().over(w) - 1).withColumn("_new", (~F.col(state).eqNullSafe(F.lag(state).over(w)) | (F.col("_at") == 0)).cast("long"))
     x = x.withColumn("run", F.sum("_new").over(w) - 1)
     return x.groupBy(*keys, "run", state).agg(F.min("_at").alias("first"), F.max("_at").alias("last"), F.count("*").alias("frames"))
+
+
+def tempo_seconds(changes: DataFrame, keys: list[str], tick: str, bpm: str, ppq: int = 480) -> DataFrame:
+    """Seconds at each tempo change since the first of its sequence; every stretch counts at the tempo that held in it."""
+    w = over(keys, [tick])
+    stretch = (F.col(tick) - F.lag(tick, 1).over(w)) / float(ppq) * 60.0 / F.lag(bpm, 1).over(w)
+    return changes.withColumn("_s", F.coalesce(stretch, F.lit(0.0))).withColumn("seconds", F.sum("_s").over(w)).drop("_s")

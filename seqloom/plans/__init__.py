@@ -1 +1,3 @@
-"""Spark-first analytics over timed, labelled sequence data."""
+"""The catalogue of named queries; importing this package fills it."""
+
+from seqloom.plans import catalogue, fields, models  # noqa: F401

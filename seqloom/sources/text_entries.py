@@ -52,3 +52,8 @@ def wav_header(files: DataFrame, content: str = "content") -> DataFrame:
         "rate": F.when(wav, rate).otherwise(44100), "channels": F.when(wav, channels).otherwise(1), "bits": F.when(wav, bits).otherwise(16),
         "duration_ms": F.when(wav & (per_second > 0), data / per_second * 1000.0).when(wav, 0.0).otherwise(1000.0),
     })
+
+
+def label_format(first_line: Column) -> Column:
+    """The form of a label file by its first line."""
+    return F.when(F.contains(first_line, F.lit("/A:")), "hts").when(F.contains(first_line, F.lit("ms")), "utau").otherwise("extended")
