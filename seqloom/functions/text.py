@@ -6,6 +6,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WHITE = " \t\r\n"
 VOWELS = ("a", "i", "u", "e", "o")
@@ -20,7 +21,7 @@ def encoding(content: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _shift_jis(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else bytes(b).decode("shift_jis", "replace"))
 
