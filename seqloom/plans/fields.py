@@ -27,7 +27,7 @@ def _(spark, sf):
     return x.select("l_orderkey", "l_linenumber", q.alias("start_ms"), F.round(q + F.col("l_extendedprice"), 2).alias("end_ms"), F.round(F.greatest(F.lit(0.0), q - 100 * F.col("l_discount")), 4).alias("effective_start"))
 
 
-@query("prj05_least_durations", """SELECT event_id, value AS vowel_start, greatest(value / 2, value + 30) AS vowel_end, greatest(value / 2, value + 30 + 20) AS consonant_end FROM events""")
+@query("prj05_least_durations", """SELECT event_id, value AS vowel_start, greatest(value / 2, value + 30) AS vowel_end, greatest(value / 2, value + 50) AS consonant_end FROM events""")
 def _(spark, sf):
     v = F.col("value")
     end = F.greatest(v / 2, v + 30)
