@@ -8,11 +8,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _bessel(x: str) -> str:
+    """SQL for the modified Bessel function of order 0, by 40 terms of its series."""
+    return f"aggregate(sequence(1, 40), struct(1D AS t, 1D AS s), (a, k) -> struct(a.t * power({x} / 2 / k, 2) AS t, a.s + a.t * power({x} / 2 / k, 2) AS s), a -> a.s)"
+
+
 def window(kind: str, n: int) -> Column:
     """A window of n points."""
     x = {
         "hann": "0.5 - 0.5 * cos(2 * pi() * i / {m})", "hamming": "0.54 - 0.46 * cos(2 * pi() * i / {m})",
         "blackman": "0.42 - 0.5 * cos(2 * pi() * i / {m}) + 0.08 * cos(4 * pi() * i / {m})",
+        "blackman_harris": "0.35875 - 0.48829 * cos(2 * pi() * i / {m}) + 0.14128 * cos(4 * pi() * i / {m}) - 0.01168 * cos(6 * pi() * i / {m})",
+        "nuttall": "0.355768 - 0.487396 * cos(2 * pi() * i / {m}) + 0.144232 * cos(4 * pi() * i / {m}) - 0.012604 * cos(6 * pi() * i / {m})",
+        "tukey": "CASE WHEN least(i, {m} - i) < {m} / 4.0D THEN 0.5 * (1 - cos(4 * pi() * least(i, {m} - i) / {m})) ELSE 1D END",
+        "kaiser": _bessel("8.6D * sqrt(greatest(0D, 1 - power(2.0D * i / {m} - 1, 2)))") + " / " + _bessel("8.6D"),
         "gaussian": "exp(-0.5 * power((i - {m} / 2.0D) / ({n} / 6.0D), 2))",
     }[kind]
     return F.expr(f"transform(sequence(0, {n - 1}), i -> {x.format(m=n - 1, n=n)})")

@@ -80,3 +80,21 @@ def kmeans_step(points: DataFrame, centroids: DataFrame, point_id: str, features
     dist = F.expr(f"transform(cs, k -> struct(aggregate(zip_with(k.c, {features}, (a, b) -> CAST(a - b AS DOUBLE) * CAST(a - b AS DOUBLE)), 0D, (s, x) -> s + x) AS d, k.cid AS cid))")
     near = points.crossJoin(F.broadcast(model)).withColumn("cid", F.array_min(dist)["cid"])  # the right side is one row
     return near.select(point_id, "cid", features)
+
+
+def kmeans(points: DataFrame, point_id: str, features: str, k: int, steps: int = 20) -> list[list[float]]:
+    """Centroids after at most ``steps`` rounds, from the k rows of smallest id; an empty cluster keeps its centroid.
+
+    Rows without features are left out. Means are sums by cluster and dimension, so only k rows of centroids reach the driver."""
+    held = points.where(F.col(features).isNotNull()).select(point_id, features)
+    centres = [[float(v) for v in r[features]] for r in held.orderBy(point_id).limit(k).collect()]  # k rows
+    for _ in range(steps if centres else 0):
+        model = points.sparkSession.createDataFrame(list(enumerate(centres)), "cid int, c array<double>")
+        near = kmeans_step(held, model, point_id, features).select("cid", F.posexplode(features).alias("j", "x"))
+        now = [list(c) for c in centres]
+        for r in near.groupBy("cid", "j").agg(F.avg("x").alias("m")).collect():  # k rows for each dimension
+            now[r.cid][r.j] = r.m
+        if now == centres:
+            break
+        centres = now
+    return centres

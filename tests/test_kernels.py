@@ -5,7 +5,8 @@ import itertools
 import numpy as np
 import pytest
 
-from seqloom.operators import kernels
+from seqloom.functions import signal
+from seqloom.operators import kernels, statistics
 
 
 def chain(seed, t, n):
@@ -94,3 +95,19 @@ def test_alignment_and_trajectories_run(spark):
     assert sorted((r.state, r["first"], r["last"], r.frames) for r in found) == [(0, 0, 1, 2), (1, 2, 3, 2), (2, 4, 5, 2)]
     states = spark.createDataFrame([(1, 0, [1.0, 0.0, 0.0], [1.0, 1.0, 1.0], 3), (1, 1, [2.0, 0.0, 0.0], [1.0, 1.0, 1.0], 0)], "utt long, s int, mean array<double>, var array<double>, duration int")
     assert [round(r.c[0], 5) for r in kernels.trajectories(states, "utt", "s").orderBy("frame").collect()] == [1.0, 1.0, 1.0]
+
+
+def test_kaiser_window(spark):
+    got = spark.range(1).select(signal.window("kaiser", 32).alias("w")).first().w
+    assert np.allclose(got, np.kaiser(32, 8.6), atol=1e-9)
+
+
+def test_kmeans_follows_direct_rounds(spark):
+    x = np.random.default_rng(3).normal(size=(60, 3)) + np.repeat([[0.0], [4.0], [8.0]], 20, axis=0)
+    df = spark.createDataFrame([*((i, [float(v) for v in p]) for i, p in enumerate(x)), (99, None)], "id long, x array<double>").repartition(3)
+    want = x[:3].copy()
+    for _ in range(6):
+        near = ((x[:, None] - want) ** 2).sum(axis=2).argmin(axis=1)
+        want = np.array([x[near == k].mean(axis=0) if (near == k).any() else want[k] for k in range(3)])
+    assert np.allclose(statistics.kmeans(df, "id", "x", 3, steps=6), want)
+    assert statistics.kmeans(df.where("false"), "id", "x", 3) == []
