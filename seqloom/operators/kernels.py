@@ -173,6 +173,109 @@ def align(frames: DataFrame, keys: list[str], order: str, features: str, means:
     return frames.where(F.col(features).isNotNull()).select(*keys, order, features).groupBy(*keys).applyInArrow(run, schema)
 
 
+def align_within(frames: DataFrame, keys: list[str], order: str, features: str, windows: str, means: np.ndarray, variances: np.ndarray, transition: np.ndarray) -> DataFrame:
+    """(keys, order, state): the likeliest path whose states stay inside their windows.
+
+    ``windows`` is an array of (state, first, last), the same in all rows of a sequence; positions count from 0 and a state without a window
+    may stand anywhere. Where no path from the first state to the last fits, all states are null."""
+    schema = frames.select(*keys, order).schema.add("state", IntegerType())
+    with np.errstate(divide="ignore"):
+        steps = np.log(transition)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        emission = log_density(_matrix(table.column(features).combine_chunks()), means, variances)
+        at = np.arange(len(emission))
+        for w in table.column(windows)[0].as_py() or []:
+            emission[(at < w["first"]) | (at > w["last"]), w["state"]] = -np.inf
+        path, score = viterbi(emission, steps)
+        fits = np.isfinite(score) and path[-1] == len(means) - 1
+        return table.select([*keys, order]).append_column("state", pa.array(path, pa.int32(), mask=np.full(len(path), not fits)))
+
+    return frames.where(F.col(features).isNotNull()).select(*keys, order, features, windows).groupBy(*keys).applyInArrow(run, schema)
+
+
+def chain_counts(x: np.ndarray, weights: np.ndarray, means: np.ndarray, variances: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of one sequence (t, d) under a chain of n states with m Gaussians each: s0 (n, m), s1 and s2 (n, m, d), moves (n, n),
+    and the log likelihood. A sequence that no path fits counts nothing and has the log likelihood -infinity."""
+    n, m, d = means.shape
+    with np.errstate(divide="ignore"):
+        joint = log_density(x, means.reshape(n * m, d), variances.reshape(n * m, d)).reshape(len(x), n, m) + np.log(weights)
+    emission = np.logaddexp.reduce(joint, axis=2)
+    t = len(x)
+    a, b = np.full((t, n), -np.inf), np.full((t, n), -np.inf)
+    a[0, 0], b[-1, n - 1] = emission[0, 0], 0.0
+    for i in range(1, t):
+        a[i] = np.logaddexp.reduce(a[i - 1][:, None] + steps, axis=0) + emission[i]
+    for i in range(t - 2, -1, -1):
+        b[i] = np.logaddexp.reduce(steps + (emission[i + 1] + b[i + 1])[None], axis=1)
+    total = float(a[-1, n - 1])
+    if not np.isfinite(total):
+        return np.zeros((n, m)), np.zeros((n, m, d)), np.zeros((n, m, d)), np.zeros((n, n)), -np.inf
+    shares = np.exp(joint - emission[:, :, None] + (a + b - total)[:, :, None])
+    moves = np.exp(a[:-1, :, None] + steps[None] + (emission[1:] + b[1:])[:, None, :] - total).sum(axis=0) if t > 1 else np.zeros((n, n))
+    return shares.sum(axis=0), np.einsum("tnm,td->nmd", shares, x), np.einsum("tnm,td->nmd", shares, x * x), moves, total
+
+
+def train_chain(
+    frames: DataFrame, keys: list[str], order: str, features: str, weights: np.ndarray, means: np.ndarray, variances: np.ndarray, transition: np.ndarray,
+    steps: int = 20, tolerance: float = 1e-4, patience: int = 2, held_out: int = 0,
+) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[tuple[float, float]]]:
+    """Baum-Welch over all sequences: ((weights, means, variances, transition), [(log likelihood, held-out log likelihood) of each step]).
+
+    Each step is one pass; a task adds up the counts of its sequences and sends one row a number, so only a model's worth of sums comes
+    back. With ``held_out`` = k, a k-th of the sequences, by hash of their keys, only validates; the model of the best validation is
+    returned (else of the best likelihood), and training ends once ``patience`` steps improve it by less than ``tolerance`` of its size.
+    Frames without features are left out; sequences too short to reach the last state count nothing. A component that nothing uses keeps
+    its values; a state without moves keeps its transitions. Without any sequence the model comes back as it was."""
+    n, m, d = means.shape
+    size = n * m * (2 * d + 1) + n * n + 2
+    rows = frames.where(F.col(features).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(features).alias("x")))).alias("f"))
+    held = F.pmod(F.xxhash64(*keys), F.lit(held_out)) == 0 if held_out else F.lit(False)
+    sequences = rows.select(held.alias("held"), F.col("f.x").alias("x")).persist()
+    best, best_value, stale, trace = (weights, means, variances, transition), -np.inf, 0, []
+    try:
+        for _ in range(steps):
+            model = (weights, means, variances, transition)
+
+            def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+                w, mu, var, move = model
+                with np.errstate(divide="ignore"):
+                    logs = np.log(move)
+                sums = np.zeros(size)
+                for batch in batches:
+                    for is_held, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                        s0, s1, s2, moves, ll = chain_counts(np.array(x.as_py(), np.float64), w, mu, var, logs)
+                        if np.isfinite(ll):
+                            sums += np.concatenate([np.zeros(size - 2), [0, ll]]) if is_held else np.concatenate([s0.ravel(), s1.ravel(), s2.ravel(), moves.ravel(), [ll, 0]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int32()), pa.array(sums)], names=["i", "s"])
+
+            sums = np.zeros(size)
+            for r in sequences.mapInArrow(run, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).collect():  # one row for each number of the model
+                sums[r.i] = r.s
+            s0, s1, s2, moves = np.split(sums[:-2], np.cumsum([n * m, n * m * d, n * m * d]))
+            trace.append((float(sums[-2]), float(sums[-1])))
+            value = trace[-1][1 if held_out else 0]
+            gain = np.inf if len(trace) == 1 else (value - best_value) / max(abs(best_value), 1e-12)
+            if value > best_value:
+                best, best_value = model, value
+            stale = stale + 1 if gain < tolerance else 0
+            if stale >= patience or not s0.any():
+                break
+            s0, s1, s2, moves = s0.reshape(n, m), s1.reshape(n, m, d), s2.reshape(n, m, d), moves.reshape(n, n)
+            used = (s0 > 1e-10)[:, :, None]
+            safe = np.where(used, s0[:, :, None], 1)
+            mean = s1 / safe
+            means, variances = np.where(used, mean, means), np.where(used, np.maximum(s2 / safe - mean**2, FLOOR), variances)
+            state = s0.sum(axis=1, keepdims=True)
+            weights = np.where(state > 1e-10, s0 / np.where(state > 1e-10, state, 1), weights)
+            left = moves.sum(axis=1, keepdims=True)
+            transition = np.where(left > 1e-10, moves / np.where(left > 1e-10, left, 1), transition)
+    finally:
+        sequences.unpersist()
+    return best, trace
+
+
 def boundaries(states: DataFrame, keys: list[str], order: str) -> DataFrame:
     """(keys, state, first, last, frames) of the states that a path visits; a left-to-right path visits each once."""
     return states.groupBy(*keys, "state").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("frames"))

@@ -98,3 +98,27 @@ def kmeans(points: DataFrame, point_id: str, features: str, k: int, steps: int =
             break
         centres = now
     return centres
+
+
+def variance_corrected(df: DataFrame, keys: list[str], label: str, dim: str, value: str, targets: DataFrame, target: str = "variance", weight: float = 1.0) -> DataFrame:
+    """df with ``corrected``: each value moved from its sequence's mean by the root of target over present variance, between 0.01 and 2.
+
+    ``targets`` holds a variance for each (label, dim); one row a label and dimension, so its size is that of an inventory. Values without a
+    target, and dimensions that hardly vary, stay; ``weight`` blends from the old value (0) to the corrected one (1)."""
+    x = df.groupBy(*keys, dim).agg(F.avg(value).alias("_mean"), F.var_pop(value).alias("_var"))
+    goal = targets.select(F.col(label).alias("_label"), F.col(dim).alias("_dim"), F.col(target).alias("_target"))
+    y = df.join(x, [*keys, dim], "left").join(goal, (F.col(label) == F.col("_label")) & (F.col(dim) == F.col("_dim")), "left")
+    factor = F.greatest(F.lit(0.01), F.least(F.lit(2.0), F.sqrt(F.col("_target") / F.col("_var"))))
+    moved = F.col("_mean") + factor * (F.col(value) - F.col("_mean"))
+    usable = (F.col("_var") > FLOOR) & (F.col("_target") > FLOOR)
+    return y.withColumn("corrected", F.when(usable, F.col(value) + weight * (moved - F.col(value))).otherwise(F.col(value))).drop("_mean", "_var", "_label", "_dim", "_target")
+
+
+def variance_weights(df: DataFrame, keys: list[str], label: str, dim: str, value: str, targets: DataFrame, target: str = "variance") -> DataFrame:
+    """(keys, label, weight): 1 plus the mean over dimensions of |ln(present / target variance)|, between 0.01 and 2; 1 where no dimension counts."""
+    now = df.groupBy(*keys, dim).agg(F.var_pop(value).alias("_var"))
+    goal = targets.select(F.col(label).alias("_label"), F.col(dim).alias("_dim"), F.col(target).alias("_target"))
+    labels = df.select(*keys, label).distinct()
+    y = labels.join(now, keys).join(goal, (F.col(label) == F.col("_label")) & (F.col(dim) == F.col("_dim")), "left")
+    away = F.when((F.col("_var") > FLOOR) & (F.col("_target") > FLOOR), F.abs(F.ln(F.col("_var") / F.col("_target"))))
+    return y.groupBy(*keys, label).agg(F.greatest(F.lit(0.01), F.least(F.lit(2.0), F.coalesce(1 + F.avg(away), F.lit(1.0)))).alias("weight"))

@@ -1,3 +1,3 @@
 """The catalogue of named queries; importing this package fills it."""
 
-from seqloom.plans import catalogue, fields, models  # noqa: F401
+from seqloom.plans import catalogue, fields, models, voices  # noqa: F401
