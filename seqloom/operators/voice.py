@@ -40,11 +40,11 @@ def convert(df: DataFrame, g: str = "g", t: str = "t", bre: str = "bre", bri: st
     one of ``OUT`` are replaced."""
     flag = {n: F.coalesce(F.col(c), F.lit(0)) for n, c in (("g", g), ("t", t), ("bre", bre), ("bri", bri))}
     own = lambda name, other: _by_voice(voice, name, ADJUSTMENT, other)
-    share = {n: v / 100.0 * _by_voice(voice, n, SENSITIVITY, 1.0) for n, v in flag.items()}
+    share = {n: v / 100.0 * _by_voice(voice, n, SENSITIVITY, 1.0) for n, v in flag.items() if n != "g"}
     octaves = F.log2(F.when(F.col(f0) > 0, F.col(f0)).otherwise(220.0) / 110.0)
 
     strained = (flag["bre"] > 50) & (flag["t"] > 40)
-    formant = 1 + share["g"] * 0.4 * (1 + 0.2 * octaves)
+    formant = 1 + flag["g"] / 100.0 * 0.5 * _by_voice(voice, "g", SENSITIVITY, 1.0) * (1 + octaves * 0.2) * 0.8
     formant = formant + F.when((F.abs(flag["bri"]) > 30) & (F.abs(flag["g"]) > 20), flag["bri"] / 100.0 * (flag["g"] / 100.0) * 0.15).otherwise(0.0)
     tension = F.tanh(share["t"] * 1.5) * F.when(strained, 0.8).otherwise(1.0)
     breath = F.least(F.greatest(share["bre"] * 0.8, F.lit(0.0)), F.lit(1.0)) * F.when(strained, 0.7).otherwise(1.0)
