@@ -1,7 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting, built-in functions only.
 
 Documents are counted once into cells (source, language, topic). Raking scales the cells' token weights to each marginal in turn until all
-three hold; a document is then drawn with the probability that its cell's weight gives it, by a hash of its id.
+three hold; a document is then drawn with the probability that its cell's weight gives it, by a hash of its id. Where a probability
+would exceed one it is cut there, which shifts the marginals, or on request the budget is lowered for all, which keeps them.
 
 Cells are few against documents, but sources may be many: up to ``LOCAL_CELLS`` cells (checked) all sweeps run in one task, whose
 windows need no exchange; beyond that each sweep is a grouped sum and a join for each marginal, written to the shared folder.
@@ -48,14 +49,31 @@ def targets(cells: DataFrame, by: str, temper: float = TEMPER) -> DataFrame:
     return one.crossJoin(F.broadcast(one.agg(F.sum("t").alias("all")))).select(by, (F.col("t") / F.col("all")).alias("target"))  # the right side is one row
 
 
-def rake(cells: DataFrame, sweeps: int = SWEEPS, temper: float = TEMPER, dimensions: tuple[str, ...] = DIMENSIONS, local: int = LOCAL_CELLS) -> DataFrame:
-    """cells (dimensions, tokens) with ``weight``: the shares of all tokens that have the tempered marginals after ``sweeps`` sweeps and
-    stay nearest to the given ones. Cells without tokens get weight 0; null is a value of its own; an empty table stays empty."""
+def aims(cells: DataFrame, by: str, temper: float = TEMPER, given: DataFrame | None = None) -> DataFrame:
+    """(by, target): the tempered shares, or those of a given table (by, target) over the values that have tokens, made to add up to one;
+    values that the table does not name get 0."""
+    if given is None:
+        return targets(cells, by, temper)
+    held = cells.groupBy(by).agg(F.sum("tokens").alias("_n"))
+    table = given.groupBy(F.col(by).alias("_k")).agg(F.sum("target").cast("double").alias("_g"))
+    one = held.join(table, F.col(by).eqNullSafe(F.col("_k")), "left").select(by, F.when(F.col("_n") > 0, F.coalesce("_g", F.lit(0.0))).otherwise(0.0).alias("t"))
+    return one.crossJoin(F.broadcast(one.agg(F.sum("t").alias("all")))).select(by, F.when(F.col("all") > 0, F.col("t") / F.col("all")).otherwise(0.0).alias("target"))  # the right side is one row
+
+
+def rake(cells: DataFrame, sweeps: int = SWEEPS, temper: float = TEMPER, dimensions: tuple[str, ...] = DIMENSIONS, local: int = LOCAL_CELLS, given: dict[str, DataFrame] | None = None) -> DataFrame:
+    """cells (dimensions, tokens) with ``weight``: the shares of all tokens that have the tempered marginals, or for a dimension those of
+    its ``given`` table (dimension, target), after ``sweeps`` sweeps and stay nearest to the cells' own. Cells without tokens get
+    weight 0; null is a value of its own; an empty table stays empty."""
+    given = given or {}
     whole = cells.agg(F.sum("tokens").cast("double")).first()[0] or 1.0
     if fits(cells, local):
         now = cells.coalesce(1).withColumn("weight", F.col("tokens") / F.lit(whole))
         every = Window.partitionBy()
         for d in dimensions:
+            if d in given:
+                aim = aims(cells, d, temper, given[d]).select(F.col(d).alias("_k"), F.col("target").alias(f"_{d}"))
+                now = now.join(F.broadcast(aim), F.col(d).eqNullSafe(F.col("_k"))).drop("_k")  # at most ``local`` rows
+                continue
             mine, first = Window.partitionBy(d), F.row_number().over(Window.partitionBy(d).orderBy(F.lit(1))) == 1
             now = now.withColumn("_t", F.pow(F.sum("tokens").over(mine), F.lit(temper))).withColumn("_one", F.when(first, F.col("_t")).otherwise(0.0))
             now = now.withColumn(f"_{d}", F.col("_t") / F.sum("_one").over(every)).drop("_t", "_one")
@@ -64,27 +82,36 @@ def rake(cells: DataFrame, sweeps: int = SWEEPS, temper: float = TEMPER, dimensi
                 now = now.withColumn("_s", F.sum("weight").over(Window.partitionBy(d)))
                 now = now.withColumn("weight", F.when(F.col("_s") > 0, F.col("weight") * F.col(f"_{d}") / F.col("_s")).otherwise(0.0)).drop("_s")
         return now.drop(*(f"_{d}" for d in dimensions))
-    aims = {d: materialise(targets(cells, d, temper), f"target-{d}") for d in dimensions}
+    aim = {d: materialise(aims(cells, d, temper, given.get(d)), f"target-{d}") for d in dimensions}
     now = cells.withColumn("weight", F.col("tokens") / F.lit(whole))
     for _ in range(sweeps):
         for d in dimensions:
-            sums = now.groupBy(F.col(d).alias("_k")).agg(F.sum("weight").alias("_s")).join(aims[d], F.col("_k").eqNullSafe(F.col(d))).select("_k", (F.col("target") / F.col("_s")).alias("_f"))
+            sums = now.groupBy(F.col(d).alias("_k")).agg(F.sum("weight").alias("_s")).join(aim[d], F.col("_k").eqNullSafe(F.col(d))).select("_k", F.when(F.col("_s") > 0, F.col("target") / F.col("_s")).otherwise(0.0).alias("_f"))
             now = now.join(sums, F.col(d).eqNullSafe(F.col("_k"))).withColumn("weight", F.when(F.col("weight") > 0, F.col("weight") * F.col("_f")).otherwise(0.0)).drop("_k", "_f")
         now = materialise(now, "rake")
     return now
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None, budget: float = BUDGET, sweeps: int = SWEEPS) -> DataFrame:
+def mix(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None, budget: float = BUDGET, sweeps: int = SWEEPS,
+    given: dict[str, DataFrame] | None = None, calibrate: bool = False,
+) -> DataFrame:
     """(id, source, lang, topic, n_tokens, weight, probability, sampled) for each row of docs.
 
-    weight is the cell's raked share; a document's probability is budget * weight / (the cell's share of all tokens), at most 1, so that a
-    budget of the tokens is expected with the target marginals as far as the cap allows. Null sources and languages are values of their
-    own; null texts have no tokens and, as other cells without tokens, probability 0; rows that repeat an id are drawn alike."""
+    weight is the cell's raked share; a document's probability is budget * weight / (the cell's share of all tokens). Where
+    that exceeds 1 it is cut at 1, and the draw has neither the budget nor the raked marginals; with ``calibrate`` the budget is lowered to
+    the largest at which none exceeds 1, so that the expected draw has the marginals, however few rows that leaves. ``given`` has target
+    tables, see ``rake``; ``marginals`` tells what was reached.
+    Null sources and languages are values of their own; null texts have no tokens and, as other cells without tokens, probability 0;
+    rows that repeat an id are drawn alike."""
     topic = topic_of(F.col(text)) if topic is None else topic
     rows = materialise(docs.select(F.col(doc_id).alias("id"), F.col(source).alias("source"), F.col(lang).alias("lang"), topic.alias("topic"), token_count(F.col(text)).alias("n_tokens")), "mix")
     cells = materialise(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    raked = materialise(rake(cells, sweeps), "raked")
+    raked = materialise(rake(cells, sweeps, given=given), "raked")
     whole = raked.agg(F.sum("tokens").cast("double")).first()[0] or 1.0
+    if calibrate:
+        most = raked.where("tokens > 0").agg(F.max(F.col("weight") * F.lit(whole) / F.col("tokens"))).first()[0]
+        budget = min(budget, 1 / most) if most else budget
     chance = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(budget) * F.col("weight") * F.lit(whole) / F.col("tokens"))).otherwise(0.0)
     cell = maybe_broadcast(raked.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), "weight", chance.alias("probability")))
     same = F.lit(True)
@@ -98,9 +125,23 @@ def digest(docs: DataFrame) -> DataFrame:
     return mix(docs).select(F.col("id").alias("doc_id"), "source", "lang", "topic", "n_tokens", F.round("weight", 9).alias("weight"), F.round("probability", 9).alias("probability"), "sampled")
 
 
-def sample(docs: DataFrame) -> DataFrame:
+def marginals(mixed: DataFrame, given: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(dimension, value, target, expected, drawn) of a result of ``mix``: target shares of the drawn tokens against the expected and the
+    drawn ones, null where nothing is expected or drawn."""
+    n, given = F.col("n_tokens"), given or {}
+    cells = materialise(mixed.groupBy(*DIMENSIONS).agg(F.sum(n).alias("tokens"), F.sum(n * F.col("probability")).alias("expected"), F.sum(F.when(F.col("sampled"), n).otherwise(0)).cast("double").alias("drawn")), "drawn")
+    whole = cells.agg(F.sum("expected"), F.sum("drawn")).first()
+    share = lambda c, all_: (F.sum(c) / F.lit(all_ or None)).alias(c)
+    parts = [
+        cells.groupBy(F.col(d).alias("value")).agg(share("expected", whole[0]), share("drawn", whole[1])).join(aims(cells, d, given=given.get(d)), F.col("value").eqNullSafe(F.col(d)))
+        .select(F.lit(d).alias("dimension"), "value", "target", "expected", "drawn") for d in DIMENSIONS
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def sample(docs: DataFrame, budget: float = BUDGET, given: dict[str, DataFrame] | None = None, calibrate: bool = False) -> DataFrame:
     """The drawn documents with their columns, and their topic, tokens and probability under names of their own."""
-    chosen = mix(docs).where("sampled").select(F.col("id").alias("_id"), F.col("topic").alias("mix_topic"), F.col("n_tokens").alias("mix_tokens"), F.col("probability").alias("mix_probability")).dropDuplicates(["_id"])
+    chosen = mix(docs, budget=budget, given=given, calibrate=calibrate).where("sampled").select(F.col("id").alias("_id"), F.col("topic").alias("mix_topic"), F.col("n_tokens").alias("mix_tokens"), F.col("probability").alias("mix_probability")).dropDuplicates(["_id"])
     return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"])).drop("_id")
 
 

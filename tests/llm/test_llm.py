@@ -243,3 +243,25 @@ def test_raking(spark):
     assert abs(sum(r.weight for r in local if r.source == "a") - 110**0.5 / (110**0.5 + 37**0.5)) < 1e-3
     got = mixing.digest(odd_docs(spark))
     assert got.count() == 11 and mixing.digest(odd_docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("given", [None, {"big": 0.7, "small": 0.3}])
+def test_draw_has_the_target_marginals(spark, given):
+    rows = [(i, "w " * 20, "en", "big") for i in range(40)] + [(100 + i, "w " * 4, "en", "small") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    tables = given and {"source": spark.createDataFrame([*given.items(), ("none here", 9.0)], "source string, target double")}
+    want = given or {"big": 800**0.5 / (800**0.5 + 32**0.5), "small": 32**0.5 / (800**0.5 + 32**0.5)}
+    mixed = mixing.mix(docs, given=tables, calibrate=True)
+    got = {r.value: r for r in mixing.marginals(mixed, tables).where("dimension = 'source'").collect()}
+    assert all(abs(got[k].target - v) < 1e-6 and abs(got[k].expected - v) < 1e-6 for k, v in want.items())
+    assert abs(mixed.agg(F.max("probability")).first()[0] - 1) < 1e-6
+    n = mixing.sample(docs, given=tables, calibrate=True).where("source = 'small'").count()
+    assert n == 8
+
+
+def test_raking_to_given_targets_both_ways(spark):
+    cells = spark.createDataFrame([("a", "x", "p", 100), ("a", "y", "q", 10), ("b", "x", "p", 30), (None, "y", "q", 5), ("b", "y", "p", 7)], "source string, lang string, topic string, tokens long")
+    given = {"source": spark.createDataFrame([("a", 9.0), (None, 1.0)], "source string, target double")}
+    for local in (100, 1):
+        got = mixing.rake(cells, 6, dimensions=("source", "lang"), local=local, given=given).groupBy("source").agg(F.sum("weight").alias("w")).collect()
+        assert np.allclose([r.w for r in sorted(got, key=lambda r: r.source or "")], [0.1, 0.9, 0], atol=1e-3)
