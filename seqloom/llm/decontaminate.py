@@ -49,6 +49,11 @@ def contaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     Null and wordless texts have no words and no items; null items, items without words and items with a null id match nothing. Rows
     that repeat an id with its text each return the same figures; a null id counts as an id of its own. Long texts are taken whole.
     No column but the named ones is read, so clashing names do no harm."""
+    return _keyed(docs, items, doc_id, text, item_id, item_text, width).drop("key")
+
+
+def _keyed(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str = "item_id", item_text: str = "text", width: int = WIDTH) -> DataFrame:
+    """The rows of ``contaminate`` with ``key``, the hash of their id and text."""
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     items = items.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).alias("item_text")).where("item_id IS NOT NULL")
@@ -78,7 +83,7 @@ def contaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     kept = materialise(kept.select("id", "key", "n_words", F.when(F.size("c") > 0, covered).otherwise(0).cast("long").alias("n_hit"), F.coalesce(F.expr("array_distinct(transform(c, x -> x.wid))"), F.expr("CAST(array() AS ARRAY<STRING>)")).alias("wids")), "hits")
     hit = kept.select("key", F.explode("wids").alias("wid")).distinct()
     per_doc = hit.join(near(of_item.select("wid", "item_id")), "wid").groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    return kept.drop("wids").join(per_doc, "key", "left").select("id", "n_words", "n_hit", F.coalesce("items", F.expr("CAST(array() AS ARRAY<STRING>)")).alias("items"))
+    return kept.drop("wids").join(per_doc, "key", "left").select("key", "id", "n_words", "n_hit", F.coalesce("items", F.expr("CAST(array() AS ARRAY<STRING>)")).alias("items"))
 
 
 def _all(parts: list[DataFrame], spark, schema: str) -> DataFrame:
@@ -100,10 +105,11 @@ def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that hold an occurrence of a benchmark window; their columns and all other rows are as they were."""
-    hit = contaminate(docs, items, doc_id, text).where("n_hit > 0 AND id IS NOT NULL").select(F.col("id").alias("_hit")).distinct()
+    """docs without the rows that hold an occurrence of a benchmark window, null ids among them; their columns and all other rows, also
+    those that share an id with a dropped one, are as they were."""
+    hit = _keyed(docs, items, doc_id, text).where("n_hit > 0").select(F.col("key").alias("_key"), F.col("id").alias("_hit")).distinct()
     hit = F.broadcast(hit) if fits(hit := materialise(hit, "hit")) else hit
-    return docs.join(hit, docs[doc_id] == hit["_hit"], "left_anti")
+    return docs.join(hit, (F.xxhash64(docs[doc_id], docs[text]) == hit["_key"]) & docs[doc_id].eqNullSafe(hit["_hit"]), "left_anti")
 
 
 #: The same by brute definition, for DuckDB.

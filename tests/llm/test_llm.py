@@ -265,3 +265,9 @@ def test_raking_to_given_targets_both_ways(spark):
     for local in (100, 1):
         got = mixing.rake(cells, 6, dimensions=("source", "lang"), local=local, given=given).groupBy("source").agg(F.sum("weight").alias("w")).collect()
         assert np.allclose([r.w for r in sorted(got, key=lambda r: r.source or "")], [0.1, 0.9, 0], atol=1e-3)
+
+
+def test_decontamination_drops_rows_not_ids(spark):
+    docs = odd_docs(spark, [(None, "a b c d e"), (None, "loose row"), (3, "x b c d"), (3, "clean one"), (3, None)])
+    kept = decontaminate.clean(docs, items(spark).where("item_id = 1")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, "loose row"), (3, ""), (3, "clean one")]
