@@ -353,9 +353,12 @@ def _shrink(pixels: np.ndarray, rows: int, columns: int) -> np.ndarray:
     return cut(cut(pixels, rows).T, columns).T
 
 
-def hashes(image: dict) -> tuple[str, str]:
-    """Average hash and difference hash of the thumbnail, 64 bits each, in hex."""
-    small = thumbnail(image)
+def hashes(images: list[dict]) -> tuple[str, str]:
+    """Average hash and difference hash of the images' thumbnails below one another, 64 bits each, in hex; narrower ones are filled up
+    with middle grey."""
+    parts = [thumbnail(x) for x in images]
+    wide = max(p.shape[1] for p in parts)
+    small = np.concatenate([np.pad(p, ((0, 0), (0, wide - p.shape[1])), constant_values=128) for p in parts])
     square, rows = _shrink(small, 8, 8), _shrink(small, 8, 9)
     pack = lambda bits: np.packbits(bits.ravel()).tobytes().hex()
     return pack(square > square.mean()), pack(rows[:, 1:] > rows[:, :-1])
@@ -387,7 +390,7 @@ STORED = "struct<n_bytes:bigint,payload_bytes:bigint,payload_sha256:string,tail_
 
 
 def describe(df: DataFrame, media: str = "media", payload: bool = False, drop: bool = True) -> DataFrame:
-    """df with ``jpeg``: width, height, thumbnail hashes and error of the media column's first image.
+    """df with ``jpeg``: width, height, thumbnail hashes and error of the media column's images, all of a row below one another.
 
     Null, empty, cut-off or unsupported media give nulls and the error. With ``payload`` the column ``stored`` is what
     ``store_payload`` kept: n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256. ``drop`` leaves the media
@@ -410,8 +413,8 @@ def describe(df: DataFrame, media: str = "media", payload: bool = False, drop: b
                         about.append({"error": found})
                         stored.append(None)
                         continue
-                    a, d = hashes(found[0])
-                    about.append({"width": found[0]["width"], "height": found[0]["height"], "thumb_ahash": a, "thumb_dhash": d, "error": None})
+                    a, d = hashes(found)
+                    about.append({"width": max(x["width"] for x in found), "height": sum(x["height"] for x in found), "thumb_ahash": a, "thumb_dhash": d, "error": None})
                     if payload:
                         kept, n = payload_of(found)
                         stored.append({"n_bytes": n, "payload_bytes": len(kept), "payload_sha256": hashlib.sha256(kept).hexdigest(), "tail_crc32": zlib.crc32(kept[-32:]), "media_bytes": len(bytes_), "media_sha256": hashlib.sha256(bytes_).hexdigest()})

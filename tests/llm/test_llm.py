@@ -271,3 +271,12 @@ def test_decontamination_drops_rows_not_ids(spark):
     docs = odd_docs(spark, [(None, "a b c d e"), (None, "loose row"), (3, "x b c d"), (3, "clean one"), (3, None)])
     kept = decontaminate.clean(docs, items(spark).where("item_id = 1")).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, "loose row"), (3, ""), (3, "clean one")]
+
+
+def test_feature_is_of_all_images(spark):
+    tail = F.when(F.col("id") == 1, F.repeat(F.lit("a"), 2_000_000)).otherwise(F.repeat(F.lit("z"), 2_000_000))
+    long = spark.range(1, 3, 1, 1).select("id", F.concat(F.repeat(F.lit("ab"), 8191 * 576 // 2), tail).alias("text"))
+    one, two = (r.jpeg for r in media.describe(media.store_payload(long, "text").drop("text")).orderBy("id").collect())
+    rows = 8191 + -(-2_000_000 // 576)
+    assert one.height == two.height == 8 * rows and one.width == two.width
+    assert (one.thumb_ahash, one.thumb_dhash) != (two.thumb_ahash, two.thumb_dhash)
