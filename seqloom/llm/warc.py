@@ -4,8 +4,8 @@ Writing: Spark's own text writer puts one record in each row, so any file system
 and the writer's line feed. Files are compressed with gzip and hold at most ``RECORDS`` records. Reading: whole files through Spark's binary
 reader, records by their stated length, so that payloads may hold anything.
 
-Assembly: requests and metadata name the response or revisit they belong to in WARC-Concurrent-To; a record that names a request instead is
-carried on to that request's own target. Everything of a capture becomes one nested row. Only digests and ids are shuffled for
+Assembly: WARC-Concurrent-To, which a record may repeat, links two records whichever of them names the other; requests and metadata belong
+to the nearest response or revisit over those links. Everything of a capture becomes one nested row. Only digests and ids are shuffled for
 deduplication; equal payloads meet as a minimum by digest, so no group is gathered.
 """
 
@@ -25,7 +25,7 @@ from seqloom.llm.shared import in_pieces, materialise, new_path, utf8
 
 RECORDS = 3_000
 DATE = "2024-01-01T00:00:00Z"
-FIELDS = {"record_id": "string", "type": "string", "concurrent_to": "string", "target_uri": "string", "refers_to": "string", "payload_digest": "string", "payload_bytes": "bigint", "payload": "binary", "fields": "string"}
+FIELDS = {"record_id": "string", "type": "string", "concurrent_to": "array<string>", "target_uri": "string", "refers_to": "string", "payload_digest": "string", "payload_bytes": "bigint", "payload": "binary", "fields": "string"}
 
 
 def sha1_base32(data: bytes) -> str:
@@ -90,10 +90,12 @@ def parse(stream: io.BufferedIOBase) -> Iterator[dict]:
             continue
         if not line.startswith(b"WARC/"):
             raise ValueError(f"not a record: {line[:40]!r}")
-        head = {}
+        head, beside = {}, []
         while (line := stream.readline().rstrip(b"\r\n")) != b"":
             name, _, value = line.partition(b":")
             head[name.strip().lower().decode()] = value.strip().decode()
+            if name.strip().lower() == b"warc-concurrent-to":
+                beside.append(value.strip().decode().strip("<>"))
         size = int(head["content-length"])
         block = stream.read(size)
         if len(block) != size:
@@ -101,7 +103,7 @@ def parse(stream: io.BufferedIOBase) -> Iterator[dict]:
         if (stated := head.get("warc-block-digest", "")).startswith("sha1:") and stated[5:] != sha1_base32(block):
             raise ValueError("a block digest does not match")
         plain = lambda k: head[k].strip("<>") if k in head else None  # noqa: B023, E731
-        out = {"record_id": plain("warc-record-id"), "type": head.get("warc-type"), "concurrent_to": plain("warc-concurrent-to"), "target_uri": head.get("warc-target-uri"), "refers_to": plain("warc-refers-to"), "payload_digest": head.get("warc-payload-digest", "").removeprefix("sha1:") or None, "payload_bytes": None, "payload": None, "fields": None}
+        out = {"record_id": plain("warc-record-id"), "type": head.get("warc-type"), "concurrent_to": beside, "target_uri": head.get("warc-target-uri"), "refers_to": plain("warc-refers-to"), "payload_digest": head.get("warc-payload-digest", "").removeprefix("sha1:") or None, "payload_bytes": None, "payload": None, "fields": None}
         if out["type"] in ("response", "revisit"):
             http, _, payload = block.partition(b"\r\n\r\n")
             lengths = [int(x.partition(b":")[2]) for x in http.lower().split(b"\r\n") if x.startswith(b"content-length:")]
@@ -120,7 +122,7 @@ def parse(stream: io.BufferedIOBase) -> Iterator[dict]:
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """One row for each record of the archives under ``path`` (plain or gzip); ``payload`` False leaves payloads out of the rows."""
     files = spark.read.format("binaryFile").load(path).select("content")
-    kinds = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
+    kinds = {"string": pa.string(), "array<string>": pa.list_(pa.string()), "bigint": pa.int64(), "binary": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,19 +146,36 @@ def _batch(rows: list[dict], kinds: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[t]) for k, t in FIELDS.items()], names=list(FIELDS))
 
 
+def _owners(named: DataFrame, main: DataFrame) -> DataFrame:
+    """(node, owner): each node's nearest main records over undirected links, one ring of links around them after another."""
+    one_way = named.select(F.col("node").alias("a"), F.explode("concurrent_to").alias("b")).where("a <> b")
+    links = materialise(one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    ring = found = main.select(F.col("record_id").alias("node"), F.col("record_id").alias("owner")).distinct()
+    before = ring.limit(0)
+    while True:
+        # the neighbours of a ring are in it, in the one before or in the next
+        beyond = ring.join(links, ring.node == links.a).select(F.col("b").alias("node"), "owner").distinct()
+        beyond = materialise(beyond.join(ring.unionByName(before).select("node"), "node", "left_anti"), "ring")
+        if beyond.isEmpty():
+            return found
+        before, ring, found = ring, beyond, found.unionByName(beyond)
+
+
 def assemble(records: DataFrame) -> DataFrame:
     """One row for each capture, that is each response or revisit with an id: ``main`` (the record), ``requests`` and ``metadata`` (arrays
     by record id, empty if there are none).
 
-    A record belongs to what its concurrent-to names, through a request if need be; requests and metadata without such a target, and
-    records without an id, belong to no capture. Repeated records repeat in the arrays, repeated responses give a capture each."""
+    A request or metadata record belongs to the response or revisit that the fewest concurrent-to links, in either direction, lead to,
+    and to each of several at the same distance; without one it belongs to no capture. A response or revisit without an id is none.
+    Repeated records repeat in the arrays, repeated responses give a capture each."""
     main = records.where("type IN ('response', 'revisit') AND record_id IS NOT NULL")
-    rest = records.where("type IN ('request', 'metadata')").select("record_id", "type", "concurrent_to", "target_uri", "fields")
-    via = rest.where("type = 'request' AND record_id IS NOT NULL").groupBy(F.col("record_id").alias("via")).agg(F.min("concurrent_to").alias("onward"))
-    owned = rest.join(via, rest.concurrent_to == via.via, "left").withColumn("owner", F.coalesce("onward", "concurrent_to"))
+    # records without an id that name the same ones share a node
+    node = F.coalesce("record_id", F.concat(F.lit("no id: "), F.array_join("concurrent_to", " ")))
+    rest = records.where("type IN ('request', 'metadata')").select(node.alias("node"), "record_id", "type", "target_uri", "fields")
+    owned = rest.join(_owners(records.select(node.alias("node"), "concurrent_to"), main.select("record_id")), "node")
     item = F.struct("record_id", "target_uri", "fields")
     of = lambda kind: F.sort_array(F.collect_list(F.when(F.col("type") == kind, item)))
-    parts = owned.where("owner IS NOT NULL").groupBy("owner").agg(of("request").alias("requests"), of("metadata").alias("metadata"))
+    parts = owned.groupBy("owner").agg(of("request").alias("requests"), of("metadata").alias("metadata"))
     none = lambda c: F.coalesce(c, F.array().cast("array<struct<record_id:string,target_uri:string,fields:string>>"))
     joined = main.select(F.struct(*main.columns).alias("main")).join(parts, F.col("main.record_id") == F.col("owner"), "left")
     return joined.select("main", none(F.col("requests")).alias("requests"), none(F.col("metadata")).alias("metadata"))

@@ -1,6 +1,7 @@
 """Small tests of the training-data operators: brute force, exact round trips, held-out accuracy, and awkward rows."""
 
 import hashlib
+import io
 import math
 import zlib
 from collections import Counter
@@ -280,3 +281,21 @@ def test_feature_is_of_all_images(spark):
     rows = 8191 + -(-2_000_000 // 576)
     assert one.height == two.height == 8 * rows and one.width == two.width
     assert (one.thumb_ahash, one.thumb_dhash) != (two.thumb_ahash, two.thumb_dhash)
+
+
+def test_warc_links_in_both_directions(spark):
+    def made(kind, name, *beside):
+        head = warc.record(kind, name, b"HTTP/1.1 200 OK\r\n\r\nx" if kind == "response" else b"y", Target_URI="u").split(b"\r\n", 1)
+        return head[0] + b"\r\n" + b"".join(b"WARC-Concurrent-To: <%s>\r\n" % b.encode() for b in beside) + head[1] + b"\n"
+
+    parts = [
+        made("response", "r1", "q1"), made("request", "q1"), made("metadata", "m1", "q1"),  # the response names its request
+        made("response", "r2"), made("request", "q2", "r2"), made("metadata", "m2", "q2"),  # the request names its response
+        made("response", "r3", "q3", "m3"), made("request", "q3"), made("metadata", "m3"),  # repeated headers
+        made("response", "r4"), made("request", "q4", "r4"), made("metadata", "m4", "q4"), made("metadata", "n4", "m4"),  # three links
+        made("metadata", "m5", "r1", "r2"), made("request", "q6", "q7"), made("request", "q7"),  # two responses, none
+    ]
+    rows = [tuple(r[k] for k in warc.FIELDS) for r in warc.parse(io.BytesIO(b"".join(parts)))]
+    got = warc.assemble(spark.createDataFrame(rows, ", ".join(f"{k} {t}" for k, t in warc.FIELDS.items()))).collect()
+    names = lambda x: [i.record_id for i in x]
+    assert {r.main.record_id: (names(r.requests), names(r.metadata)) for r in got} == {"r1": (["q1"], ["m1", "m5"]), "r2": (["q2"], ["m2", "m5"]), "r3": (["q3"], ["m3"]), "r4": (["q4"], ["m4", "n4"])}
