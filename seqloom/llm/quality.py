@@ -18,12 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from seqloom.llm.shared import in_pieces, maybe_broadcast, remainder, utf8
+from seqloom.llm.shared import drawn, free_name, in_pieces, maybe_broadcast, remainder, utf8
 
 MAX_ROWS = 20_000
 THRESHOLD = 0.7
 BINS, PAIR_BINS, PAIRS = 48, 12, 4
-FEATURES = ("log_bytes", "log_words", "word_length", "upper", "symbols", "digits", "stops", "beyond_ascii", "words_a_line", "distinct_words", "distinct_lines", "shouted", "marked", "commonest")
+FEATURES = ("log_bytes", "log_words", "word_length", "upper", "symbols", "digits", "stops", "beyond_ascii", "words_a_line", "distinct_words", "distinct_lines", "shouted", "marked", "middle_word")
 _CLASS = np.zeros(256, np.uint8)
 for _c, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".,;:?'\"()-", b"!#$%&*@^_~|<>={}[]\\/+`"), 1):
     _CLASS[list(_chars)] = _c
@@ -32,7 +32,9 @@ _CLASS[[32, *range(9, 14)]] = 7
 
 
 def figures(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One row of FEATURES for each text; an empty text has zeros."""
+    """One row of FEATURES for each text; an empty text has zeros but for its one line.
+
+    middle_word is the share of the words that equal the one in the middle, a cheap sign of endless repetition."""
     n = len(at) - 1
     kind = _CLASS[data[at[0] : at[-1]]]
     edge = at - at[0]
@@ -52,7 +54,6 @@ def figures(data: np.ndarray, at: np.ndarray) -> np.ndarray:
             marked = sum(w[-1] in b"!#$%&*@" for w in each)
             top = each.count(each[len(each) // 2])
             by_word[i] = len(each), tally / len(each), len(set(lines)) / len(lines), shouted / len(each), marked / len(each), top / len(each)
-            by_word[i, 2] += 1e-9 * len(lines)
     lines = 1 + np.diff(np.concatenate([[0], np.cumsum(data[at[0] : at[-1]] == 10)])[edge])
     full, letters = np.maximum(size, 1), np.maximum(count[1] + count[2] + count[6], 1)
     w = np.maximum(by_word[:, 0], 1)
@@ -68,6 +69,7 @@ class Gam:
     cuts: list[np.ndarray] = field(default_factory=list)
     tables: list[np.ndarray] = field(default_factory=list)
     pairs: list[tuple[int, int, np.ndarray]] = field(default_factory=list)
+    told: bool = False  # True if it has seen both classes
 
     def bins(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(c, x[:, f], side="right") for f, c in enumerate(self.cuts)], axis=1) if self.cuts else np.zeros((len(x), 0), int)
@@ -119,6 +121,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.1) -> G
     model.tables = [np.zeros(len(c) + 1) for c in model.cuts]
     bins, margin = model.bins(x), np.full(len(y), model.bias)
     if 0 < y.sum() < len(y):
+        model.told = True
         for _ in range(rounds):
             for f, table in enumerate(model.tables):
                 p = 1 / (1 + np.exp(-margin))
@@ -154,16 +157,19 @@ def _figures_of(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return df.mapInArrow(run, df.select(*keep).schema.add("x", ArrayType(DoubleType())))
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", learn: Column | None = None) -> Gam:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", learn: Column | None = None, marked: int | None = None) -> Gam:
     """A model from the labelled rows of docs for which ``learn`` holds (default: crc32 of the id modulo 4 is not 2).
 
-    Labels for unknown ids, null ids and null labels are ignored; of repeated labels the smallest counts."""
+    Labels for unknown ids, null ids and null labels are ignored; of repeated labels the smallest counts. ``marked`` is the number of
+    labelled ids, counted if it is not given; a draw from more labels than MAX_ROWS that gives none is an error."""
     learn = remainder(F.col("id"), 4) != 2 if learn is None else learn
     marks = labels.select(F.col("doc_id").alias("id"), F.col(label).alias("y")).where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.min("y").cast("int").alias("y")).where(learn)
-    part = min(1_000_000, int(1_000_000 * MAX_ROWS / max(marks.count(), 1)))
-    marks = marks.where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1_000_000)) < part)
+    marked = marks.count() if marked is None else marked
+    marks = marks.where(drawn(F.col("id"), MAX_ROWS, marked, 9))
+    if marked > MAX_ROWS and marks.isEmpty():
+        raise ValueError("no labelled row was drawn")
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(maybe_broadcast(marks), "id")
-    got = _figures_of(rows, "text", ["y"]).toPandas()
+    got = _figures_of(rows, "text", ["y"]).toPandas()  # about MAX_ROWS rows of figures
     x = np.stack(list(got["x"])) if len(got) else np.zeros((0, len(FEATURES)))
     y = got["y"].to_numpy(np.float64)
     order = np.lexsort((y, *x.T))  # rows arrive in any order
@@ -190,5 +196,12 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """docs without the rows whose score is below the threshold."""
-    return score(docs, train(docs, labels, text=text), text, "_quality").where(F.col("_quality") >= THRESHOLD).drop("_quality")
+    """docs without the rows whose score is below the threshold; all their columns stay, whatever their names.
+
+    Each row is judged by its own text: null counts as empty, repeated rows get the same verdict. Labels of one class only, or none, teach
+    nothing to tell apart, so all rows stay; an empty table stays empty."""
+    model = train(docs, labels, text=text)
+    if not model.told:
+        return docs
+    name = free_name("quality_score", docs)
+    return score(docs, model, text, name).where(F.col(name) >= THRESHOLD).drop(name)

@@ -1,7 +1,8 @@
 """What the operators of this package share: tables kept between jobs, size checks, byte views of Arrow text.
 
 Tables that cut lineage are Parquet files in the folder that the session names in ``spark.checkpoint.dir``; they survive the
-loss of any executor. Where the setting is absent (tests on one machine) a temporary folder takes its place.
+loss of any executor. Where the setting is absent a session on one machine (master ``local``) gets a temporary folder; any other is refused.
+Tables that no result reads any more are removed with ``release``, those of a whole stage with ``scratch``.
 """
 
 from __future__ import annotations
@@ -9,43 +10,98 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast; beyond it every operator has a shuffled way.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes (as Spark estimates a row) up to which a side may be broadcast; beyond either every operator has a shuffled way.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SCOPES: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="seqloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/seqloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/seqloom/{label}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """df, written once to the shared folder and read again."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes the files of materialised tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_kept_at", None):
+            remove(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Removes at its end the tables that were materialised inside, but for those appended to the list it gives."""
+    kept: list[DataFrame] = []
+    _SCOPES.append([])
+    try:
+        yield kept
+    finally:
+        paths, stay = _SCOPES.pop(), {getattr(df, "_kept_at", None) for df in kept}
+        for path in paths:
+            if path not in stay:
+                remove(spark, path)
+        if _SCOPES:
+            _SCOPES[-1].extend(p for p in paths if p in stay)
+
+
+def free_name(name: str, *tables: DataFrame) -> str:
+    """The name, or a longer one, that no column of the tables has in any case."""
+    taken = {c.lower() for df in tables for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def drawn(key: Column, bound: int, rows: int, seed: int) -> Column:
+    """True for about ``bound`` of ``rows`` keys, by an exact threshold on a 64-bit hash; for all where there are no more than that."""
+    if rows <= bound:
+        return F.lit(True)
+    return F.xxhash64(key, F.lit(seed)) < F.lit((bound << 64) // rows - (1 << 63))
 
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True if df has at most so many rows; reads no more than one row beyond."""
-    return df.limit(rows + 1).count() <= rows
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """True if df has at most so many rows and so many bytes of text, binary and array values; reads no more than one row beyond."""
+    wide = [F.length(F.col(f.name).cast("binary")) if f.dataType.typeName() in ("string", "binary") else F.size(f.name) * 24 for f in df.schema if f.dataType.typeName() in ("string", "binary", "array")]
+    held = sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(8 * len(df.columns))).cast("long")
+    n, total = df.limit(rows + 1).select(held.alias("b")).agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return n <= rows and total <= size
 
 
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its size is within the bound, else as it is: the join then shuffles and AQE splits hot keys."""
+    """df with a broadcast hint if its size is within the bounds, else as it is: the join then shuffles and AQE splits hot keys."""
     return F.broadcast(df) if fits(df, rows) else df
 
 

@@ -4,13 +4,14 @@ Only rows marked toxic are used as examples; the unlabelled texts are a draw fro
 ``prior * R+(P) + max(0, R-(U) - prior * R-(P))``: what the positives hidden among the unlabelled add to the negative risk is taken off,
 and where the estimate falls below zero the step goes the other way, which stops over-fitting.
 
-Inputs of a score are the text's distinct words and how its words begin (4, 5 and 6 bytes: inflected forms share a stem), by presence,
-and nothing else. Fitting takes at most about ``MAX_POSITIVE`` confirmed and
-``MAX_UNLABELLED`` unlabelled rows, drawn by a hash of the id, and ``MAX_WORDS`` words; scoring covers every row and the whole text.
+Inputs of a score are the text's distinct words by presence, and how many of them begin alike (4 to 7 bytes: inflected forms share a
+stem; one, two and three words at least are inputs of their own), and nothing else. Fitting is on a bounded sample, drawn by a hash of the
+id: about ``MAX_POSITIVE`` confirmed and ``MAX_UNLABELLED`` unlabelled rows; scoring covers every row and the whole text.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import in_pieces, maybe_broadcast, remainder, utf8
+from seqloom.llm.shared import drawn, free_name, in_pieces, materialise, maybe_broadcast, release, remainder, utf8
 
-MAX_POSITIVE, MAX_UNLABELLED, MAX_WORDS = 4_000, 12_000, 1_024
+MAX_POSITIVE, MAX_UNLABELLED = 4_000, 12_000
 THRESHOLD = 0.3
-#: A word is an input if it is commoner in confirmed texts by so many standard errors, and stands in so many sampled texts.
-LEAST_Z, LEAST_TEXTS = 3.5, 5
+#: Inputs are chosen by test, not by number: those commoner in confirmed texts by so many standard errors that stand in so many sampled texts.
+LEAST_Z, LEAST_TEXTS = 5.0, 5
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -32,56 +33,86 @@ def words(text: bytes) -> set[bytes]:
     return set(text.translate(_TABLE).split())
 
 
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS, LEVELS = (4, 5, 6, 7), 3
 
 
-def inputs(text: bytes) -> dict[int, set[bytes]]:
-    """Distinct words under 0, and their beginnings under each length."""
+def inputs(text: bytes) -> dict[int, dict[bytes, int]]:
+    """Distinct words under 0, and under each length how many of them begin alike, up to LEVELS."""
     whole = words(text)
-    return {0: whole} | {k: {w[:k] for w in whole if len(w) > k} for k in BEGINNINGS}
+    return {0: dict.fromkeys(whole, 1)} | {k: Counter(w[:k] for w in whole if len(w) > k) for k in BEGINNINGS}
+
+
+def named(text: bytes) -> list[bytes]:
+    """The inputs that are on: kind, level, word or beginning."""
+    return [bytes([k, level]) + w for k, each in inputs(text).items() for w, n in each.items() for level in range(1, min(n, LEVELS) + 1)]
 
 
 @dataclass
 class Model:
-    weights: dict[int, dict[bytes, float]]
+    weights: dict[bytes, float]
     bias: float
 
+    def __post_init__(self) -> None:
+        self.sums: dict[int, dict[bytes, list[float]]] = {}
+        for x, w in sorted(self.weights.items()):  # what the first one, two and three levels add up to
+            at = self.sums.setdefault(x[0], {}).setdefault(x[2:], [0.0] * (LEVELS + 1))
+            for level in range(x[1], LEVELS + 1):
+                at[level] += w
+
     def score(self, texts: list[bytes]) -> np.ndarray:
         """P(toxic); inputs count by presence, so a long text is not diluted."""
-        g = [self.bias + sum(w[x] for k, found in inputs(t).items() for w in [self.weights.get(k, {})] for x in sorted(found & w.keys())) for t in texts]
+        g = []
+        for t in texts:
+            total = self.bias
+            for k, found in inputs(t).items():
+                known = self.sums.get(k, {})
+                total += sum(known[x][min(found[x], LEVELS)] for x in sorted(found.keys() & known.keys()))
+            g.append(total)
         return 1 / (1 + np.exp(-np.clip(np.array(g, np.float64), -40, 40)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+class Rows:
+    """A sparse 0/1 matrix: for each row the columns that are on."""
+
+    def __init__(self, rows: list[np.ndarray], width: int) -> None:
+        self.n, self.width = len(rows), width
+        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
+        self.col = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.col], self.n)
+
+    def back(self, s: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, s[self.row], self.width)
+
+
+def fit(positive: Rows, unlabelled: Rows, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias of the linear model with the smallest non-negative risk; rows are texts, columns inputs.
 
     The loss is the sigmoid, whose bound keeps the estimate's own error within bounds."""
     prior = min(max(prior, 1e-4), 0.999)
-    p, u = (np.hstack([x.astype(np.float32), np.ones((len(x), 1), np.float32)]) for x in (positive, unlabelled))
-    w, m, v = (np.zeros(p.shape[1], np.float64) for _ in range(3))
-    w[-1] = -2.0
+    w, b = np.zeros(positive.width), -2.0
+    m, v = np.zeros(positive.width + 1), np.zeros(positive.width + 1)
     for t in range(1, steps + 1):
-        on_p, on_u = (1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -40, 40))) for x in (p, u))
-        rise_p, rise_u = p.T @ (on_p * (1 - on_p)) / len(p), u.T @ (on_u * (1 - on_u)) / len(u)
+        on_p, on_u = (1 / (1 + np.exp(-np.clip(x.times(w) + b, -40, 40))) for x in (positive, unlabelled))
+        d_p, d_u = on_p * (1 - on_p) / positive.n, on_u * (1 - on_u) / unlabelled.n
+        rise_p, rise_u = np.append(positive.back(d_p), d_p.sum()), np.append(unlabelled.back(d_u), d_u.sum())
         negative = on_u.mean() - prior * on_p.mean()
         minus = rise_u - prior * rise_p
-        grad = (minus - prior * rise_p if negative >= 0 else -minus).astype(np.float64)
-        grad[:-1] += decay * w[:-1]
+        grad = minus - prior * rise_p if negative >= 0 else -minus
+        grad[:-1] += decay * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-6)
-        np.maximum(w[:-1], 0, out=w[:-1])  # an input can only add to the suspicion
-    return w[:-1], float(w[-1])
+        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-6)
+        w, b = w - step[:-1], b - step[-1]
+    return w, float(b)
 
 
-def _share(bound: int, rows: int) -> int:
-    return min(1_000_000, int(1_000_000 * bound / max(rows, 1)))
-
-
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", learn: Column | None = None) -> Model:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", learn: Column | None = None, rows: int | None = None) -> Model:
     """A model from the rows of docs for which ``learn`` holds (default: crc32 of the id modulo 4 is not 2).
 
     Labels for unknown ids, null ids and null labels are ignored; of repeated labels the largest counts. The class prior is the share of
-    toxic rows among the labelled ones. Without a confirmed row, or without an unlabelled one, every score is 0."""
+    toxic rows among the labelled ones. Without a confirmed row, an unlabelled one, or an input that tells them apart, every score is 0. ``rows`` is the number of
+    docs, counted if it is not given; a draw from a table so large that gives no row is an error."""
     learn = remainder(F.col("id"), 4) != 2 if learn is None else learn
     marks = labels.select(F.col("doc_id").alias("id"), F.col(label).alias("y")).where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.max("y").alias("y"))
     marks = marks.where(learn)
@@ -89,48 +120,44 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     nothing = Model({}, -40.0)
     if not seen[1]:
         return nothing
+    rows = docs.count() if rows is None else rows
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
-    spread = F.pmod(F.xxhash64("id", F.lit(6)), F.lit(1_000_000))
-    positive = marks.where((F.col("y") == 1) & (spread < _share(MAX_POSITIVE, seen[1]))).select("id")
-    chosen = texts.where(learn & (spread < _share(MAX_UNLABELLED, docs.count()))).withColumn("p", F.lit(0))
-    chosen = texts.join(maybe_broadcast(positive), "id", "left_semi").withColumn("p", F.lit(1)).unionByName(chosen)
+    positive = marks.where((F.col("y") == 1) & drawn(F.col("id"), MAX_POSITIVE, seen[1], 6)).select(F.col("id").alias("of"))
+    both = texts.join(maybe_broadcast(positive), F.col("id") == F.col("of"), "left")
+    as_what = F.array_compact(F.array(F.when(F.col("of").isNotNull(), 1), F.when(learn & drawn(F.col("id"), MAX_UNLABELLED, rows, 6), 0)))
+    chosen = both.select("text", as_what.alias("as")).where("size(as) > 0")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in in_pieces(batch, "text"):
-                data, at = utf8(piece.column(1))
-                found = [[bytes([k]) + w for k, each in inputs(data[a:b].tobytes()).items() for w in each] for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(found, pa.list_(pa.binary()))], names=["id", "p", "words"])
-
-    sample = chosen.mapInArrow(sets, f"id {dict(docs.dtypes)[doc_id]}, p int, words array<binary>").persist()
-    try:
-        size = {r.p: r.n for r in sample.groupBy("p").agg(F.count("*").alias("n")).collect()}
-        n_p, n_u = size.get(1, 0), size.get(0, 0)
-        if not n_p or not n_u:
-            return nothing
-        rates = sample.select("p", F.explode("words").alias("word")).groupBy("word").agg(F.sum("p").alias("a"), F.sum(1 - F.col("p")).alias("b")).where(f"a + b >= {LEAST_TEXTS}")
-        pooled = (F.col("a") + F.col("b")) / (n_p + n_u)
-        z = (F.col("a") / n_p - F.col("b") / n_u) / F.sqrt(pooled * (1 - pooled + 1e-9) * (1 / n_p + 1 / n_u))
-        best = rates.select("word", z.alias("z")).where(f"z >= {LEAST_Z}").orderBy(F.desc("z"), "word").limit(MAX_WORDS).collect()
-        place = {bytes(r.word): i for i, r in enumerate(best)}
-
-        def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = [[place[w] for w in row if w in place] for row in batch.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.int32()))], names=["p", "at"])
-
-        found = {0: [], 1: []}
-        for r in sample.mapInArrow(columns, "p int, at array<int>").toLocalIterator():
-            found[r["p"]].append(sorted(r["at"]))
-    finally:
-        sample.unpersist()
-    dense = []
-    for rows in (sorted(found[1]), sorted(found[0])):  # rows arrive in any order
-        dense.append(x := np.zeros((len(rows), len(place)), np.uint8))
-        for i, at in enumerate(rows):
-            x[i, at] = 1
-    weights, bias = fit(*dense, seen[1] / seen[0])
-    return Model({k: {x[1:]: float(weights[i]) for x, i in place.items() if x[0] == k} for k in (0, *BEGINNINGS)}, bias)
+                data, at = utf8(piece.column(0))
+                found = [named(data[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([piece.column(1), pa.array(found, pa.list_(pa.binary()))], names=["as", "words"])
+
+    sample = materialise(chosen.mapInArrow(sets, "as array<int>, words array<binary>").select(F.explode("as").alias("p"), "words"), "sample")
+    size = {r.p: r.n for r in sample.groupBy("p").agg(F.count("*").alias("n")).collect()}
+    n_p, n_u = size.get(1, 0), size.get(0, 0)
+    if rows > MAX_UNLABELLED and not n_u:
+        raise ValueError("no unlabelled row was drawn")
+    if not n_p or not n_u:
+        return nothing
+    rates = sample.select("p", F.explode("words").alias("word")).groupBy("word").agg(F.sum("p").alias("a"), F.sum(1 - F.col("p")).alias("b")).where(f"a + b >= {LEAST_TEXTS}")
+    pooled = (F.col("a") + F.col("b")) / (n_p + n_u)
+    z = (F.col("a") / n_p - F.col("b") / n_u) / F.sqrt(pooled * (1 - pooled + 1e-9) * (1 / n_p + 1 / n_u))
+    place = {bytes(r.word): i for i, r in enumerate(rates.where(z >= LEAST_Z).select("word").orderBy("word").collect())}
+    if not place:
+        return nothing
+
+    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [[place[w] for w in row if w in place] for row in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["p", "at"])
+
+    got = [(r.p, sorted(r["at"])) for r in sample.mapInArrow(columns, "p int, at array<int>").collect()]  # about MAX_POSITIVE + MAX_UNLABELLED rows
+    release(sample)
+    made = [Rows([np.array(at, np.int64) for p, at in sorted(got) if p == k], len(place)) for k in (1, 0)]  # rows arrive in any order
+    weights, bias = fit(*made, seen[1] / seen[0])
+    return Model({x: float(weights[i]) for x, i in place.items()}, bias)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
@@ -155,5 +182,9 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """docs without the rows whose score reaches the threshold."""
-    return score(docs, train(docs, labels, text=text), text, "_toxicity").where(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    """docs without the rows whose score reaches the threshold; all their columns stay, whatever their names.
+
+    Each row is judged by its own text: null and empty texts get the bias alone, repeated rows the same verdict. Without a confirmed
+    toxic label nothing is dropped; an empty table stays empty."""
+    name = free_name("toxicity_score", docs)
+    return score(docs, train(docs, labels, text=text), text, name).where(F.col(name) < THRESHOLD).drop(name)

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.llm import decontaminate, html_text, lm_score, media, mixing, ngram_join, quality, queries, token_counts, toxicity, warc
+from seqloom.llm import decontaminate, html_text, lm_score, media, mixing, ngram_join, quality, queries, shared, token_counts, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, key string"
 
@@ -182,7 +182,8 @@ def test_nonnegative_pu():
         x = (rng.random((n, 6)) < np.where(y[:, None], [0.7, 0.7, 0.7, 0.3, 0.3, 0.3], [0.02, 0.02, 0.02, 0.3, 0.3, 0.3])).astype(np.uint8)
         return x, y
     p, u, (x, y) = draw(400, 1.1)[0], draw(3000, 0.1)[0], draw(3000, 0.1)
-    w, b = toxicity.fit(p, u, 0.1)
+    rows = lambda m: toxicity.Rows([np.flatnonzero(r) for r in m], m.shape[1])
+    w, b = toxicity.fit(rows(p), rows(u), 0.1)
     said = x @ w + b > 0
     assert (said == y).mean() > 0.95
 
@@ -196,6 +197,42 @@ def test_classifiers_on_odd_rows(spark, module):
         assert module.clean(docs, marks).columns == docs.columns
 
 
+def test_scores_equal_the_models_own(spark, sf):
+    """Every row of the query against the trained model applied to the row's text alone, term by term."""
+    docs, marks = spark.read.parquet(f"{sf}/documents.parquet").limit(80).unionByName(odd_docs(spark).select("doc_id", "text", "lang", "source", "n_chars")), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.train(docs, marks)
+    for r in quality.score(docs, model).collect():
+        x = quality.figures(np.frombuffer((r.text or "").encode(), np.uint8), np.array([0, len((r.text or "").encode())]))[0]
+        place = [int(sum(c <= v for c in cuts)) for v, cuts in zip(x, model.cuts, strict=True)]
+        coarse = [b * quality.PAIR_BINS // (len(c) + 1) for b, c in zip(place, model.cuts, strict=True)]
+        g = model.bias + sum(t[b] for t, b in zip(model.tables, place, strict=True)) + sum(t[coarse[f], coarse[g]] for f, g, t in model.pairs)
+        assert abs(r.score - 1 / (1 + math.exp(-g))) < 1e-9
+    model = toxicity.Model({b"\0\1bad": 2.0, b"\4\1rott": 1.0, b"\4\2rott": 0.5, b"\4\3rott": 0.25}, -1.0)
+    want = {"fine": -1.0, "Bad bad": 1.0, "rotten": 0.0, "rott": -1.0, "rotten rotter": 0.5, "rotten rotter rotting rotted bad": 2.75, "": -1.0}
+    got = toxicity.score(spark.createDataFrame([(t,) for t in want], "text string"), model).collect()
+    assert all(abs(r.score - 1 / (1 + math.exp(-want[r.text]))) < 1e-12 for r in got)
+
+
+def test_draws_of_any_size(spark):
+    share = lambda bound, rows: spark.range(200_000).where(shared.drawn(F.col("id"), bound, rows, 6)).count()
+    assert share(10, 10) == 200_000 and abs(share(20_000, 200_000) - 20_000) < 800
+    top = -(1 << 63) + (12_000 << 64) // 10**11
+    assert str(top) in str(shared.drawn(F.col("id"), 12_000, 10**11, 6)) and top > -(1 << 63)
+    docs, marks = odd_docs(spark), labels(spark).unionByName(spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int"))
+    with pytest.raises(ValueError):
+        toxicity.train(docs, marks, learn=F.lit(True), rows=10**18)
+    with pytest.raises(ValueError):
+        quality.train(docs, marks, marked=10**18)
+
+
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_cleaning_keeps_columns_of_any_name(spark, module):
+    docs = odd_docs(spark).withColumns({"toxicity_score": F.lit(1), "QUALITY_SCORE": F.lit(2), "score": F.lit(3)})
+    got = module.clean(docs, labels(spark))
+    assert got.columns == docs.columns and got.count() > 0
+    assert module.clean(docs, labels(spark).limit(0)).count() == docs.count()
+
+
 def test_gam_learns_an_interaction():
     rng = np.random.default_rng(3)
     x = rng.random((4000, len(quality.FEATURES)))
