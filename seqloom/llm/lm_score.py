@@ -1,14 +1,17 @@
-"""Language-model scoring: a log-bilinear neural model, trained in numpy with noise-contrastive estimation.
-
-Counts: every training token of the corpus, by word, kept as a table in the shared folder. Words fall into classes: the ``SINGLES``
-commonest are classes of their own, the others share ``BUCKETS`` classes by their last three bytes. The network predicts the class of a
-token from the two tokens before it (vectors of the context words, a matrix for each place, one bias for each class); within a class a
-word has (c + 1) / (sum of c + 1 over the class, and 1 for unknown words), so that the probabilities of all words add up to one.
-
-Training reads every training token: each task runs NCE over its own rows from the same start, and the parameters are averaged, weighted
-by tokens, in two steps of bounded size. Scoring normalises with batched matrix products over all classes, once for each distinct
-context in a batch of tokens. Words beyond the ``HEAD`` commonest, whose number grows with the corpus, meet their counts in a shuffled
-join; only the bounded head is sent to the tasks.
+"""Language-model scoring: a hierarchical log-bilinear neural model, trained in numpy with noise-contrastive estimation.
+
+Counts: every training token of the corpus, by word, kept as a table in the shared folder. The ``HEAD`` commonest words (a bound on what
+every task holds) have vectors of their own, as context and as target. Targets form a tree of two levels: the ``SINGLES`` commonest words
+are classes of their own, the rest of the head is cut into classes of ``GROUP`` words in the order of their endings, and all other words
+share ``BUCKETS`` classes by their last three bytes. The network predicts the class from the two tokens before, and, in a class of head
+words, the word as well; in a bucket a word has (c + 1) / (sum of c + 1 over the bucket, and 1 for unknown words). So the probabilities
+of all words add up to one.
+
+Training reads every training token once. Rows are dealt by a hash of their id and text over shards of about ``SHARD`` tokens and
+``ROUNDS`` rounds, so that nothing depends on how the table is partitioned. In a round every shard goes on from the common parameters over
+its rows of that round; then they are averaged, each vector weighted by how often it was met, in two steps of bounded size. Scoring
+normalises with batched matrix products over all classes and over all words of a class. Words beyond the head, whose number grows with
+the corpus, meet their counts in a shuffled join.
 """
 
 from __future__ import annotations
@@ -23,12 +26,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import in_pieces, materialise, remainder, space_words, utf8
+from seqloom.llm.shared import in_pieces, materialise, release, remainder, space_words, utf8
 
-HEAD, SINGLES, BUCKETS = 65_536, 384, 128
-WIDTH, NOISE, BATCH, LEAST_STEPS = 16, 40, 4_096, 400
+HEAD, SINGLES, BUCKETS, GROUP = 65_536, 384, 128, 256
+WIDTH, NOISE, INNER_NOISE, BATCH, LEAST_STEPS = 16, 40, 4, 4_096, 400
+SHARD, ROUNDS = 2_000_000, 4
+#: Averages are taken over pieces of so many parameters, first among so many shards.
+PIECE, FAN = 65_536, 64
 END = b"\n"
 LOG10 = float(np.log(10))
+NONE = np.float32(-1e30)
 
 
 class Words(dict):
@@ -43,14 +50,29 @@ class Vocabulary:
     """The head's counts and classes, and what every task needs of the whole corpus."""
 
     words: Words
-    logs: np.ndarray  # log10(c + 1) of the head's words
-    classes: np.ndarray  # class of each head word
-    single: np.ndarray
-    mass: np.ndarray  # log10 of each class's mass; 0 for single words
-    start: np.ndarray  # log probability of each class
+    counts: np.ndarray  # of the head's words
+    mass: np.ndarray  # of each bucket
     tokens: int
     distinct: int
 
+    def __post_init__(self) -> None:
+        n, c = len(self.words), self.counts + 1.0
+        self.logs = np.log10(c)
+        rest = sorted((w[::-1], i) for w, i in self.words.items() if i >= SINGLES)
+        self.slot = np.full(n, -1, np.int32)  # place among the words of all groups
+        self.slot[[i for _, i in rest]] = np.arange(len(rest))
+        groups = -(-len(rest) // GROUP)
+        weight = np.zeros(groups * GROUP)
+        weight[: len(rest)] = c[[i for _, i in rest]]
+        per_group = weight.reshape(groups, GROUP).sum(axis=1)
+        self.chance = weight / np.repeat(per_group, GROUP) if groups else weight  # of a word within its group
+        self.until = np.cumsum(self.chance)
+        self.inner = np.where(self.chance > 0, np.log(np.maximum(self.chance, 1e-30)), NONE).astype(np.float32)
+        singles = np.concatenate([c[:SINGLES], np.full(max(0, SINGLES - n), 1e-6)])
+        weight = np.concatenate([singles, self.mass, per_group])
+        self.start = np.log(weight / weight.sum())
+        self.classes = np.where(self.slot >= 0, SINGLES + BUCKETS + self.slot // GROUP, np.arange(n)).astype(np.int32)
+
     def places(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
         """Place of every token, where each text's tokens start (an end follows its words), and the words."""
         each = [t.lower().split() + [END] for t in texts]
@@ -59,105 +81,182 @@ class Vocabulary:
         return np.fromiter((p for row in each for p in map(get, row)), np.int32, int(edge[-1])), edge, each
 
     def class_of(self, place: np.ndarray) -> np.ndarray:
+        if not len(self.classes):
+            return (SINGLES - 1 - place).astype(np.int32)
         return np.where(place >= 0, self.classes[np.maximum(place, 0)], SINGLES - 1 - place).astype(np.int32)
 
+    def slot_of(self, place: np.ndarray) -> np.ndarray:
+        if not len(self.slot):
+            return np.full(len(place), -1, np.int32)
+        return np.where(place >= 0, self.slot[np.maximum(place, 0)], -1).astype(np.int32)
 
-def contexts(classes: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes one and two tokens before; before a text's first token stands the class after the last."""
-    none = SINGLES + BUCKETS
-    one, two = np.concatenate([[none], classes[:-1]]), np.concatenate([[none, none], classes[:-2]])[: len(classes)]
-    first = edge[:-1]
-    one[first], two[first] = none, none
-    second = (first + 1)[first + 1 < len(classes)]
-    two[second] = none
-    return one.astype(np.int32), two.astype(np.int32)
+    def contexts(self, place: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors one and two tokens before; before a text's first token stands the vector after the last."""
+        own = np.where(place >= 0, place, len(self.words) - 1 - place)
+        none = len(self.words) + BUCKETS
+        one, two = np.concatenate([[none], own[:-1]]), np.concatenate([[none, none], own[:-2]])[: len(own)]
+        first = edge[:-1]
+        one[first], two[first] = none, none
+        second = (first + 1)[first + 1 < len(own)]
+        two[second] = none
+        return one.astype(np.int32), two.astype(np.int32)
 
 
-def initial(start: np.ndarray, seed: int = 4) -> dict[str, np.ndarray]:
-    k, rng = len(start), np.random.default_rng(seed)
-    small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-    return {"q": small(k + 1, WIDTH), "r": small(k, WIDTH), "one": np.eye(WIDTH, dtype=np.float32), "two": 0.5 * np.eye(WIDTH, dtype=np.float32), "b": start.astype(np.float32)}
+Parameters = dict[str, np.ndarray]
 
 
-def _add_rows(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def initial(known: Vocabulary, seed: int = 4) -> Parameters:
+    """q: context vectors; one, two: a matrix for each place; r, b: classes; s, d: words within their classes."""
+    rng = np.random.default_rng(seed)
+    small = lambda n: rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32)
+    return {
+        "q": small(len(known.words) + BUCKETS + 1), "r": small(len(known.start)), "b": known.start.astype(np.float32), "one": np.eye(WIDTH, dtype=np.float32),
+        "two": 0.5 * np.eye(WIDTH, dtype=np.float32), "s": np.zeros((len(known.inner), WIDTH), np.float32), "d": known.inner.copy(),
+    }
+
+
+def _rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct places and the sum of the rows at each."""
     order = np.argsort(at, kind="stable")
     at = at[order]
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    into[at[first]] += np.add.reduceat(rows[order], first, axis=0)
-    return into
+    return at[first], np.add.reduceat(rows[order], first, axis=0)
+
 
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
-def nce(target: np.ndarray, one: np.ndarray, two: np.ndarray, start: np.ndarray, rate: float = 0.1, seed: int = 4) -> dict[str, np.ndarray]:
-    """Parameters after at least one pass, and at least LEAST_STEPS steps, of noise-contrastive estimation with AdaGrad.
 
-    The noise is the classes' own distribution; the samples of a step are shared by its tokens."""
-    p, rng = initial(start), np.random.default_rng(seed + 1)
-    chance = np.exp(start - np.logaddexp.reduce(start))
+def nce(known: Vocabulary, p: Parameters, total: Parameters, place: np.ndarray, edge: np.ndarray, least: int = LEAST_STEPS, rate: float = 0.1, seed: int = 4) -> tuple[Parameters, Parameters, Parameters]:
+    """Parameters and AdaGrad sums after one pass, or at least ``least`` steps, of noise-contrastive estimation, and how often each
+    vector was met.
+
+    The noise is the unigram distribution of classes, shared by the tokens of a step, and of words within a class, drawn for each."""
+    p, total = ({k: v.copy() for k, v in x.items()} for x in (p, total))
+    y, slot, (one, two) = known.class_of(place), known.slot_of(place), known.contexts(place, edge)
+    rng, n = np.random.default_rng(seed), len(place)
+    chance = np.exp(known.start - np.logaddexp.reduce(known.start))
     noise_log = (np.log(chance) + np.log(NOISE)).astype(np.float32)
-    total = {k: np.full_like(v, 1e-6) for k, v in p.items()}
-    n = len(target)
-    for step in range(max(-(-n // BATCH), LEAST_STEPS if n else 0)):
-        a = step * BATCH % max(n - BATCH + 1, 1) if step * BATCH >= n else step * BATCH
-        y, c1, c2 = target[a : a + BATCH], one[a : a + BATCH], two[a : a + BATCH]
+    inner_log = known.inner + np.float32(np.log(INNER_NOISE))
+
+    def move(k: str, at: np.ndarray | slice, g: np.ndarray) -> None:
+        total[k][at] += g * g
+        p[k][at] -= rate * g / np.sqrt(total[k][at])
+
+    for step in range(max(-(-n // BATCH), least) if n else 0):
+        a = step % -(-n // BATCH) * BATCH
+        t, c1, c2, w = y[a : a + BATCH], one[a : a + BATCH], two[a : a + BATCH], slot[a : a + BATCH]
         noise = rng.choice(len(chance), NOISE, p=chance)
         q1, q2 = p["q"][c1], p["q"][c2]
         h = q1 @ p["one"] + q2 @ p["two"]
-        r_y, r_n = p["r"][y], p["r"][noise]
-        on_y = 1 / (1 + np.exp(-((h * r_y).sum(axis=1) + p["b"][y] - noise_log[y]))) - 1
-        on_n = 1 / (1 + np.exp(-(h @ r_n.T + p["b"][noise] - noise_log[noise])))
-        scale = np.float32(1 / len(y))
-        on_y, on_n = on_y * scale, on_n * scale
-        d_h = on_y[:, None] * r_y + on_n @ r_n
-        g = {"r": _add_rows(np.zeros_like(p["r"]), y, on_y[:, None] * h), "b": np.bincount(y, on_y, len(start)).astype(np.float32)}
-        np.add.at(g["r"], noise, on_n.T @ h)
-        np.add.at(g["b"], noise, on_n.sum(axis=0))
-        g["q"] = _add_rows(_add_rows(np.zeros_like(p["q"]), c1, d_h @ p["one"].T), c2, d_h @ p["two"].T)
-        g["one"], g["two"] = q1.T @ d_h, q2.T @ d_h
-        for k, v in g.items():
-            total[k] += v * v
-            p[k] -= rate * v / np.sqrt(total[k])
-    return p
+        r_t, r_n = p["r"][t], p["r"][noise]
+        scale = np.float32(1 / len(t))
+        on_t = (sigmoid((h * r_t).sum(axis=1) + p["b"][t] - noise_log[t]) - 1) * scale
+        on_n = sigmoid(h @ r_n.T + p["b"][noise] - noise_log[noise]) * scale
+        d_h = on_t[:, None] * r_t + on_n @ r_n
+        at, g = _rows(np.concatenate([t, noise]), np.concatenate([on_t[:, None] * h, on_n.T @ h]))
+        at_b, g_b = _rows(np.concatenate([t, noise]), np.concatenate([on_t, on_n.sum(axis=0)]))
+        inside = np.flatnonzero(w >= 0)
+        if len(inside):
+            own, h_w = w[inside], h[inside]
+            drawn = np.searchsorted(known.until, (own // GROUP)[:, None] + rng.random((len(own), INNER_NOISE)), side="right")
+            low = own // GROUP * GROUP
+            drawn = np.minimum(np.maximum(drawn, low[:, None]), low[:, None] + GROUP - 1)
+            drawn = np.where(known.chance[drawn] > 0, drawn, own[:, None])  # rounding at a group's end
+            every = np.concatenate([own[:, None], drawn], axis=1)
+            s_e = p["s"][every]
+            on = sigmoid(np.einsum("nw,nkw->nk", h_w, s_e) + p["d"][every] - inner_log[every])
+            on[:, 0] -= 1
+            on *= scale
+            d_h[inside] += np.einsum("nk,nkw->nw", on, s_e)
+            at_s, g_s = _rows(every.ravel(), (on[:, :, None] * h_w[:, None, :]).reshape(-1, WIDTH))
+            at_d, g_d = _rows(every.ravel(), on.ravel())
+            move("s", at_s, g_s)
+            move("d", at_d, g_d)
+        at_q, g_q = _rows(np.concatenate([c1, c2]), np.concatenate([d_h @ p["one"].T, d_h @ p["two"].T]))
+        move("one", slice(None), q1.T @ d_h)
+        move("two", slice(None), q2.T @ d_h)
+        move("r", at, g)
+        move("b", at_b, g_b)
+        move("q", at_q, g_q)
+    tally = lambda x, size: np.bincount(x, minlength=size).astype(np.float32)
+    met = {"q": tally(one, len(p["q"])) + tally(two, len(p["q"])), "r": tally(y, len(p["r"])), "s": tally(slot[slot >= 0], len(p["s"]))}
+    met |= {"b": met["r"], "d": met["s"], "one": np.full(WIDTH, n, np.float32), "two": np.full(WIDTH, n, np.float32)}
+    return p, total, met
+
+
+def log_probabilities(known: Vocabulary, p: Parameters, place: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """log10 of P(class | context), times P(word | class, context) for words of the head, normalised over all classes and words."""
+    y, slot, (one, two) = known.class_of(place), known.slot_of(place), known.contexts(place, edge)
+    a, b = (p["q"] @ p[k] for k in ("one", "two"))
+    out = np.empty(len(place), np.float64)
+    group = np.where(slot >= 0, slot // GROUP, -1)
+    for i in range(0, len(place), 4096):
+        h = a[one[i : i + 4096]] + b[two[i : i + 4096]]
+        x = h @ p["r"].T
+        x += p["b"]
+        t = y[i : i + 4096]
+        out[i : i + 4096] = x[np.arange(len(t)), t] - _log_sum(x)
+    order = np.argsort(group, kind="stable")
+    order = order[np.searchsorted(group[order], 0) :]
+    edges = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) != 0, [True]])) if len(order) else []
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        at = order[i:j]
+        low = int(group[at[0]]) * GROUP
+        x = (a[one[at]] + b[two[at]]) @ p["s"][low : low + GROUP].T
+        x += p["d"][low : low + GROUP]
+        out[at] += x[np.arange(len(at)), slot[at] - low] - _log_sum(x)
+    return out / LOG10
 
 
-def log_probabilities(p: dict[str, np.ndarray], target: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """log10 P(class | context) of each token, normalised over all classes."""
-    wide = len(p["q"])
-    pairs, at = np.unique(two.astype(np.int64) * wide + one, return_inverse=True)
-    a, b = (p["q"] @ p[k] for k in ("one", "two"))
-    h = a[pairs % wide] + b[pairs // wide]
-    norm = np.empty(len(pairs), np.float32)
-    for i in range(0, len(pairs), 4096):
-        s = h[i : i + 4096] @ p["r"].T
-        s += p["b"]
-        top = s.max(axis=1)
-        s -= top[:, None]
-        np.exp(s, out=s)
-        norm[i : i + 4096] = np.log(s.sum(axis=1)) + top
-    return ((h[at] * p["r"][target]).sum(axis=1) + p["b"][target] - norm[at]).astype(np.float64) / LOG10
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    """log of the sum of the exponentials of each row."""
+    top = x.max(axis=1)
+    return np.log(np.exp(x - top[:, None]).sum(axis=1)) + top
+
+
+ORDER = ("q", "r", "b", "one", "two", "s", "d")
 
 
-def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in sorted(p)])
+def _flat(p: Parameters) -> np.ndarray:
+    return np.concatenate([p[k].ravel() for k in ORDER]).astype(np.float32)
 
 
-def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def _shaped(flat: np.ndarray, like: Parameters) -> Parameters:
     out, at = {}, 0
-    for k in sorted(like):
+    for k in ORDER:
         out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
         at += like[k].size
     return out
 
 
-def _mean(rows: Iterator[tuple[int, np.ndarray]]) -> tuple[int, np.ndarray | None]:
-    total, weight = None, 0
-    for n, values in rows:
-        weight += n
-        total = values.astype(np.float64) * n if total is None else total + values.astype(np.float64) * n
-    return weight, None if total is None or not weight else total / weight
+def _wide(met: Parameters, like: Parameters) -> np.ndarray:
+    """A weight for every parameter: how often its row was met, and a little, so that rows nobody met are averaged too."""
+    return np.concatenate([np.repeat(met[k] + np.float32(1e-3), like[k].size // max(len(like[k]), 1)) for k in ORDER])
+
+
+MEAN = "piece int, share int, w array<float>, t array<float>, m array<float>"
+
 
+def _add(batches: Iterator[pa.RecordBatch], fan: int) -> Iterator[pa.RecordBatch]:
+    """Sums of weighted parameters, AdaGrad sums and weights for each (piece, share / fan); rows come sorted by piece and share."""
+    now, total = None, None
 
-def _weights(tokens: int, values: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([values.astype(np.float32)], pa.list_(pa.float32()))], names=["n", "w"])
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), *(pa.array([x.astype(np.float32)], pa.list_(pa.float32())) for x in total)], names=["piece", "share", "w", "t", "m"])
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            key = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py() // fan)
+            row = [batch.column(k)[i].values.to_numpy(zero_copy_only=False).astype(np.float64) for k in (2, 3, 4)]
+            if key != now:
+                if now is not None:
+                    yield done()
+                now, total = key, row
+            else:
+                total = [x + y for x, y in zip(total, row, strict=True)]
+    if now is not None:
+        yield done()
 
 
 def count(docs: DataFrame, learn: Column) -> DataFrame:
@@ -178,46 +277,66 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     head = sorted(((-r.c, r.word.encode()) for r in counts.where(level >= least).collect()))
     bucket = F.crc32(F.substring(F.col("word").cast("binary"), -3, 3)) % BUCKETS
     mass = np.ones(BUCKETS)
-    for r in counts.groupBy(bucket.alias("k")).agg(F.sum(F.col("c") + 1).alias("m")).collect():
+    for r in counts.where(level < least).groupBy(bucket.alias("k")).agg(F.sum(F.col("c") + 1).alias("m")).collect():
         mass[r.k] += r.m
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    words, c = Words({w: i for i, (_, w) in enumerate(head)}), np.array([-n for n, _ in head], np.float64)
-    own = [zlib.crc32(w[-3:]) % BUCKETS for _, w in head]
-    single = np.arange(len(head)) < SINGLES
-    np.subtract.at(mass, np.array(own[:SINGLES], int), c[:SINGLES] + 1)
-    weight = np.concatenate([c[:SINGLES] + 1, np.full(max(0, SINGLES - len(c)), 1e-6), mass])
-    classes = np.where(single, np.arange(len(head)), SINGLES + np.array(own, int)).astype(np.int32)
-    return Vocabulary(words, np.log10(c + 1), classes, single, np.concatenate([np.zeros(SINGLES), np.log10(mass)]), np.log(weight / weight.sum()), int(tokens), int(distinct))
+    return Vocabulary(Words({w: i for i, (_, w) in enumerate(head)}), np.array([-n for n, _ in head], np.float64), mass, int(tokens), int(distinct))
 
 
-def train(docs: DataFrame, learn: Column, known: Vocabulary) -> dict[str, np.ndarray]:
-    like = initial(known.start)
+def train(docs: DataFrame, learn: Column, known: Vocabulary, shard: int = SHARD, rounds: int = ROUNDS) -> Parameters:
+    """The parameters after all rounds; they depend on the rows, not on their order or partitions."""
+    p = initial(known)
+    total = {k: np.full_like(v, 1e-6) for k, v in p.items()}
+    if not known.tokens:
+        return p
+    shards = -(-known.tokens // shard)
+    key = F.xxhash64("id", "text")
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in in_pieces(batch, "text"):
-                data, at = utf8(piece.column(0))
+                data, at = utf8(piece.column(1))
                 place, edge, _ = known.places([data[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)])
-                y = known.class_of(place)
-                parts.append([x.astype(np.int16) for x in (y, *contexts(y, edge))])
-                if sum(len(x[0]) for x in parts) > 8_000_000:  # bounds the memory of a task
-                    y, one, two = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    yield _weights(len(y), _flat(nce(y, one, two, known.start)))
-                    parts = []
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(place, pa.int32()))], names=["key", "place"])
+
+    coded = docs.where(learn).select(key.alias("key"), "text").mapInArrow(encode, "key long, place array<int>")
+    coded = coded.select("key", "place", F.pmod("key", F.lit(rounds)).cast("int").alias("round"), F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"))
+    coded = materialise(coded, "coded")
+    for turn in range(rounds):
+        state = (p, total)
+
+        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mine, now = [], None
+
+            def solve() -> Iterator[pa.RecordBatch]:
+                edge = np.cumsum([0, *map(len, mine)])
+                new, sums, met = nce(known, *state, np.concatenate(mine), edge, -(-LEAST_STEPS // rounds), seed=turn * 1_000_003 + now)
+                w, t, m = _flat(new), _flat(sums), _wide(met, new)
+                for k, i in enumerate(range(0, len(w), PIECE)):
+                    part = slice(i, i + PIECE)
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([now], pa.int32()), *(pa.array([x], pa.list_(pa.float32())) for x in (w[part] * m[part], t[part] * m[part], m[part]))], names=["piece", "share", "w", "t", "m"])
+
+            for batch in batches:
+                for which, place in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    if which != now and mine:
+                        yield from solve()
+                        mine = []
+                    now = which
+                    mine.append(place.values.to_numpy(zero_copy_only=False))
+            if mine:
+                yield from solve()
+
+        dealt = coded.where(F.col("round") == turn).repartition(max(1, shards), "shard").sortWithinPartitions("shard", "key").select("shard", "place")
+        sums = dealt.mapInArrow(fit, MEAN)
+        for fan in (FAN, 1 << 30):
+            near = F.floor(F.col("share") / fan)
+            sums = sums.repartition(16, "piece", near).sortWithinPartitions("piece", "share").mapInArrow(lambda x, fan=fan: _add(x, fan), MEAN)
+        parts = sorted((r.piece, r.w, r.t, r.m) for r in sums.collect())  # one row for each piece
         if parts:
-            y, one, two = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield _weights(len(y), _flat(nce(y, one, two, known.start)))
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((n, np.array(w)) for batch in batches for n, w in zip(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False), strict=True))
-        weight, mean = _mean(rows)
-        if mean is not None:
-            yield _weights(weight, mean)
-
-    each = docs.where(learn).select("text").mapInArrow(fit, "n long, w array<float>").repartition(16).mapInArrow(merge, "n long, w array<float>")
-    _, mean = _mean((r.n, np.array(r.w)) for r in each.collect())  # 16 rows at most
-    return like if mean is None else _shaped(mean, like)
+            w, t, m = (np.concatenate([np.array(x[k], np.float64) for x in parts]) for k in (1, 2, 3))
+            p, total = _shaped(w / m, p), _shaped(np.maximum(t / m, 1e-6), p)
+    release(coded)
+    return p
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", learn: Column | None = None) -> DataFrame:
@@ -230,17 +349,16 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", learn: Co
     counts = count(base, learn)
     known = vocabulary(counts)
     p = train(base, learn, known)
+    floor_mass = np.concatenate([np.zeros(SINGLES), np.log10(known.mass), np.zeros(len(known.start) - SINGLES - BUCKETS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in in_pieces(batch, "text"):
                 data, at = utf8(piece.column(2))
                 place, edge, each = known.places([data[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)])
-                y = known.class_of(place)
-                one, two = contexts(y, edge)
                 head = place >= 0
                 logs = np.where(head, known.logs[np.maximum(place, 0)] if len(known.logs) else 0, 0)
-                inner = log_probabilities(p, y, one, two) - known.mass[y] + np.where(head & (y >= SINGLES), logs, 0)
+                inner = log_probabilities(known, p, place, edge) - floor_mass[known.class_of(place)]
                 by = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[edge])  # noqa: B023, E731
                 sums = [by(np.ones(len(place))).astype(np.int64), by(head).astype(np.int64), by(logs), by(inner)]
                 ids, rows = piece.column(1), piece.column(0).to_pylist()
