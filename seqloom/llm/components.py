@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import materialise
+from seqloom.llm.shared import materialise, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -37,7 +37,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     now = materialise(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").distinct(), "edges")
     state = _state(now)
     while state[0]:
-        now = materialise(_star(_star(now, True), False), "star")
+        before, now = now, materialise(_star(_star(now, True), False), "star")
+        release(before)
         if (after := _state(now)) == state:
             break
         state = after

@@ -5,13 +5,17 @@
    n - t + e smallest shingles by hash at least e lie in the partner's prefix as well. Sets with fewer prefix shingles that any other
    set has link with nothing. One grouped minimum and maximum by shingle decides it; nothing is gathered by shingle.
 3. The remaining sets are ordered by rarity. Those that share a shingle within their n - t + 1 rarest fall into one candidate
-   class (components over one star for each shingle, so links grow with the rows). A class of more than ``block_tokens`` shingles is split
-   into blocks of like size, and every two blocks that can hold a link are joined on their own: no class meets in one task.
-4. In a block (or two) the ordered sets go into a radix tree, commonest shingle first. A probe walks it once: sets with a common
+   class (components over one star for each shingle, so links grow with the rows). A class of at most ``block_tokens`` shingles is a
+   block and joined at once. A larger one is dealt into blocks by a hash, each joined on its own, twice with different hashes: that
+   joins large groups of near copies with work in proportion to their rows.
+4. After each deal only shingles that sets of two different components hold can still stand for a missing link, so the classes of
+   dealt sets are formed anew over those shingles, mostly none. What is left after the last deal and still too large is split into
+   blocks of like size, and every two blocks that can hold a link are joined: exact, and quadratic in that rest alone.
+5. In a block the ordered sets go into a radix tree, commonest shingle first. A probe walks it once: sets with a common
    beginning share the count of what has matched so far, and a subtree is left where what has matched plus the shorter remainder
    falls short of the overlap that its shortest set asks for, or where all its sets are linked with the probe already.
    What comes out is a spanning forest of the links, at most one row for each set and block.
-5. Components of these rows give the classes.
+6. Components of these rows give the classes.
 
 Equality is that of 64-bit hashes of shingles and 128-bit digests of sets.
 """
@@ -26,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.components import components
-from seqloom.llm.shared import chunks, maybe_broadcast, materialise, utf8
+from seqloom.llm.shared import chunks, free_name, materialise, maybe_broadcast, release, utf8
 
 WORDS = 5
 #: Needed: 100 * intersection >= SHARE * union.
 SHARE = 80
-BLOCK_TOKENS = 400_000
+BLOCK_TOKENS, DEALS = 32_000, 2
 ODD = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
@@ -251,17 +255,71 @@ def _misses(share: int) -> str:
     return f"n - CAST(ceil({share} * n / 100.0D) AS LONG)"
 
 
+def _classes(token: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(node, root): candidate classes over the prefix shingles that sets of two components or more hold."""
+    if roots is not None:
+        token = token.join(roots, token.id == roots.node, "left").select("id", "h", F.coalesce("root", "id").alias("root"))
+    else:
+        token = token.withColumn("root", F.col("id"))
+    group = token.groupBy("h").agg(F.min("id").alias("b"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h", "b")
+    return components(token.join(group, "h").select(F.col("id").alias("a"), "b"), "a", "b")
+
+
+def _paired(held: DataFrame, large: DataFrame, block_tokens: int, share: int) -> DataFrame:
+    """Rows of large classes, once for every two blocks of like size that can hold a link."""
+    held = held.join(maybe_broadcast(large.select("root")), "root", "left_semi").withColumn("band", F.floor(F.log("n") / F.lit(float(np.log(100 / share)))).cast("int"))
+    sums = held.groupBy("root", "band").agg(F.sum(F.size("shared")).alias("tokens"))
+    blocks = sums.select("root", "band", F.ceil(F.col("tokens") / (block_tokens / 2)).cast("int").alias("k"))
+    blocks = materialise(blocks.select("root", "band", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part")), "blocks")
+    other = blocks.select("root", F.col("band").alias("band2"), F.col("part").alias("part2"))
+    name = F.when(F.expr("struct(band, part) <= struct(band2, part2)"), F.concat_ws("/", "band", "part", "band2", "part2")).otherwise(F.concat_ws("/", "band2", "part2", "band", "part"))
+    pairs = blocks.join(other, "root").where("abs(band - band2) <= 1").select("root", "band", "part", name.alias("pair"))
+    split = held.join(blocks.select("root", "band", "k").distinct(), ["root", "band"]).withColumn("part", F.pmod(F.xxhash64("id"), "k").cast("int"))
+    return split.join(pairs, ["root", "band", "part"]).select(F.concat_ws(":", "root", "pair").alias("block"), "id", "n", "shared")
+
+
+def _links(ordered: DataFrame, block_tokens: int, share: int) -> DataFrame:
+    """(a, b): links whose components are those of all links between the sets (id, n, shared, len)."""
+    parts = int(ordered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    token = ordered.select("id", F.explode(F.expr("slice(shared, 1, CAST(len AS INT)).h")).alias("h"))
+    found, roots = None, None
+    for deal in range(DEALS + 1):
+        classes = _classes(token, roots)
+        held = materialise(ordered.join(classes, ordered.id == classes.node).select("id", "n", "shared", "len", "root"), "held")
+        sums = held.groupBy("root").agg(F.sum(F.size("shared")).alias("tokens"))
+        large = materialise(sums.where(F.col("tokens") > block_tokens).select("root", F.ceil(F.col("tokens") / block_tokens).alias("k")), "large")
+        done = large.isEmpty()
+        near = maybe_broadcast(large)
+        rows = held.join(near, "root", "left").select("root", "k", "id", "n", "shared")
+        if deal < DEALS:
+            part = F.coalesce(F.pmod(F.xxhash64("id", F.lit(deal)), "k"), F.lit(0))
+            blocks = rows.select(F.concat_ws(":", "root", part).alias("block"), "id", "n", "shared")
+        else:
+            blocks = rows.where("k IS NULL").select(F.concat_ws(":", "root").alias("block"), "id", "n", "shared")
+            if not done:
+                blocks = blocks.union(_paired(held, large, block_tokens, share))
+        made = materialise(blocks.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_join(share), "a long, b long"), "links")
+        found = made if found is None else found.union(made)
+        if done or deal == DEALS:
+            return found
+        ordered = materialise(held.join(near, "root", "left_semi").select("id", "n", "shared", "len"), "dealt")
+        release(held)
+        token = ordered.select("id", F.explode(F.expr("slice(shared, 1, CAST(len AS INT)).h")).alias("h"))
+        roots = components(found, "a", "b")
+    return found
+
+
 def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, share: int = SHARE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(id, n_shingles, component_id) for each row of docs.
+    """(id, n_shingles, component_id) for each row of docs; ids are integers, others raise TypeError.
 
     Texts that are null or have no word have no shingles and link with nothing; fewer words than ``words`` make one shingle. Rows
-    that repeat an id count as one document if their texts are equal, else each text links under that id. A null id gives a null
-    component. Other columns are ignored whatever their names."""
-    spark = docs.sparkSession
+    that repeat an id are one document: each of their texts links under that id. A null id gives a null component. Other columns are
+    ignored whatever their names; an empty table gives an empty one."""
+    if docs.schema[doc_id].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{doc_id} must be of an integer type")
     ids = materialise(_with_sets(docs, doc_id, text, words, _digest, "n long, d1 long, d2 long"), "ids")
     full = ids.where("n > 0 AND id IS NOT NULL")
     first = full.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     prefix = _with_sets(docs, doc_id, text, words, _prefix(share), "d1 long, h array<long>").where("id IS NOT NULL AND size(h) > 0")
     alone = prefix.select("d1", F.explode("h").alias("h")).groupBy("h").agg(F.min("d1").alias("d1"), F.max("d1").alias("other")).where("d1 = other")
@@ -272,27 +330,18 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     mine = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(maybe_broadcast(left.select(F.col("rep").alias("id")).distinct()), "id", "left_semi")
     whole = lambda sets: _digest(sets) | {"h": _lists(sets)}
     sets = _with_sets(mine, "id", "text", words, whole, "n long, d1 long, d2 long, h array<long>")
-    rows = materialise(sets.where("n > 0").dropDuplicates(["id", "d1", "d2"]).select("id", "n", F.explode("h").alias("h")), "shingles")
+    rows = materialise(sets.where("n > 0").dropDuplicates(["id", "d1", "d2"]).select("id", "d1", "d2", "n", F.explode("h").alias("h")), "shingles")
     common = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    ordered = rows.join(common, "h").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))
+    ordered = rows.join(common, "h").groupBy("id", "d1", "d2", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))
     ordered = ordered.withColumn("lone", F.col("n") - F.size("shared")).withColumn("len", F.expr(f"{_misses(share)} + 1 - lone")).where("len > 0")
-    ordered = materialise(ordered, "ordered")
-    token = ordered.select("id", F.explode(F.expr("slice(shared, 1, CAST(len AS INT)).h")).alias("h"))
-    star = token.join(token.groupBy("h").agg(F.min("id").alias("b"), F.max("id").alias("last")).where("b < last"), "h").select(F.col("id").alias("a"), "b")
-    classes = components(star, "a", "b")
-    held = materialise(ordered.join(classes, ordered.id == classes.node).select("id", "n", "shared", "root", F.floor(F.log("n") / F.lit(float(np.log(100 / share)))).cast("int").alias("band")), "held")
+    ordered = materialise(ordered.select("id", "n", "shared", "len"), "ordered")
+    release(rows)
+    links = _links(ordered, block_tokens, share)
 
-    sums = held.groupBy("root", "band").agg(F.sum(F.size("shared")).alias("tokens"))
-    large = sums.groupBy("root").agg(F.sum("tokens").alias("all")).where(F.col("all") > block_tokens).select("root")
-    blocks = sums.join(large, "root").select("root", "band", F.ceil(F.col("tokens") / (block_tokens / 2)).cast("int").alias("k"))
-    blocks = blocks.select("root", "band", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"))
-    other = blocks.select("root", F.col("band").alias("band2"), F.col("part").alias("part2"))
-    pairs = blocks.join(other, "root").where("abs(band - band2) <= 1").select("root", "band", "k", "part", F.when(F.expr("struct(band, part) <= struct(band2, part2)"), F.concat_ws("/", "band", "part", "band2", "part2")).otherwise(F.concat_ws("/", "band2", "part2", "band", "part")).alias("pair"))
-    small = held.join(large, "root", "left_anti").select(F.concat_ws(":", "root").alias("block"), "id", "n", "shared")
-    split = held.join(blocks.select("root", "band", "k").distinct(), ["root", "band"]).withColumn("part", F.pmod(F.xxhash64("id"), "k").cast("int"))
-    split = split.join(pairs.drop("k"), ["root", "band", "part"]).select(F.concat_ws(":", "root", "pair").alias("block"), "id", "n", "shared")
-    links = small.union(split).repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_join(share), "a long, b long")
-    roots = components(links, "a", "b")
+    # an id with several texts is one document: it holds together the classes of all of them
+    several = full.groupBy("id").agg(F.min(F.struct("d1", "d2", "n")).alias("x"), F.max(F.struct("d1", "d2", "n")).alias("y")).where("x <> y").select("id")
+    several = full.join(maybe_broadcast(several), "id", "left_semi").join(first, ["d1", "d2", "n"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    roots = components(links.union(several), "a", "b")
 
     known = first.join(roots, first.rep == roots.node, "left").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n").alias("m"), F.coalesce("root", "rep").alias("component_id"))
     joined = ids.join(known, (ids.d1 == known.e1) & (ids.d2 == known.e2) & (ids.n == known.m) & (ids.n > 0), "left")
@@ -300,6 +349,9 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the documents that have a smaller id in their component; rows with a null id stay, as do rows that repeat a kept id."""
-    gone = link_components(docs, doc_id, text).where("component_id < id").select("id").distinct()
-    return docs.join(maybe_broadcast(gone), docs[doc_id] == gone.id, "left_anti")
+    """docs without the documents that have a smaller id in their component; their columns stay, whatever their names.
+
+    Rows with a null id stay, as do rows without words and all rows of a kept id; a document goes with all its rows."""
+    name = free_name("gone_id", docs)
+    gone = link_components(docs, doc_id, text).where("component_id < id").select(F.col("id").alias(name)).distinct()
+    return docs.join(maybe_broadcast(materialise(gone, "gone")), F.col(doc_id) == F.col(name), "left_anti")

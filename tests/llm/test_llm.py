@@ -54,7 +54,7 @@ def brute_components(rows):
     return {i: (len(s), find(i)) for i, s in sets}
 
 
-@pytest.mark.parametrize("block", [400_000, 60])
+@pytest.mark.parametrize("block", [400_000, 600, 60])
 def test_join_equals_brute_force(spark, block):
     rng = np.random.default_rng(block)
     base = [rng.integers(0, 4000, 60).tolist() for _ in range(12)]
@@ -75,6 +75,25 @@ def test_join_of_odd_rows(spark):
     assert ngram_join.link_components(odd_docs(spark, [])).count() == 0
 
 
+def test_join_of_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(80)) for x in "abcd")
+    half = " ".join(a.split()[:42] + b.split()[38:])
+    run = lambda rows: {(r.id, r.component_id) for r in ngram_join.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert run([(1, a), (1, b), (4, half)]) == {(1, 1), (4, 4)}
+    # 5 is one document with two texts, so whoever equals either is linked with it
+    assert run([(1, a), (5, a), (5, c), (7, c + " tail"), (2, d), (9, b), (9, d), (9, ""), (9, None)]) == {(1, 1), (5, 1), (7, 1), (2, 2), (9, 2), (9, 9)}
+    with pytest.raises(TypeError):
+        ngram_join.link_components(spark.createDataFrame([("x", a)], "doc_id string, text string"))
+
+
+def test_one_of_each(spark):
+    docs = odd_docs(spark).withColumn("GONE_ID", F.lit(1))
+    kept = ngram_join.one_of_each(docs)
+    got = Counter((r.doc_id, r.text and r.text[:9]) for r in kept.collect())
+    assert kept.columns == docs.columns
+    assert got == Counter({(1, None): 1, (2, ""): 1, (3, "one two"): 2, (5, "w0 w1 w2 "): 1, (None, "loose row"): 1, (7, "Ångström "): 1, (8, "a b c d e"): 1})
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, sf, name):
     db = duckdb.connect()
