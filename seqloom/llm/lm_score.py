@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import in_pieces, materialise, release, remainder, space_words, utf8
+from seqloom.llm.shared import in_pieces, materialise, release, remainder, utf8
 
-HEAD, SINGLES, BUCKETS, GROUP = 65_536, 384, 128, 256
-WIDTH, NOISE, INNER_NOISE, BATCH, LEAST_STEPS = 16, 40, 4, 4_096, 400
-SHARD, ROUNDS = 2_000_000, 4
-#: Averages are taken over pieces of so many parameters, first among so many shards.
-PIECE, FAN = 65_536, 64
+HEAD, SINGLES, BUCKETS, GROUP = 65_536, 128, 64, 256
+WIDTH, NOISE, INNER_NOISE, BATCH, LEAST_STEPS = 16, 40, 2, 4_096, 400
+SHARD, ROUNDS = 8_000_000, 4
+#: Averages are taken over pieces of so many rows, first among so many shards.
+PIECE, FAN = 8_192, 64
 END = b"\n"
 LOG10 = float(np.log(10))
 NONE = np.float32(-1e30)
@@ -65,9 +65,8 @@ class Vocabulary:
         weight = np.zeros(groups * GROUP)
         weight[: len(rest)] = c[[i for _, i in rest]]
         per_group = weight.reshape(groups, GROUP).sum(axis=1)
-        self.chance = weight / np.repeat(per_group, GROUP) if groups else weight  # of a word within its group
-        self.until = np.cumsum(self.chance)
-        self.inner = np.where(self.chance > 0, np.log(np.maximum(self.chance, 1e-30)), NONE).astype(np.float32)
+        chance = weight / np.repeat(per_group, GROUP) if groups else weight  # of a word within its group
+        self.inner = np.where(chance > 0, np.log(np.maximum(chance, 1e-30)), NONE).astype(np.float32)
         singles = np.concatenate([c[:SINGLES], np.full(max(0, SINGLES - n), 1e-6)])
         weight = np.concatenate([singles, self.mass, per_group])
         self.start = np.log(weight / weight.sum())
@@ -106,15 +105,21 @@ Parameters = dict[str, np.ndarray]
 
 
 def initial(known: Vocabulary, seed: int = 4) -> Parameters:
-    """q: context vectors; one, two: a matrix for each place; r, b: classes; s, d: words within their classes."""
+    """q: context vectors; one, two: a matrix for each place; r: classes, s: words within their classes, each with a bias at its end."""
     rng = np.random.default_rng(seed)
     small = lambda n: rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32)
+    with_bias = lambda rows, bias: np.concatenate([rows, bias.astype(np.float32)[:, None]], axis=1)
     return {
-        "q": small(len(known.words) + BUCKETS + 1), "r": small(len(known.start)), "b": known.start.astype(np.float32), "one": np.eye(WIDTH, dtype=np.float32),
-        "two": 0.5 * np.eye(WIDTH, dtype=np.float32), "s": np.zeros((len(known.inner), WIDTH), np.float32), "d": known.inner.copy(),
+        "q": small(len(known.words) + BUCKETS + 1), "r": with_bias(small(len(known.start)), known.start), "s": with_bias(np.zeros((len(known.inner), WIDTH), np.float32), known.inner),
+        "one": np.eye(WIDTH, dtype=np.float32), "two": 0.5 * np.eye(WIDTH, dtype=np.float32),
     }
 
 
+def _with_one(h: np.ndarray) -> np.ndarray:
+    """h with a last column of ones, which takes the biases into a product."""
+    return np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1)
+
+
 def _rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct places and the sum of the rows at each."""
     order = np.argsort(at, kind="stable")
@@ -128,131 +133,150 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def nce(known: Vocabulary, p: Parameters, total: Parameters, place: np.ndarray, edge: np.ndarray, least: int = LEAST_STEPS, rate: float = 0.1, seed: int = 4) -> tuple[Parameters, Parameters, Parameters]:
-    """Parameters and AdaGrad sums after one pass, or at least ``least`` steps, of noise-contrastive estimation, and how often each
-    vector was met.
+    """Parameters and AdaGrad sums after one pass, or at least ``least`` steps, of noise-contrastive estimation, and how
+    often each row was met.
 
-    The noise is the unigram distribution of classes, shared by the tokens of a step, and of words within a class, drawn for each."""
+    The noise for classes is their unigram distribution, drawn for each step and shared by its tokens; for words within a class it is the
+    words that other tokens of the step have there, in random order."""
     p, total = ({k: v.copy() for k, v in x.items()} for x in (p, total))
     y, slot, (one, two) = known.class_of(place), known.slot_of(place), known.contexts(place, edge)
+    group = (slot // GROUP).astype(np.int16)
     rng, n = np.random.default_rng(seed), len(place)
     chance = np.exp(known.start - np.logaddexp.reduce(known.start))
     noise_log = (np.log(chance) + np.log(NOISE)).astype(np.float32)
     inner_log = known.inner + np.float32(np.log(INNER_NOISE))
 
     def move(k: str, at: np.ndarray | slice, g: np.ndarray) -> None:
-        total[k][at] += g * g
-        p[k][at] -= rate * g / np.sqrt(total[k][at])
+        now = total[k][at] + g * g
+        total[k][at] = now
+        p[k][at] -= rate * g / np.sqrt(now)
 
     for step in range(max(-(-n // BATCH), least) if n else 0):
         a = step % -(-n // BATCH) * BATCH
         t, c1, c2, w = y[a : a + BATCH], one[a : a + BATCH], two[a : a + BATCH], slot[a : a + BATCH]
         noise = rng.choice(len(chance), NOISE, p=chance)
         q1, q2 = p["q"][c1], p["q"][c2]
-        h = q1 @ p["one"] + q2 @ p["two"]
+        h = _with_one(q1 @ p["one"] + q2 @ p["two"])
         r_t, r_n = p["r"][t], p["r"][noise]
         scale = np.float32(1 / len(t))
-        on_t = (sigmoid((h * r_t).sum(axis=1) + p["b"][t] - noise_log[t]) - 1) * scale
-        on_n = sigmoid(h @ r_n.T + p["b"][noise] - noise_log[noise]) * scale
+        on_t = (sigmoid((h * r_t).sum(axis=1) - noise_log[t]) - 1) * scale
+        on_n = sigmoid(h @ r_n.T - noise_log[noise]) * scale
         d_h = on_t[:, None] * r_t + on_n @ r_n
         at, g = _rows(np.concatenate([t, noise]), np.concatenate([on_t[:, None] * h, on_n.T @ h]))
-        at_b, g_b = _rows(np.concatenate([t, noise]), np.concatenate([on_t, on_n.sum(axis=0)]))
         inside = np.flatnonzero(w >= 0)
         if len(inside):
+            inside = inside[rng.permutation(len(inside))]
+            inside = inside[np.argsort(group[a : a + BATCH][inside], kind="stable")]  # by group, in random order within it
             own, h_w = w[inside], h[inside]
-            drawn = np.searchsorted(known.until, (own // GROUP)[:, None] + rng.random((len(own), INNER_NOISE)), side="right")
-            low = own // GROUP * GROUP
-            drawn = np.minimum(np.maximum(drawn, low[:, None]), low[:, None] + GROUP - 1)
-            drawn = np.where(known.chance[drawn] > 0, drawn, own[:, None])  # rounding at a group's end
-            every = np.concatenate([own[:, None], drawn], axis=1)
-            s_e = p["s"][every]
-            on = sigmoid(np.einsum("nw,nkw->nk", h_w, s_e) + p["d"][every] - inner_log[every])
-            on[:, 0] -= 1
-            on *= scale
-            d_h[inside] += np.einsum("nk,nkw->nw", on, s_e)
-            at_s, g_s = _rows(every.ravel(), (on[:, :, None] * h_w[:, None, :]).reshape(-1, WIDTH))
-            at_d, g_d = _rows(every.ravel(), on.ravel())
-            move("s", at_s, g_s)
-            move("d", at_d, g_d)
+            begins = np.flatnonzero(np.concatenate([[True], own[1:] // GROUP != own[:-1] // GROUP]))
+            size = np.diff(np.append(begins, len(own)))
+            begin, size = np.repeat(begins, size), np.repeat(size, size)
+            s_o, log_o = p["s"][own], inner_log[own]
+            on = (sigmoid((h_w * s_o).sum(axis=1) - log_o) - 1) * scale
+            rise, g_s = on[:, None] * s_o, on[:, None] * h_w
+            for k in range(1, INNER_NOISE + 1):  # the noise of a token: targets of its group's other tokens
+                other = begin + (np.arange(len(own)) - begin + k) % size
+                s_k = s_o[other]
+                on = np.where(size > k, sigmoid((h_w * s_k).sum(axis=1) - log_o[other]) * scale, 0)[:, None]
+                rise += on * s_k
+                g_s[other] += on * h_w  # a rotation: no target is met twice
+            d_h[inside] += rise
+            move("s", *_rows(own, g_s))
+        d_h = d_h[:, :-1]
         at_q, g_q = _rows(np.concatenate([c1, c2]), np.concatenate([d_h @ p["one"].T, d_h @ p["two"].T]))
         move("one", slice(None), q1.T @ d_h)
         move("two", slice(None), q2.T @ d_h)
         move("r", at, g)
-        move("b", at_b, g_b)
         move("q", at_q, g_q)
     tally = lambda x, size: np.bincount(x, minlength=size).astype(np.float32)
     met = {"q": tally(one, len(p["q"])) + tally(two, len(p["q"])), "r": tally(y, len(p["r"])), "s": tally(slot[slot >= 0], len(p["s"]))}
-    met |= {"b": met["r"], "d": met["s"], "one": np.full(WIDTH, n, np.float32), "two": np.full(WIDTH, n, np.float32)}
-    return p, total, met
+    return p, total, met | {"one": np.full(WIDTH, n, np.float32), "two": np.full(WIDTH, n, np.float32)}
 
 
 def log_probabilities(known: Vocabulary, p: Parameters, place: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """log10 of P(class | context), times P(word | class, context) for words of the head, normalised over all classes and words."""
+    """log10 of P(class | context), times P(word | class, context) for words of the head, normalised over all classes and words.
+
+    Classes are normalised once for each distinct context, words class by class."""
     y, slot, (one, two) = known.class_of(place), known.slot_of(place), known.contexts(place, edge)
     a, b = (p["q"] @ p[k] for k in ("one", "two"))
+    wide = len(p["q"])
+    pairs, at = np.unique(two.astype(np.int64) * wide + one, return_inverse=True)
+    first, second = (pairs % wide).astype(np.int32), (pairs // wide).astype(np.int32)
+    h, r, s = _with_one(a[first] + b[second]), p["r"], p["s"]
+    norm = np.empty(len(pairs), np.float32)
+    for i in range(0, len(pairs), 4096):
+        norm[i : i + 4096] = _log_sum(h[i : i + 4096] @ r.T)
     out = np.empty(len(place), np.float64)
-    group = np.where(slot >= 0, slot // GROUP, -1)
-    for i in range(0, len(place), 4096):
-        h = a[one[i : i + 4096]] + b[two[i : i + 4096]]
-        x = h @ p["r"].T
-        x += p["b"]
-        t = y[i : i + 4096]
-        out[i : i + 4096] = x[np.arange(len(t)), t] - _log_sum(x)
-    order = np.argsort(group, kind="stable")
-    order = order[np.searchsorted(group[order], 0) :]
-    edges = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) != 0, [True]])) if len(order) else []
+    for i in range(0, len(place), 65_536):
+        part = slice(i, i + 65_536)
+        out[part] = (h[at[part]] * r[y[part]]).sum(axis=1) - norm[at[part]]
+    order = np.argsort(np.where(slot >= 0, slot // GROUP, -1).astype(np.int16), kind="stable")
+    order = order[np.count_nonzero(slot < 0) :]
+    group = slot[order] // GROUP
+    edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(order) else []
     for i, j in zip(edges[:-1], edges[1:], strict=True):
-        at = order[i:j]
-        low = int(group[at[0]]) * GROUP
-        x = (a[one[at]] + b[two[at]]) @ p["s"][low : low + GROUP].T
-        x += p["d"][low : low + GROUP]
-        out[at] += x[np.arange(len(at)), slot[at] - low] - _log_sum(x)
+        low = int(group[i]) * GROUP
+        for k in range(i, j, 4096):
+            mine = order[k : min(j, k + 4096)]
+            x = h[at[mine]] @ s[low : low + GROUP].T
+            out[mine] += x[np.arange(len(mine)), slot[mine] - low]
+            out[mine] -= _log_sum(x)
     return out / LOG10
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
-    """log of the sum of the exponentials of each row."""
+    """log of the sum of the exponentials of each row; x is overwritten."""
     top = x.max(axis=1)
-    return np.log(np.exp(x - top[:, None]).sum(axis=1)) + top
+    if len(top) and not -60 < top.min() <= top.max() < 60:  # else float32 holds the sums as they are
+        x -= top[:, None]
+    else:
+        top = np.float32(0)
+    return np.log(np.exp(x, out=x) @ np.ones(x.shape[1], np.float32)) + top
 
 
-ORDER = ("q", "r", "b", "one", "two", "s", "d")
+ORDER = ("q", "r", "s", "one", "two")
 
 
-def _flat(p: Parameters) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in ORDER]).astype(np.float32)
+def _stack(p: Parameters) -> np.ndarray:
+    """All rows of all parameters, of one width."""
+    return np.concatenate([np.pad(p[k], ((0, 0), (0, WIDTH + 1 - p[k].shape[1]))) for k in ORDER])
 
 
-def _shaped(flat: np.ndarray, like: Parameters) -> Parameters:
-    out, at = {}, 0
-    for k in ORDER:
-        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
-        at += like[k].size
-    return out
+def _parts(rows: np.ndarray, like: Parameters) -> Parameters:
+    edges = np.cumsum([0, *(len(like[k]) for k in ORDER)])
+    return {k: rows[a:b, : like[k].shape[1]].astype(np.float32) for k, a, b in zip(ORDER, edges[:-1], edges[1:], strict=True)}
 
 
-def _wide(met: Parameters, like: Parameters) -> np.ndarray:
-    """A weight for every parameter: how often its row was met, and a little, so that rows nobody met are averaged too."""
-    return np.concatenate([np.repeat(met[k] + np.float32(1e-3), like[k].size // max(len(like[k]), 1)) for k in ORDER])
+def _weights(met: Parameters) -> np.ndarray:
+    """A weight for every row: how often it was met, and a little, so that rows nobody met are averaged too."""
+    return np.concatenate([met[k] for k in ORDER]) + np.float32(1e-3)
 
 
-MEAN = "piece int, share int, w array<float>, t array<float>, m array<float>"
+#: Of a piece of the rows: changes, AdaGrad sums, weights. A shard sends changes and the logarithms of its sums in half precision, sums
+#: over shards are weighted and in single precision.
+SUMS = "piece int, share int, change binary, sums binary, weight binary"
 
 
-def _add(batches: Iterator[pa.RecordBatch], fan: int) -> Iterator[pa.RecordBatch]:
-    """Sums of weighted parameters, AdaGrad sums and weights for each (piece, share / fan); rows come sorted by piece and share."""
-    now, total = None, None
+def _sums(piece: int, share: int, *arrays: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([share], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in arrays)], names=["piece", "share", "change", "sums", "weight"])
 
-    def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), *(pa.array([x.astype(np.float32)], pa.list_(pa.float32())) for x in total)], names=["piece", "share", "w", "t", "m"])
 
+def _add(batches: Iterator[pa.RecordBatch], fan: int, half: bool) -> Iterator[pa.RecordBatch]:
+    """Sums for each (piece, share / fan); rows come sorted by piece and share."""
+    now, total = None, None
+    done = lambda: _sums(*now, *(x.astype(np.float32) for x in total))
     for batch in batches:
-        for i in range(batch.num_rows):
-            key = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py() // fan)
-            row = [batch.column(k)[i].values.to_numpy(zero_copy_only=False).astype(np.float64) for k in (2, 3, 4)]
-            if key != now:
+        for piece, share, change, sums, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            m = np.frombuffer(weight, np.float32).astype(np.float64)
+            if half:
+                wide = m[:, None]
+                row = [(np.frombuffer(change, np.float16).reshape(len(m), -1) * wide).ravel(), (np.exp2(np.frombuffer(sums, np.float16).astype(np.float64)).reshape(len(m), -1) * wide).ravel(), m]
+            else:
+                row = [np.frombuffer(change, np.float32).astype(np.float64), np.frombuffer(sums, np.float32).astype(np.float64), m]
+            if (piece, share // fan) != now:
                 if now is not None:
                     yield done()
-                now, total = key, row
+                now, total = (piece, share // fan), row
             else:
                 total = [x + y for x, y in zip(total, row, strict=True)]
     if now is not None:
@@ -260,9 +284,20 @@ def _add(batches: Iterator[pa.RecordBatch], fan: int) -> Iterator[pa.RecordBatch
 
 
 def count(docs: DataFrame, learn: Column) -> DataFrame:
-    """(word, c) over the words and ends of all rows for which ``learn`` holds."""
-    each = F.explode(F.concat(space_words(F.col("text")), F.array(F.lit(END.decode()))))
-    return materialise(docs.where(learn).select(each.alias("word")).groupBy("word").agg(F.count("*").alias("c")), "counts")
+    """(word, c) over the words and ends of all rows for which ``learn`` holds, added up by piece of text before they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in in_pieces(batch, "text"):
+                data, at = utf8(piece.column(0))
+                found = Counter()
+                for a, b in zip(at[:-1], at[1:], strict=True):
+                    found.update(data[a:b].tobytes().lower().split())
+                found[END] += len(at) - 1
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "c"])
+
+    each = docs.where(learn).select("text").mapInArrow(run, "word string, c long")
+    return materialise(each.groupBy("word").agg(F.sum("c").alias("c")), "counts")
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -311,10 +346,11 @@ def train(docs: DataFrame, learn: Column, known: Vocabulary, shard: int = SHARD,
             def solve() -> Iterator[pa.RecordBatch]:
                 edge = np.cumsum([0, *map(len, mine)])
                 new, sums, met = nce(known, *state, np.concatenate(mine), edge, -(-LEAST_STEPS // rounds), seed=turn * 1_000_003 + now)
-                w, t, m = _flat(new), _flat(sums), _wide(met, new)
-                for k, i in enumerate(range(0, len(w), PIECE)):
+                m = _weights(met)
+                change, t = (_stack(new) - _stack(state[0])).astype(np.float16), np.log2(np.maximum(_stack(sums), 1e-6)).astype(np.float16)
+                for k, i in enumerate(range(0, len(m), PIECE)):
                     part = slice(i, i + PIECE)
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([now], pa.int32()), *(pa.array([x], pa.list_(pa.float32())) for x in (w[part] * m[part], t[part] * m[part], m[part]))], names=["piece", "share", "w", "t", "m"])
+                    yield _sums(k, now, change[part], t[part], m[part])
 
             for batch in batches:
                 for which, place in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -327,14 +363,14 @@ def train(docs: DataFrame, learn: Column, known: Vocabulary, shard: int = SHARD,
                 yield from solve()
 
         dealt = coded.where(F.col("round") == turn).repartition(max(1, shards), "shard").sortWithinPartitions("shard", "key").select("shard", "place")
-        sums = dealt.mapInArrow(fit, MEAN)
-        for fan in (FAN, 1 << 30):
+        sums = dealt.mapInArrow(fit, SUMS)
+        for fan, half in ((FAN, True), (1 << 30, False)):
             near = F.floor(F.col("share") / fan)
-            sums = sums.repartition(16, "piece", near).sortWithinPartitions("piece", "share").mapInArrow(lambda x, fan=fan: _add(x, fan), MEAN)
-        parts = sorted((r.piece, r.w, r.t, r.m) for r in sums.collect())  # one row for each piece
-        if parts:
-            w, t, m = (np.concatenate([np.array(x[k], np.float64) for x in parts]) for k in (1, 2, 3))
-            p, total = _shaped(w / m, p), _shaped(np.maximum(t / m, 1e-6), p)
+            sums = sums.repartition(16, "piece", near).sortWithinPartitions("piece", "share").mapInArrow(lambda x, fan=fan, half=half: _add(x, fan, half), SUMS)
+        got = sorted((r.piece, r.change, r.sums, r.weight) for r in sums.collect())  # one row for each piece
+        if got:
+            change, t, m = (np.concatenate([np.frombuffer(x[k], np.float32) for x in got]) for k in (1, 2, 3))
+            p, total = (_parts(x, p) for x in (_stack(p) + change.reshape(-1, WIDTH + 1) / m[:, None], np.maximum(t.reshape(-1, WIDTH + 1) / m[:, None], 1e-6)))
     release(coded)
     return p
 

@@ -217,14 +217,14 @@ def test_lm_score_equals_a_plain_computation(spark, sf):
         at = [none, none] + [x if x >= 0 else len(known.words) - 1 - x for x in own]
         for i, (w, x) in enumerate(zip(words, own, strict=True)):
             h = p["q"][at[i + 1]] @ p["one"] + p["q"][at[i]] @ p["two"]
-            scores = p["r"] @ h + p["b"]
+            scores = p["r"][:, :-1] @ h + p["r"][:, -1]
             y = int(known.classes[x]) if x >= 0 else lm_score.SINGLES - 1 - x
             total += scores[y] - np.log(np.exp(scores).sum())
             if x < 0:
                 total += np.log((c.get(w, 0) + 1) / known.mass[-1 - x])
             elif x >= lm_score.SINGLES:
                 low = int(known.slot[x]) // lm_score.GROUP * lm_score.GROUP
-                inner = p["s"][low : low + lm_score.GROUP] @ h + p["d"][low : low + lm_score.GROUP]
+                inner = p["s"][low : low + lm_score.GROUP] @ np.append(h, 1)
                 total += inner[int(known.slot[x]) - low] - np.log(np.exp(inner).sum())
         return total / math.log(10)
 
