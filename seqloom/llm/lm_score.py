@@ -1,10 +1,10 @@
 """Language-model scoring: a hierarchical log-bilinear neural model, trained in numpy with noise-contrastive estimation.
 
-Counts: every training token of the corpus, by word, kept as a table in the shared folder. The ``HEAD`` commonest words (a bound on what
-every task holds) have vectors of their own, as context and as target. Targets form a tree of two levels: the ``SINGLES`` commonest words
-are classes of their own, the rest of the head is cut into classes of ``GROUP`` words in the order of their endings, and all other words
-share ``BUCKETS`` classes by their last three bytes. The network predicts the class from the two tokens before, and, in a class of head
-words, the word as well; in a bucket a word has (c + 1) / (sum of c + 1 over the bucket, and 1 for unknown words). So the probabilities
+Counts: every training token of the corpus, by word, kept as a table in the shared folder; every task holds those of the ``HEAD`` commonest
+words. The ``VECTORS`` commonest have vectors of their own, as context and as target. Targets form a tree of two levels: the ``SINGLES``
+commonest words are classes of their own, the rest of those with vectors is cut into classes of ``GROUP`` words in the order of their
+endings, and all other words share ``BUCKETS`` classes by their last three bytes. The network predicts the class from the two tokens before, and, in a class of words
+with vectors, the word as well; in a bucket a word has (c + 1) / (sum of c + 1 over the bucket, and 1 for unknown words). So the probabilities
 of all words add up to one.
 
 Training reads every training token once. Rows are dealt by a hash of their id and text over shards of about ``SHARD`` tokens and
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.shared import in_pieces, materialise, release, remainder, utf8
 
-HEAD, SINGLES, BUCKETS, GROUP = 65_536, 128, 64, 256
-WIDTH, NOISE, INNER_NOISE, BATCH, LEAST_STEPS = 16, 40, 2, 4_096, 400
+HEAD, VECTORS, SINGLES, BUCKETS, GROUP = 65_536, 16_384, 64, 64, 128
+WIDTH, NOISE, INNER_NOISE, BATCH, LEAST_STEPS = 16, 24, 2, 4_096, 400
 SHARD, ROUNDS = 8_000_000, 4
 #: Averages are taken over pieces of so many rows, first among so many shards.
 PIECE, FAN = 8_192, 64
@@ -51,14 +51,16 @@ class Vocabulary:
 
     words: Words
     counts: np.ndarray  # of the head's words
-    mass: np.ndarray  # of each bucket
+    mass: np.ndarray  # of each bucket's words beyond the head, and 1
     tokens: int
     distinct: int
 
     def __post_init__(self) -> None:
         n, c = len(self.words), self.counts + 1.0
+        self.vectors = min(n, VECTORS)
         self.logs = np.log10(c)
-        rest = sorted((w[::-1], i) for w, i in self.words.items() if i >= SINGLES)
+        named = list(self.words)
+        rest = sorted((w[::-1], i) for i, w in enumerate(named[: self.vectors]) if i >= SINGLES)
         self.slot = np.full(n, -1, np.int32)  # place among the words of all groups
         self.slot[[i for _, i in rest]] = np.arange(len(rest))
         groups = -(-len(rest) // GROUP)
@@ -67,13 +69,16 @@ class Vocabulary:
         per_group = weight.reshape(groups, GROUP).sum(axis=1)
         chance = weight / np.repeat(per_group, GROUP) if groups else weight  # of a word within its group
         self.inner = np.where(chance > 0, np.log(np.maximum(chance, 1e-30)), NONE).astype(np.float32)
-        singles = np.concatenate([c[:SINGLES], np.full(max(0, SINGLES - n), 1e-6)])
+        bucket = np.array([zlib.crc32(w[-3:]) % BUCKETS for w in named[self.vectors :]], np.int32)
+        self.mass = self.mass + np.bincount(bucket, c[self.vectors :], BUCKETS)  # of each bucket
+        singles = np.concatenate([c[: min(self.vectors, SINGLES)], np.full(max(0, SINGLES - n), 1e-6)])
         weight = np.concatenate([singles, self.mass, per_group])
         self.start = np.log(weight / weight.sum())
         self.classes = np.where(self.slot >= 0, SINGLES + BUCKETS + self.slot // GROUP, np.arange(n)).astype(np.int32)
+        self.classes[self.vectors :] = SINGLES + bucket
 
     def places(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-        """Place of every token, where each text's tokens start (an end follows its words), and the words."""
+        """Place of every token (0 and up in the head, else -1 - bucket), where each text's tokens start (an end follows its words), and the words."""
         each = [t.lower().split() + [END] for t in texts]
         edge = np.cumsum([0, *map(len, each)])
         get = self.words.__getitem__
@@ -91,8 +96,8 @@ class Vocabulary:
 
     def contexts(self, place: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Vectors one and two tokens before; before a text's first token stands the vector after the last."""
-        own = np.where(place >= 0, place, len(self.words) - 1 - place)
-        none = len(self.words) + BUCKETS
+        own = np.where((place >= 0) & (place < self.vectors), place, self.vectors - SINGLES + self.class_of(place))
+        none = self.vectors + BUCKETS
         one, two = np.concatenate([[none], own[:-1]]), np.concatenate([[none, none], own[:-2]])[: len(own)]
         first = edge[:-1]
         one[first], two[first] = none, none
@@ -110,7 +115,7 @@ def initial(known: Vocabulary, seed: int = 4) -> Parameters:
     small = lambda n: rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32)
     with_bias = lambda rows, bias: np.concatenate([rows, bias.astype(np.float32)[:, None]], axis=1)
     return {
-        "q": small(len(known.words) + BUCKETS + 1), "r": with_bias(small(len(known.start)), known.start), "s": with_bias(np.zeros((len(known.inner), WIDTH), np.float32), known.inner),
+        "q": small(known.vectors + BUCKETS + 1), "r": with_bias(small(len(known.start)), known.start), "s": with_bias(np.zeros((len(known.inner), WIDTH), np.float32), known.inner),
         "one": np.eye(WIDTH, dtype=np.float32), "two": 0.5 * np.eye(WIDTH, dtype=np.float32),
     }
 
@@ -122,14 +127,16 @@ def _with_one(h: np.ndarray) -> np.ndarray:
 
 def _rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct places and the sum of the rows at each."""
-    order = np.argsort(at, kind="stable")
+    # 16-bit numbers are sorted by radix
+    order = np.argsort(at.astype(np.int16) if len(at) and at.max() < 1 << 15 else at, kind="stable")
     at = at[order]
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     return at[first], np.add.reduceat(rows[order], first, axis=0)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-x))
 
 
 def nce(known: Vocabulary, p: Parameters, total: Parameters, place: np.ndarray, edge: np.ndarray, least: int = LEAST_STEPS, rate: float = 0.1, seed: int = 4) -> tuple[Parameters, Parameters, Parameters]:
@@ -194,7 +201,7 @@ def nce(known: Vocabulary, p: Parameters, total: Parameters, place: np.ndarray,
 
 
 def log_probabilities(known: Vocabulary, p: Parameters, place: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """log10 of P(class | context), times P(word | class, context) for words of the head, normalised over all classes and words.
+    """log10 of P(class | context), times P(word | class, context) for words with vectors, normalised over all classes and words.
 
     Classes are normalised once for each distinct context, words class by class."""
     y, slot, (one, two) = known.class_of(place), known.slot_of(place), known.contexts(place, edge)
@@ -394,7 +401,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", learn: Co
                 place, edge, each = known.places([data[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)])
                 head = place >= 0
                 logs = np.where(head, known.logs[np.maximum(place, 0)] if len(known.logs) else 0, 0)
-                inner = log_probabilities(known, p, place, edge) - floor_mass[known.class_of(place)]
+                inner = log_probabilities(known, p, place, edge) - floor_mass[known.class_of(place)] + np.where(place >= known.vectors, logs, 0)
                 by = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[edge])  # noqa: B023, E731
                 sums = [by(np.ones(len(place))).astype(np.int64), by(head).astype(np.int64), by(logs), by(inner)]
                 ids, rows = piece.column(1), piece.column(0).to_pylist()

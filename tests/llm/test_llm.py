@@ -212,9 +212,9 @@ def test_lm_score_equals_a_plain_computation(spark, sf):
     p = {k: v.astype(float) for k, v in lm_score.train(base, learn, known).items()}
 
     def plain(words):
-        total, none = 0.0, len(known.words) + lm_score.BUCKETS
+        total, none = 0.0, known.vectors + lm_score.BUCKETS
         own = [known.words[w] for w in words]
-        at = [none, none] + [x if x >= 0 else len(known.words) - 1 - x for x in own]
+        at = [none, none] + [x if x >= 0 else known.vectors - 1 - x for x in own]
         for i, (w, x) in enumerate(zip(words, own, strict=True)):
             h = p["q"][at[i + 1]] @ p["one"] + p["q"][at[i]] @ p["two"]
             scores = p["r"][:, :-1] @ h + p["r"][:, -1]
