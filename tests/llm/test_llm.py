@@ -358,13 +358,44 @@ def test_draw_has_the_target_marginals(spark, given):
     tables = given and {"source": spark.createDataFrame([*given.items(), ("none here", 9.0)], "source string, target double")}
     want = given or {"big": 800**0.5 / (800**0.5 + 32**0.5), "small": 32**0.5 / (800**0.5 + 32**0.5)}
     mixed = mixing.mix(docs, given=tables, calibrate=True)
-    got = {r.value: r for r in mixing.marginals(mixed, tables).where("dimension = 'source'").collect()}
+    got = {r.value: r for r in mixing.marginals(mixed, tables, None).where("dimension = 'source'").collect()}
     assert all(abs(got[k].target - v) < 1e-6 and abs(got[k].expected - v) < 1e-6 for k, v in want.items())
     assert abs(mixed.agg(F.max("probability")).first()[0] - 1) < 1e-6
     n = mixing.sample(docs, given=tables, calibrate=True).where("source = 'small'").count()
     assert n == 8
 
 
+def test_draw_within_a_budget(spark):
+    """Shares that all documents of a value can't fill are lowered to what they can; the rest of the draw goes to the others."""
+    rows = [(i, "w " * 20, "en", "big" if i < 300 else "mid" if i < 380 else "small") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    given = {"source": spark.createDataFrame([("big", 0.3), ("mid", 0.3), ("small", 0.4)], "source string, target double")}
+    got = {r.value: r for r in mixing.marginals(mixing.mix(docs, given=given), given).where("dimension = 'source'").collect()}
+    want = {"big": (0.3, 0.5), "mid": (0.3, 0.4), "small": (0.4, 0.1)}  # mid: 80 of 200 documents at most, small: 20
+    assert all(abs(got[k].wanted - a) < 1e-9 and abs(got[k].target - b) < 1e-9 and abs(got[k].expected - b) < 2e-3 for k, (a, b) in want.items())
+    assert mixing.sample(docs, given=given).where("source <> 'big'").count() == 100
+
+
+def test_drawn_shares_are_near_their_targets(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "w " * int(rng.integers(5, 60)), rng.choice(["en", "de", "fr"], p=[0.7, 0.2, 0.1]), rng.choice(["a", "b", "c", "d"], p=[0.6, 0.2, 0.15, 0.05])) for i in range(6000)]
+    docs = spark.createDataFrame([(i, t, str(a), str(b)) for i, t, a, b in rows], "doc_id long, text string, lang string, source string")
+    got = mixing.marginals(mixing.mix(docs)).collect()
+    assert all(abs(r.expected - r.target) < 2e-3 and abs(r.drawn - r.target) < 0.02 for r in got)
+    assert any(r.target < r.wanted - 1e-6 for r in got)
+
+
+def test_sample_of_odd_rows(spark):
+    docs = odd_docs(spark).withColumns({"mix_topic": F.lit("own"), "MIX_SOURCE": F.lit(2), "_id": F.lit(3), "cell_lang": F.lit(4)})
+    got = mixing.sample(docs, budget=1.0)
+    assert got.columns == [*docs.columns, "mix_topic_", "mix_tokens", "mix_probability"]
+    assert got.count() == 11 and mixing.sample(docs.limit(0)).count() == 0
+    # rows of one id in two cells are drawn one by one
+    twice = spark.createDataFrame([(7, "w " * 10, "en", "s"), (7, "w " * 10, "en", "t")] + [(100 + i, "w " * 10, "en", "t") for i in range(8)], "doc_id long, text string, lang string, source string")
+    given = {"source": spark.createDataFrame([("s", 1.0)], "source string, target double")}
+    assert [r.source for r in mixing.sample(twice, 0.1, given).collect()] == ["s"]
+
+
 def test_raking_to_given_targets_both_ways(spark):
     cells = spark.createDataFrame([("a", "x", "p", 100), ("a", "y", "q", 10), ("b", "x", "p", 30), (None, "y", "q", 5), ("b", "y", "p", 7)], "source string, lang string, topic string, tokens long")
     given = {"source": spark.createDataFrame([("a", 9.0), (None, 1.0)], "source string, target double")}
