@@ -13,6 +13,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -53,6 +54,9 @@ HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*\"?true",
 PUNCTUATION = re.compile(r"[.,;:!?。、，]")
 
 
+END_OF = {name: re.compile(rf"</{name}[^>]*>", re.I) for name in (*RAW, *DROPPED)}
+
+
 @dataclass
 class Tree:
     parent: list[int] = field(default_factory=list)
@@ -93,6 +97,8 @@ def parse(page: str) -> Tree:
     stack: list[tuple[str, int]] = [("", tree.add(-1, 0, 0, 0, "", 0, 0))]
     pieces: list[str] = []
     linked = in_link = at = skip = 0
+    opened: Counter[str] = Counter()  # how often each element is on the stack
+    endless: set[str] = set()  # elements that no end tag follows any more
 
     def flush() -> None:
         nonlocal linked
@@ -106,6 +112,7 @@ def parse(page: str) -> Tree:
 
     def close(depth: int) -> None:
         flush()
+        opened.subtract(name for name, _ in stack[depth:])
         del stack[depth:]
 
     for m in TOKEN.finditer(page):
@@ -123,10 +130,12 @@ def parse(page: str) -> Tree:
         name, ending, attrs = name.lower(), m[1] or m[4], m[3] or m[6] or ""
         if name in RAW or name in DROPPED:
             if not ending and not (attrs.endswith("/") and name in DROPPED):
-                gone = re.compile(rf"</{name}[^>]*>", re.I).search(page, end)
+                gone = None if name in endless else END_OF[name].search(page, end)
                 if gone:
                     at = skip = gone.end()
-                elif name in RAW:
+                else:
+                    endless.add(name)
+                if not gone and name in RAW:
                     at = skip = len(page)
                     break
             pieces.append(" ")
@@ -136,9 +145,8 @@ def parse(page: str) -> Tree:
             elif name == "br":
                 pieces.append(" ")
         elif ending:
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == name), 0)
-            if depth:
-                close(depth)
+            if opened[name]:
+                close(next(d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == name))
                 in_link = 0
             else:
                 flush()
@@ -154,14 +162,19 @@ def parse(page: str) -> Tree:
                 hint, hidden, label = _attributes(attrs) if attrs else (0, 0, None)
                 above = stack[-1][1]
                 stack.append((name, tree.add(above, KIND.get(name, len(TAGS) - 1), hint, hidden, "", 0, tree.label[above] if label is None else label)))
-                if len(stack) > 400:  # deeper elements are merged with this one
-                    stack.pop()
+                opened[name] += 1
     if at < len(page):
         pieces.append(page[at:])
     flush()
     return tree
 
 
+def _by_level(level: np.ndarray) -> list[np.ndarray]:
+    """The nodes of each level, ascending."""
+    order = np.argsort(level, kind="stable")
+    return np.split(order, np.searchsorted(level[order], np.arange(1, int(level.max(initial=0)) + 1)))
+
+
 def _features(trees: list[Tree]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features, parents and levels of all nodes of all trees; a parent stands before its children."""
     offset = np.cumsum([0, *(len(t.parent) for t in trees)])
@@ -174,7 +187,7 @@ def _features(trees: list[Tree]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     marks = np.array([len(PUNCTUATION.findall(x)) if x else 0 for x in texts], np.float64)
     n, top = len(parent), int(level.max(initial=0))
     leaf = size > 0
-    by_level = [np.flatnonzero(level == k) for k in range(top + 1)]
+    by_level = _by_level(level)
     total = np.stack([size, links.astype(np.float64), marks, leaf.astype(np.float64)], axis=1)
     inside = np.zeros((n, len(HINTS) + len(TAGS) + 1), bool)
     inside[np.arange(n), len(HINTS) + tag] = True
@@ -207,7 +220,7 @@ def _lse(x: np.ndarray) -> np.ndarray:
 def marginals(unary: np.ndarray, pair: np.ndarray, parent: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """P(state) of each node, and P(state of parent, state of node), by one upward and one downward sweep. unary: log potentials of the
     two states; pair[parent's state, node's state]: log potentials of an edge."""
-    by = [np.flatnonzero(level == k) for k in range(int(level.max(initial=0)) + 1)]
+    by = _by_level(level)
     up, message = unary.copy(), np.zeros_like(unary)
     for nodes in by[:0:-1]:
         message[nodes] = _lse(pair[None] + up[nodes][:, None, :])
