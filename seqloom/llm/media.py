@@ -34,6 +34,10 @@ AC_VALUES = bytes.fromhex(
 UNIT, WIDE = 576, 9  # bytes and blocks in a row of blocks
 
 
+#: Rows of blocks in a stored image at most, blocks that are encoded, and decoded, together.
+MOST_ROWS, SLICE, TOGETHER = 8_191, 16_384, 65_536
+
+
 class BadImage(ValueError):
     pass
 
@@ -91,40 +95,48 @@ def _header(n_bytes: int, rows: int) -> bytes:
 
 def encode(payloads: list[bytes]) -> list[bytes]:
     """A JPEG for each payload; at most 65,535 / 8 rows of 576 bytes, and longer payloads as several images one after another."""
-    most = 8191
-    padded, blocks, of, lengths = [], [], [], []
-    for i, p in enumerate(payloads):
-        full = p + b"\xff" * (-len(p) % UNIT if p else UNIT)
-        for k in range(0, len(full), most * UNIT):
-            padded.append(full[k : k + most * UNIT])
-            blocks.append(len(padded[-1]) // 64)
-            of.append(i)
-            lengths.append(max(0, min(len(p) - k, most * UNIT)))
-    data = np.frombuffer(b"".join(padded), np.uint8).reshape(-1, 64)
-    size = np.concatenate([DC_CODE[1][data[:, :1]], AC_CODE[1][data[:, 1:]]], axis=1).sum(axis=1)
-    fill = -size % 8
-    rows = np.concatenate([data[:, :1].astype(np.int16), data[:, 1:].astype(np.int16) + 256, (fill + 512).astype(np.int16)[:, None]], axis=1)
-    raw = np.packbits(BIT_ROWS[rows][BIT_USED[rows]]).tobytes()
-    ends = np.cumsum((size + fill) // 8).tolist()
-    images, b, start = [b""] * len(payloads), 0, 0
-    for i, n, length in zip(of, blocks, lengths, strict=True):
-        scan = []
-        for k in range(n):
-            scan += (raw[start : ends[b]].replace(b"\xff", b"\xff\0"), MARKS[k & 7])
-            start, b = ends[b], b + 1
-        images[i] += _header(length, n // WIDE) + b"".join(scan[:-1]) + b"\xff\xd9"
+    images = []
+    for p in payloads:
+        full, made = p + b"\xff" * (-len(p) % UNIT if p else UNIT), []
+        for k in range(0, len(full), MOST_ROWS * UNIT):
+            part = full[k : k + MOST_ROWS * UNIT]
+            made += [_header(max(0, min(len(p) - k, MOST_ROWS * UNIT)), len(part) // UNIT), _scan_of(np.frombuffer(part, np.uint8).reshape(-1, 64)), b"\xff\xd9"]
+        images.append(b"".join(made))
     return images
 
 
-def parse(data: bytes, start: int = 0) -> dict:
-    """Markers of the image that begins at ``start``: frame, tables, restart interval, comment, and the scan's place."""
-    if data[start : start + 2] != b"\xff\xd8":
-        raise BadImage("no start of image")
-    found: dict = {"dc": {}, "ac": {}, "q": {}, "restart": 0, "comment": b""}
-    at = start + 2
+def _scan_of(data: np.ndarray) -> bytes:
+    """The entropy-coded blocks, a restart marker between any two, SLICE blocks at a time: their bits take 40 times their size."""
+    scan, k = [], 0
+    for i in range(0, len(data), SLICE):
+        rows = data[i : i + SLICE]
+        size = np.concatenate([DC_CODE[1][rows[:, :1]], AC_CODE[1][rows[:, 1:]]], axis=1).sum(axis=1)
+        fill = -size % 8
+        of = np.concatenate([rows[:, :1].astype(np.int16), rows[:, 1:].astype(np.int16) + 256, (fill + 512).astype(np.int16)[:, None]], axis=1)
+        raw, start = np.packbits(BIT_ROWS[of][BIT_USED[of]]).tobytes(), 0
+        for end in np.cumsum((size + fill) // 8).tolist():
+            scan += (raw[start:end].replace(b"\xff", b"\xff\0"), MARKS[k & 7])
+            start, k = end, k + 1
+    return b"".join(scan[:-1])
+
+
+def parse(data: bytes, start: int = 0, found: dict | None = None) -> dict:
+    """Markers up to the next scan: of the image that begins at ``start``, or, given what was found of it, those after a scan.
+
+    Gives frame, tables, restart interval, comment, the scan's parts and tables (``of``, ``tables``) and the place of its bytes; at the end
+    of the image ``scan`` is None and ``end`` the place after it."""
+    if found is None:
+        if data[start : start + 2] != b"\xff\xd8":
+            raise BadImage("no start of image")
+        found = {"dc": {}, "ac": {}, "q": {}, "restart": 0, "comment": b""}
+        at = start + 2
+    else:
+        at = start
     while True:
         while at + 1 < len(data) and data[at] == 255 and data[at + 1] == 255:
             at += 1
+        if data[at : at + 2] == b"\xff\xd9" and "parts" in found:
+            return found | {"scan": None, "end": at + 2}
         if at + 4 > len(data) or data[at] != 255:
             raise BadImage("a marker is missing")
         kind, (length,) = data[at + 1], struct.unpack_from(">H", data, at + 2)
@@ -156,7 +168,11 @@ def parse(data: bytes, start: int = 0) -> dict:
                 found["comment"] = bytes(body)
             elif kind == 0xDA:
                 chosen = {body[1 + 2 * i]: (body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])}
-                found["tables"] = [chosen[p[0]] for p in found["parts"]]
+                known = [p[0] for p in found["parts"]]
+                if not chosen or any(c not in known for c in chosen):
+                    raise BadImage("a scan of unknown parts")
+                found["of"] = [i for i, p in enumerate(known) if p in chosen]
+                found["tables"] = [chosen[known[i]] for i in found["of"]]
                 break
         except (IndexError, KeyError, struct.error) as e:
             raise BadImage("a segment is malformed") from e
@@ -183,60 +199,83 @@ def decode(images: list[bytes]) -> list[list[dict] | str]:
     """For each row the images that follow one another in its bytes, or the error that stopped it.
 
     An image has width, height, comment, q (the luminance DC step), luma (rows of DC values) and coefficients (blocks in coding
-    order, zigzag order within)."""
+    order, scan after scan, zigzag order within). Its parts may come in one scan or in several."""
     out: list[list[dict] | str] = []
-    lanes: list[tuple[np.ndarray, np.ndarray, dict]] = []  # bytes, edges of restart intervals, image
+    scans: list[tuple[np.ndarray, np.ndarray, dict]] = []  # bytes, edges of restart intervals, scan
     tables: dict[tuple, int] = {}
-    total = 0
     for raw in images:
         try:
-            found, at = [], 0
+            row, at = [], 0
             data = np.frombuffer(raw, np.uint8)
+            mine = []
             while at < len(raw):
                 image = parse(raw, at)
-                parts = image["parts"]
-                high, wide = max(p[2] for p in parts), max(p[1] for p in parts)
-                if len(parts) == 1:
-                    parts, high, wide = [(parts[0][0], 1, 1, parts[0][3])], 1, 1
-                across, down = -(-image["width"] // (8 * wide)), -(-image["height"] // (8 * high))
-                image |= {"across": across, "down": down, "order": [i for i, p in enumerate(parts) for _ in range(p[1] * p[2])], "luma_hv": parts[0][1:3], "bad": ""}
-                per, mcus = len(image["order"]), across * down
-                if mcus * per * 64 > 1 << 28:
-                    raise BadImage("too large")
-                image["index"] = [[tables.setdefault(("dc", *image["dc"][d]), len(tables)), tables.setdefault(("ac", *image["ac"][a]), len(tables))] for d, a in image["tables"]]
-                body, edges, at = _scan(data, image["scan"])
-                image["step"] = (image["restart"] or mcus) * per
-                if len(edges) - 1 != -(-mcus * per // image["step"]):
-                    raise BadImage("restart intervals are missing")
-                image["blocks"] = (total, total + mcus * per)
-                found.append((image, (body, edges, image)))
-                total += mcus * per
-                if raw[at : at + 2] != b"\xff\xd9":
-                    raise BadImage("no end of image")
-                at += 2
-            if not found:
+                image["scans"] = []
+                while image["scan"] is not None:
+                    scan, at = _plan(image, data, tables)
+                    image["scans"].append(scan[2])
+                    mine.append(scan)
+                    image = parse(raw, at, image)
+                at = image["end"]
+                if sorted(i for x in image["scans"] for i in x["of"]) != list(range(len(image["parts"]))):
+                    raise BadImage("a part has no scan, or several")
+                row.append(image)
+            if not row:
                 raise BadImage("empty")
-            lanes += [x for _, x in found]
-            out.append([x for x, _ in found])
+            scans += mine
+            out.append(row)
         except (BadImage, KeyError) as e:
             out.append(str(e) if isinstance(e, BadImage) else "a table is missing")
-    if not lanes:
-        return out
-    coefficients = _symbols(lanes, [lookup(*k[1:]) for k in tables], total)
-    for i, row in enumerate(out):
+    every = [lookup(*k[1:]) for k in tables]
+    i = 0
+    while i < len(scans):  # some scans at a time, by their blocks
+        j, total = i, 0
+        while j < len(scans) and (j == i or total + scans[j][2]["n"] <= TOGETHER):
+            scans[j][2]["blocks"] = (total, total + scans[j][2]["n"])
+            total, j = total + scans[j][2]["n"], j + 1
+        got = _symbols(scans[i:j], every, total)
+        for _, _, x in scans[i:j]:
+            x["coefficients"] = got[slice(*x["blocks"])]
+        i = j
+    for k, row in enumerate(out):
         if isinstance(row, list):
             for image in row:
-                a, b = image["blocks"]
-                image["coefficients"] = coefficients[a:b]
-                (h, v), across, down = image["luma_hv"], image["across"], image["down"]
-                mine = coefficients[a:b, 0].reshape(across * down, -1)[:, : h * v]
+                image["coefficients"] = image["scans"][0]["coefficients"] if len(image["scans"]) == 1 else np.concatenate([x["coefficients"] for x in image["scans"]])
+                first = next(x for x in image["scans"] if 0 in x["of"])
+                (h, v), across, down = first["luma_hv"], first["across"], first["down"]
+                mine = first["coefficients"][:, 0].reshape(across * down, -1)[:, : h * v]
                 image["luma"] = mine.reshape(down, across, v, h).transpose(0, 2, 1, 3).reshape(down * v, across * h)
                 image["q_dc"] = image["q"].get(image["parts"][0][3], 1)
-            if bad := next((x["bad"] for x in row if x["bad"]), ""):
-                out[i] = bad
+            if bad := next((x["bad"] for image in row for x in image["scans"] if x["bad"]), ""):
+                out[k] = bad
     return out
 
 
+def _plan(image: dict, data: np.ndarray, tables: dict[tuple, int]) -> tuple[tuple[np.ndarray, np.ndarray, dict], int]:
+    """The bytes and shape of the scan that ``parse`` stands before, and where it ends.
+
+    A scan of one part has that part's own blocks in rows; one of several has units that hold the blocks of each."""
+    high, wide = max(p[2] for p in image["parts"]), max(p[1] for p in image["parts"])
+    parts = [image["parts"][i] for i in image["of"]]
+    if len(parts) == 1:
+        _, h, v, _ = parts[0]
+        columns, rows = -(-image["width"] * h // wide), -(-image["height"] * v // high)
+        across, down, order, first = -(-columns // 8), -(-rows // 8), [0], (1, 1)
+    else:
+        across, down = -(-image["width"] // (8 * wide)), -(-image["height"] // (8 * high))
+        order, first = [i for i, p in enumerate(parts) for _ in range(p[1] * p[2])], parts[0][1:3]
+    mcus, body_at = across * down, image["scan"]
+    n = mcus * len(order)
+    body, edges, end = _scan(data, body_at)
+    if 2 * n > 8 * len(body):  # a block takes two bits at least
+        raise BadImage("the scan is too short")
+    step = (image["restart"] or mcus) * len(order)
+    if len(edges) - 1 != -(-n // step):
+        raise BadImage("restart intervals are missing")
+    index = [[tables.setdefault(("dc", *image["dc"][d]), len(tables)), tables.setdefault(("ac", *image["ac"][a]), len(tables))] for d, a in image["tables"]]
+    return (body, edges, {"of": image["of"], "across": across, "down": down, "order": order, "luma_hv": first, "index": index, "step": step, "n": n, "bad": ""}), end
+
+
 SHORT = 18
 
 
