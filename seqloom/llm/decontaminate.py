@@ -8,7 +8,8 @@ all of its shingles and one prefix shingle, the rarest, is enough. Shingles are
 3. Matches of a prefix are candidates (document, start, window); a start before the first word or an end past the last is pruned.
 4. Candidates, gathered by document (bounded by its words), meet the document once more, and the words themselves are compared.
 
-The benchmark side is broadcast only within ``BROADCAST_ROWS``; beyond it the joins shuffle by hash and AQE splits hot hashes.
+What stems from the benchmark is broadcast, table by table, only within bounds on rows and bytes; beyond them the joins shuffle by hash
+and AQE splits hot hashes.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import ascii_lower, fits, materialise
+from seqloom.llm.shared import ascii_lower, fits, free_name, materialise, maybe_broadcast, release
 
 WIDTH = 10
 SHINGLE = 5
@@ -63,26 +64,27 @@ def _keyed(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: s
     hashed = [windows.where(F.least("n", F.lit(SHINGLE)) == s).select("wid", "n", F.posexplode(shingles("words", s)).alias("off", "h")) for s in sizes]
     tokens = materialise(_all(hashed, spark, "wid string, n int, off int, h long"), "tokens")
     small = fits(tokens)
-    near = lambda df: F.broadcast(df) if small else df
+    of_tokens = lambda df: F.broadcast(df) if small else df  # tables with a row for each shingle or window at most
 
     split = base.select(F.xxhash64("id", "text").alias("key"), words_of(F.col("text")).alias("w"))
     positions = [split.select("key", F.size("w").alias("n_words"), F.posexplode(shingles("w", s)).alias("pos", "h")) for s in sizes]
-    found = _all(positions, spark, "key long, n_words int, pos int, h long").join(near(tokens.select("h").distinct()), "h", "left_semi")
+    found = _all(positions, spark, "key long, n_words int, pos int, h long").join(of_tokens(tokens.select("h").distinct()), "h", "left_semi")
     found = materialise(found, "found")
     rarity = found.groupBy("h").agg(F.count("*").alias("df"))
-    prefix = tokens.join(near(rarity), "h").groupBy("wid", "n").agg(F.min(F.struct("df", "h", "off")).alias("p"), F.count("*").alias("present"))
+    prefix = tokens.join(of_tokens(rarity), "h").groupBy("wid", "n").agg(F.min(F.struct("df", "h", "off")).alias("p"), F.count("*").alias("present"))
     # a window with a shingle that no document has occurs nowhere
     prefix = prefix.where(F.col("present") == F.expr(f"n - least(n, {SHINGLE}) + 1")).select("wid", "n", F.col("p.h").alias("h"), F.col("p.off").alias("off"))
-    start = found.join(near(prefix), "h").select("key", "wid", (F.col("pos") - F.col("off")).alias("start"), "n", "n_words").where("start >= 0 AND start + n <= n_words")
-    named = start.dropDuplicates(["key", "wid", "start"]).join(near(windows.select("wid", "words")), "wid")
+    start = found.join(of_tokens(prefix), "h").select("key", "wid", (F.col("pos") - F.col("off")).alias("start"), "n", "n_words").where("start >= 0 AND start + n <= n_words")
+    named = start.dropDuplicates(["key", "wid", "start"]).join(maybe_broadcast(windows.select("wid", "words")), "wid")
     gathered = named.groupBy("key").agg(F.collect_list(F.struct("start", "n", "wid", "words")).alias("c"))
     full = base.select("id", F.xxhash64("id", "text").alias("key"), "text").join(gathered, "key", "left").withColumn("w", words_of(F.col("text")))
     exact = F.expr("filter(c, x -> slice(w, x.start + 1, x.n) = x.words)")
     kept = full.select("id", "key", F.size("w").cast("long").alias("n_words"), exact.alias("c"))
     covered = F.expr("size(array_distinct(flatten(transform(c, x -> sequence(x.start, x.start + x.n - 1)))))")
     kept = materialise(kept.select("id", "key", "n_words", F.when(F.size("c") > 0, covered).otherwise(0).cast("long").alias("n_hit"), F.coalesce(F.expr("array_distinct(transform(c, x -> x.wid))"), F.expr("CAST(array() AS ARRAY<STRING>)")).alias("wids")), "hits")
+    release(found)
     hit = kept.select("key", F.explode("wids").alias("wid")).distinct()
-    per_doc = hit.join(near(of_item.select("wid", "item_id")), "wid").groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    per_doc = hit.join(maybe_broadcast(of_item.select("wid", "item_id")), "wid").groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     return kept.drop("wids").join(per_doc, "key", "left").select("key", "id", "n_words", "n_hit", F.coalesce("items", F.expr("CAST(array() AS ARRAY<STRING>)")).alias("items"))
 
 
@@ -107,9 +109,10 @@ def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows that hold an occurrence of a benchmark window, null ids among them; their columns and all other rows, also
     those that share an id with a dropped one, are as they were."""
-    hit = _keyed(docs, items, doc_id, text).where("n_hit > 0").select(F.col("key").alias("_key"), F.col("id").alias("_hit")).distinct()
-    hit = F.broadcast(hit) if fits(hit := materialise(hit, "hit")) else hit
-    return docs.join(hit, (F.xxhash64(docs[doc_id], docs[text]) == hit["_key"]) & docs[doc_id].eqNullSafe(hit["_hit"]), "left_anti")
+    key, of = free_name("hit_key", docs), free_name("hit_id", docs)
+    hit = _keyed(docs, items, doc_id, text).where("n_hit > 0").select(F.col("key").alias(key), F.col("id").alias(of)).distinct()
+    hit = maybe_broadcast(materialise(hit, "hit"))
+    return docs.join(hit, (F.xxhash64(F.col(doc_id), F.col(text)) == F.col(key)) & F.col(doc_id).eqNullSafe(F.col(of)), "left_anti")
 
 
 #: The same by brute definition, for DuckDB.
