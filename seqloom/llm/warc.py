@@ -1,12 +1,15 @@
 """WARC archives: writing, reading, and assembly of transactions.
 
 Writing: Spark's own text writer puts one record in each row, so any file system that Spark knows will do; a record ends with CR LF CR
-and the writer's line feed. Files are compressed with gzip and hold at most ``RECORDS`` records. Reading: whole files through Spark's binary
-reader, records by their stated length, so that payloads may hold anything.
+and the writer's line feed. Files are compressed with gzip and bounded by bytes: pages of like size are written together, so many to a
+file that it holds ``FILE_BYTES`` or one page. Reading: whole files through Spark's binary reader, records by their stated length, so
+that payloads may hold anything.
 
 Assembly: WARC-Concurrent-To, which a record may repeat, links two records whichever of them names the other; requests and metadata belong
-to the nearest response or revisit over those links. Everything of a capture becomes one nested row. Only digests and ids are shuffled for
-deduplication; equal payloads meet as a minimum by digest, so no group is gathered.
+to the nearest response or revisit over those links. Everything of a capture, payload included, becomes one nested row.
+
+For deduplication only digests and ids are shuffled; equal payloads meet as a minimum by digest, so no group is gathered. What repeats
+goes back to the pages by a broadcast if it is within the bounds of ``shared``, else by a shuffled join.
 """
 
 from __future__ import annotations
@@ -15,15 +18,18 @@ import base64
 import gzip
 import hashlib
 import io
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import in_pieces, materialise, new_path, utf8
+from seqloom.llm.shared import in_pieces, materialise, maybe_broadcast, new_path, release, utf8
 
-RECORDS = 3_000
+FILE_BYTES = 64 << 20
+#: Bytes of html up to which pages are written together; the last kind has a file for each page.
+KINDS = (1 << 16, 1 << 20, None)
 DATE = "2024-01-01T00:00:00Z"
 FIELDS = {"record_id": "string", "type": "string", "concurrent_to": "array<string>", "target_uri": "string", "refers_to": "string", "payload_digest": "string", "payload_bytes": "bigint", "payload": "binary", "fields": "string"}
 
@@ -45,18 +51,20 @@ def _uri(url: str | None) -> str:
     return " ".join((url or "").split())
 
 
-def capture(page: int, url: str | None, payload: bytes, original: int | None) -> list[bytes]:
-    """Response or revisit, request, and metadata of one page."""
-    name, digest = f"urn:page:{page}", f"sha1:{sha1_base32(payload)}"
+def capture(page: int | None, url: str | None, payload: bytes, original: int | None) -> list[bytes]:
+    """Response or revisit, request, and metadata of one page. A record's id has the page's id and the payload's digest; a page without
+    an id gets a random one in its stead."""
+    sha = sha1_base32(payload)
+    name, digest = f"urn:page:{page if page is not None else f'none-{uuid.uuid4().hex}'}:{sha}", f"sha1:{sha}"
     uri = _uri(url)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if original is None:
         main = record("response", name, http + payload, Target_URI=uri, Payload_Digest=digest)
     else:
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        main = record("revisit", name, http, Target_URI=uri, Payload_Digest=digest, Refers_To=f"<urn:page:{original}>", Profile=profile)
+        main = record("revisit", name, http, Target_URI=uri, Payload_Digest=digest, Refers_To=f"<urn:page:{original}:{sha}>", Profile=profile)
     ask = record("request", f"{name}:request", f"GET {uri or '/'} HTTP/1.1\r\n\r\n".encode(), Target_URI=uri, Concurrent_To=f"<{name}>")
-    about = record("metadata", f"{name}:metadata", f"page: {page}\r\n".encode(), Target_URI=uri, Concurrent_To=f"<{name}:request>")
+    about = record("metadata", f"{name}:metadata", f"page: {'' if page is None else page}\r\n".encode(), Target_URI=uri, Concurrent_To=f"<{name}:request>")
     return [ask, main, about]
 
 
@@ -64,12 +72,14 @@ def write_pages(pages: DataFrame, path: str, page_id: str = "page_id", url: str
     """An archive of all pages under ``path``: for each a request, a response or revisit, and metadata.
 
     Of pages with equal payloads of at least ``least`` bytes the smallest id is the response and the others revisit it; null html is an
-    empty payload, a null url an empty one, and pages with a null id are left out, since a record must have a name. Rows that repeat an
-    id are written once each."""
-    rows = pages.select(F.col(page_id).cast("long").alias("page"), F.col(url).alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("html")).where("page IS NOT NULL")
+    empty payload, a null url an empty one. A page with a null id is a response under a random id, and nobody's original. Rows that repeat
+    an id with different html are captures of their own; those that repeat id and html share their record ids."""
+    rows = pages.select(F.col(page_id).cast("long").alias("page"), F.col(url).alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("html"))
     key = F.sha1("html")
-    first = rows.where(F.length("html") >= least).groupBy(key.alias("key")).agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    marked = rows.withColumn("sha", key).join(first, F.col("sha") == F.col("key"), "left").select("page", "url", "html", F.when(F.col("first") < F.col("page"), F.col("first")).alias("original"))
+    same = rows.where(F.col("page").isNotNull() & (F.length("html") >= least)).groupBy(key.alias("key")).agg(F.min("page").alias("first"), F.max("page").alias("last"), F.max(F.length("html")).alias("size"))
+    same = materialise(same, "payloads")
+    largest = max(rows.where("page IS NULL OR length(html) < " + str(least)).agg(F.max(F.length("html"))).first()[0] or 0, same.agg(F.max("size")).first()[0] or 0)
+    first = maybe_broadcast(materialise(same.where("first < last").select("key", "first"), "originals"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,8 +89,17 @@ def write_pages(pages: DataFrame, path: str, page_id: str = "page_id", url: str
                 made = [r for page, url, a, b, original in rows for r in capture(page, url, data[a:b].tobytes(), original)]
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
 
-    made = marked.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    made.write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", RECORDS).text(path)
+    low = -1
+    for high in KINDS:
+        mine = rows.where(F.length("html") > low) if high is None else rows.where((F.length("html") > low) & (F.length("html") <= high))
+        marked = mine.withColumn("sha", key).join(first, F.col("sha") == F.col("key"), "left").select("page", "url", "html", F.when(F.col("first") < F.col("page"), F.col("first")).alias("original"))
+        made = marked.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
+        records = 3 * max(1, FILE_BYTES // high if high else 1)
+        made.write.mode("append").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\n").option("maxRecordsPerFile", records).text(path)
+        if high is None or largest <= high:
+            break
+        low = high
+    release(same)
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[dict]:
@@ -168,6 +187,7 @@ def assemble(records: DataFrame) -> DataFrame:
     A request or metadata record belongs to the response or revisit that the fewest concurrent-to links, in either direction, lead to,
     and to each of several at the same distance; without one it belongs to no capture. A response or revisit without an id is none.
     Repeated records repeat in the arrays, repeated responses give a capture each."""
+    records = materialise(records, "records")
     main = records.where("type IN ('response', 'revisit') AND record_id IS NOT NULL")
     # records without an id that name the same ones share a node
     node = F.coalesce("record_id", F.concat(F.lit("no id: "), F.array_join("concurrent_to", " ")))
@@ -182,16 +202,16 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def _page(name: Column) -> Column:
-    return F.regexp_extract(name, "^urn:page:(-?[0-9]+)$", 1)
+    return F.nullif(F.regexp_extract(name, "^urn:page:(-?[0-9]+):", 1), F.lit(""))
 
 
 def digest(pages: DataFrame) -> DataFrame:
-    """The columns of ``op7_warc``: pages written to an archive in the shared folder, read back and assembled."""
+    """The columns of ``op7_warc``: pages written to an archive in the shared folder, read back, assembled with their payloads, and the
+    nested rows described. Payload length and digest of a response are those of the payload it holds, of a revisit those it states."""
     path = new_path(pages.sparkSession, "warc")
     write_pages(pages, path)
-    r = assemble(materialise(read(pages.sparkSession, path, payload=False), "records"))
-    return r.select(
-        _page(F.col("main.record_id")).cast("long").alias("page_id"), "main.payload_bytes", "main.payload_digest", F.col("main.type").alias("record_type"),
-        F.when(F.col("main.refers_to").isNotNull(), _page(F.col("main.refers_to")).cast("long")).alias("refers_to"),
-        F.size("requests").alias("n_requests"), F.size("metadata").alias("n_metadata"),
+    captures = materialise(assemble(read(pages.sparkSession, path)), "captures")
+    return captures.select(
+        _page(F.col("main.record_id")).cast("long").alias("page_id"), F.coalesce(F.length("main.payload").cast("long"), "main.payload_bytes").alias("payload_bytes"), "main.payload_digest",
+        F.col("main.type").alias("record_type"), _page(F.col("main.refers_to")).cast("long").alias("refers_to"), F.size("requests").alias("n_requests"), F.size("metadata").alias("n_metadata"),
     )
