@@ -1,8 +1,12 @@
 """Small tests of the training-data operators: brute force, exact round trips, held-out accuracy, and awkward rows."""
 
+import base64
 import hashlib
 import io
 import math
+import os
+import re
+import time
 import zlib
 from collections import Counter
 
@@ -159,6 +163,32 @@ def test_general_jpeg_scan():
     assert (found["luma"] == blocks[:, 0, 0].reshape(2, 2)).all()
 
 
+def test_jpeg_of_several_scans():
+    """Three parts, one of them of half size, each in a scan of its own, against the same blocks laid out part by part."""
+    dc, ac = media.codes(media.DC_BITS, media.DC_VALUES), media.codes(media.AC_BITS, media.AC_VALUES)
+    code = lambda c: format(c[0], f"0{c[1]}b")
+    number = lambda v, n: format(v if v > 0 else v + (1 << n) - 1, f"0{n}b") if n else ""
+
+    def scan(values):
+        bits, before = "", 0
+        for v in values:
+            d, before = v - before, v
+            bits += code(dc[abs(d).bit_length()]) + number(d, abs(d).bit_length()) + code(ac[0])
+        bits += "1" * (-len(bits) % 8)
+        return int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0")
+
+    luma, two, three = [5, -9, 30, 2, 0, -4], [7, 8], [1, -1]  # 24 x 16 pixels, the others at half size both ways
+    head = b"\xff\xd8" + media._segment(0xDB, b"\0" + b"\2" * 64)
+    head += media._segment(0xC0, bytes([8, 0, 16, 0, 24, 3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]))
+    head += media._segment(0xC4, b"\0" + bytes(media.DC_BITS) + media.DC_VALUES) + media._segment(0xC4, b"\x10" + bytes(media.AC_BITS) + media.AC_VALUES)
+    parts = [(1, luma), (3, three), (2, two)]
+    image = head + b"".join(media._segment(0xDA, bytes([1, k, 0, 0, 63, 0])) + scan(v) for k, v in parts) + b"\xff\xd9"
+    (found,), = media.decode([image])
+    assert found["luma"].tolist() == [luma[:3], luma[3:]] and found["q_dc"] == 2
+    assert found["coefficients"][:, 0].tolist() == luma + three + two
+    assert isinstance(media.decode([head + media._segment(0xDA, bytes([1, 1, 0, 0, 63, 0])) + scan(luma) + b"\xff\xd9"])[0], str)
+
+
 def test_token_rollup(spark, tmp_path):
     roll = token_counts.Rollup(spark, str(tmp_path / "r"))
     assert roll.totals().count() == 0
@@ -170,6 +200,39 @@ def test_token_rollup(spark, tmp_path):
     assert roll.commit("two", back) and roll.totals().count() == 0
 
 
+def test_rollup_commits_once_and_compacts(spark, tmp_path):
+    docs = odd_docs(spark)
+    roll, other = (token_counts.Rollup(spark, str(tmp_path / "r")) for _ in range(2))
+    rows = lambda r: sorted(map(tuple, r.totals().collect()), key=str)
+    assert roll.commit("one", token_counts.inserts(docs, "words-1"))
+    # a second writer that has not seen the first one's commit
+    aside = str(tmp_path / "r" / "aside-late")
+    token_counts.deltas(token_counts.inserts(docs, "words-1")).write.parquet(aside)
+    assert not other._publish(aside, str(tmp_path / "r" / "batch=one")) and not (tmp_path / "r" / "aside-late").exists()
+    before = rows(roll)
+    roll.commit("two", token_counts.inserts(docs, "alnum-1"))
+    both = rows(roll)
+    roll.compact()
+    assert rows(roll) == both and len(both) == 2 * len(before) and roll.committed() == ["one", "two"]
+    assert not other.commit("one", token_counts.inserts(docs, "words-1")) and rows(other) == both
+    other.commit("three", token_counts.inserts(docs, "words-1"))
+    other.compact()
+    other.compact()
+    assert roll.committed() == ["one", "three", "two"] and sum(r[3] for r in rows(roll)) == 33
+    changes = spark.createDataFrame([(None, None)], f"before {token_counts.IMAGE}, after {token_counts.IMAGE}")
+    assert roll.commit("none", changes) and sum(r[3] for r in rows(roll)) == 33
+
+
+@pytest.mark.skipif(not os.path.exists("/opt/tokenizers"), reason="no vocabulary files")
+def test_counts_of_public_vocabularies(spark):
+    docs = spark.createDataFrame([(1, "hello world"), (2, None), (3, "<|endoftext|>")], "doc_id long, text string")
+    for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"):
+        got = {r.doc_id: r.tokens for r in token_counts.vocabulary_counts(docs, f"/opt/tokenizers/{name}").collect()}
+        assert got[1] >= 2 and got[2] == 0 and got[3] > 1
+    changes = token_counts.inserts(token_counts.vocabulary_counts(docs.withColumns({"source": F.lit("s"), "lang": F.lit("en")}), "/opt/tokenizers/byte_bpe_50k.json"), "byte-bpe-50k", F.col("tokens"))
+    assert token_counts.deltas(changes).first().documents == 3
+
+
 def test_lm(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).unionByName(odd_docs(spark).select("doc_id", "text", "lang", "source", "n_chars"))
     rows = [(r.doc_id, words_of(r.text) + [b"\n"]) for r in docs.collect()]
@@ -311,11 +374,32 @@ def test_gam_learns_an_interaction():
 
 def test_warc(spark):
     pages = spark.createDataFrame([(1, "http://a/ \r\nx", "<p>\r\nWARC/1.1\r\n</p>"), (2, None, None), (3, "u", ""), (4, "http://b", "<p>\r\nWARC/1.1\r\n</p>"), (None, "n", "n")], "page_id long, url string, html string")
-    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to, r.n_requests, r.n_metadata) for r in warc.digest(pages).collect()}
-    assert got == {1: (19, "response", None, 1, 1), 4: (19, "revisit", 1, 1, 1), 2: (0, "response", None, 1, 1), 3: (0, "revisit", 2, 1, 1)}
+    pages = pages.unionByName(spark.createDataFrame([(5, "x", "one"), (5, "x", "two"), (None, "n", "n"), (6, "u", "y" * 70_000), (7, "u", "z" * 1_200_000)], pages.schema))
+    got = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to, r.n_requests, r.n_metadata) for r in warc.digest(pages).collect())
+    new = lambda page, size: (page, size, "response", None, 1, 1)
+    assert got == [new(0, 1), new(0, 1), new(1, 19), new(2, 0), (3, 0, "revisit", 2, 1, 1), (4, 19, "revisit", 1, 1, 1), new(5, 3), new(5, 3), new(6, 70_000), new(7, 1_200_000)]
     assert warc.digest(pages.limit(0)).count() == 0
 
 
+def test_warc_rows_equal_brute_force(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    rows = [(r.page_id, (r.html or "").encode()) for r in pages.collect()]
+    first = {}
+    for page, html in sorted(rows):
+        first.setdefault(html, page)
+    sha = lambda html: base64.b32encode(hashlib.sha1(html).digest()).decode()
+    want = {page: (len(html), sha(html), *(("response", None) if first[html] == page else ("revisit", first[html]))) for page, html in rows}
+    assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.digest(pages).collect()} == want
+
+
+def test_warc_captures_hold_payloads(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "<p>a</p>"), (2, "v", "<p>a</p>")], "page_id long, url string, html string")
+    warc.write_pages(pages, str(tmp_path / "w"))
+    got = {r.main.record_id.split(":")[2]: r for r in warc.assemble(warc.read(spark, str(tmp_path / "w"))).collect()}
+    assert bytes(got["1"].main.payload) == b"<p>a</p>" and got["2"].main.payload is None and got["2"].main.refers_to == got["1"].main.record_id
+    assert got["1"].requests[0].fields.startswith("GET u ")
+
+
 def test_tree_marginals_equal_enumeration():
     rng = np.random.default_rng(4)
     parent, level = np.array([-1, 0, 0, 1, 1]), np.array([0, 1, 1, 2, 2])
@@ -435,3 +519,72 @@ def test_warc_links_in_both_directions(spark):
     got = warc.assemble(spark.createDataFrame(rows, ", ".join(f"{k} {t}" for k, t in warc.FIELDS.items()))).collect()
     names = lambda x: [i.record_id for i in x]
     assert {r.main.record_id: (names(r.requests), names(r.metadata)) for r in got} == {"r1": (["q1"], ["m1", "m5"]), "r2": (["q2"], ["m2", "m5"]), "r3": (["q3"], ["m3"]), "r4": (["q4"], ["m4", "n4"])}
+
+
+def test_html_of_unclosed_and_deep_markup(spark):
+    times = []
+    for n in (4_000, 16_000):
+        began = time.time()
+        tree = html_text.parse("<button>x" * n + "<div>" * n + "deep" + "</div>" * n)
+        times.append(time.time() - began)
+        assert tree.level[-1] > n and tree.texts[-1] == "deep"
+    assert times[1] < 12 * times[0] + 1
+    pages = spark.createDataFrame([(1, "u", "<div>" * 3000 + "<p>Some text here, and more of it.</p>")], "page_id long, url string, html string")
+    assert html_text.extract(pages).count() == 1 and html_text.digest(pages.limit(0)).count() == 0
+
+
+def test_decontamination_of_repeated_ids(spark):
+    docs = odd_docs(spark, [(3, "x b c d"), (3, "clean one"), (3, "b c d b c d"), (None, "b c d")])
+    got = sorted((r.id or 0, r.n_words, r.n_hit, len(r["items"])) for r in decontaminate.contaminate(docs, items(spark)).collect())
+    assert got == [(0, 3, 3, 1), (3, 2, 0, 0), (3, 4, 3, 1), (3, 6, 6, 1)]
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda k, d: d)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        shared.shared_dir(Session)
+
+
+def test_pipeline(spark, sf, tmp_path):
+    """Stage by stage against each operator's own rows, brute force where there is one; then the whole run."""
+    import corpus_pipeline as pipe
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    extra = [(9001, "bad idiot text", "en", None, 5), (None, "no id here at all, but words", None, "s", 9), (9002, None, "en", "s", 0), (9001, "bad idiot text", "en", None, 5)]
+    odd = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    now = odd
+    for name, stage in pipe.STAGES:
+        after = shared.materialise(stage(spark, now, sf), name)
+        rows, left = (Counter((r.doc_id, r.text) for r in d.collect()) for d in (now, after))
+        assert left <= rows
+        if name != "mixing":
+            assert after.columns == docs.columns
+        gone = rows - left
+        if name == "toxicity":
+            bad = toxicity.score(now, toxicity.train(now, spark.read.parquet(f"{sf}/labels.parquet"))).where(F.col("score") >= toxicity.THRESHOLD)
+            assert gone == Counter((r.doc_id, r.text) for r in bad.collect())
+        if name == "quality":
+            bad = quality.score(now, quality.train(now, spark.read.parquet(f"{sf}/labels.parquet"))).where(F.col("score") < quality.THRESHOLD)
+            assert gone == Counter((r.doc_id, r.text) for r in bad.collect())
+        if name == "ngram_join":
+            want = brute_components([(i, t) for i, t in rows if i is not None])
+            assert {i for i, _ in gone} == {i for i, (n, c) in want.items() if c < i}
+        if name == "decontamination":
+            cut = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+            windows = {tuple(w[i : i + 10]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if (w := cut(r.text)) for i in range(max(len(w) - 10, 0) + 1)}
+            sizes = {len(w) for w in windows}
+            hit = lambda w: any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))
+            assert gone == Counter({r: n for r, n in rows.items() if hit(cut(r[1]))})
+        if name == "mixing":
+            want = mixing.mix(now).where("sampled")
+            assert Counter(r.doc_id for r in after.collect()) == Counter(r.id for r in want.collect())
+        now = after
+    whole = pipe.run(spark, sf)
+    assert whole.count() > 0 and set(docs.columns) < set(whole.columns)
+    empty = tmp_path / "none"
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(str(empty / f"{t}.parquet"))
+    assert pipe.run(spark, str(empty)).count() == 0
