@@ -28,12 +28,14 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.shared import in_pieces, materialise, release, remainder, utf8
 
-HEAD, VECTORS, SINGLES, BUCKETS, GROUP = 65_536, 16_384, 64, 64, 128
-WIDTH, NOISE, INNER_NOISE, BATCH, LEAST_STEPS = 16, 24, 2, 4_096, 400
+HEAD, VECTORS, SINGLES, BUCKETS, GROUP = 131_072, 16_384, 64, 64, 128
+WIDTH, NOISE, INNER_NOISE, BATCH, LEAST_STEPS = 16, 48, 1, 4_096, 400
 SHARD, ROUNDS = 8_000_000, 4
 #: Averages are taken over pieces of so many rows, first among so many shards.
-PIECE, FAN = 8_192, 64
+PIECE, FAN = 4_096, 64
 END = b"\n"
+#: Words that a task counts before it passes their counts on.
+TALLY = 250_000
 LOG10 = float(np.log(10))
 NONE = np.float32(-1e30)
 
@@ -210,9 +212,10 @@ def log_probabilities(known: Vocabulary, p: Parameters, place: np.ndarray, edge:
     pairs, at = np.unique(two.astype(np.int64) * wide + one, return_inverse=True)
     first, second = (pairs % wide).astype(np.int32), (pairs // wide).astype(np.int32)
     h, r, s = _with_one(a[first] + b[second]), p["r"], p["s"]
-    norm = np.empty(len(pairs), np.float32)
+    reach = _longest(h)
+    norm, tame = np.empty(len(pairs), np.float32), _tame(reach, r)
     for i in range(0, len(pairs), 4096):
-        norm[i : i + 4096] = _log_sum(h[i : i + 4096] @ r.T)
+        norm[i : i + 4096] = _log_sum(h[i : i + 4096] @ r.T, tame)
     out = np.empty(len(place), np.float64)
     for i in range(0, len(place), 65_536):
         part = slice(i, i + 65_536)
@@ -223,21 +226,32 @@ def log_probabilities(known: Vocabulary, p: Parameters, place: np.ndarray, edge:
     edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(order) else []
     for i, j in zip(edges[:-1], edges[1:], strict=True):
         low = int(group[i]) * GROUP
+        rows = s[low : low + GROUP]
+        tame = _tame(reach, rows)
         for k in range(i, j, 4096):
             mine = order[k : min(j, k + 4096)]
-            x = h[at[mine]] @ s[low : low + GROUP].T
+            x = h[at[mine]] @ rows.T
             out[mine] += x[np.arange(len(mine)), slot[mine] - low]
-            out[mine] -= _log_sum(x)
+            out[mine] -= _log_sum(x, tame)
     return out / LOG10
 
 
-def _log_sum(x: np.ndarray) -> np.ndarray:
+def _longest(rows: np.ndarray) -> float:
+    """The length of the longest row, its last value left out."""
+    return float(np.sqrt((rows[:, :-1] ** 2).sum(axis=1).max(initial=0)))
+
+
+def _tame(reach: float, rows: np.ndarray) -> bool:
+    """True if no sum of exponentials of products with rows of that reach can leave single precision."""
+    most, bias = reach * _longest(rows), float(rows[:, -1].max())
+    return most + bias < 60 and bias - most > -60
+
+
+def _log_sum(x: np.ndarray, tame: bool) -> np.ndarray:
     """log of the sum of the exponentials of each row; x is overwritten."""
-    top = x.max(axis=1)
-    if len(top) and not -60 < top.min() <= top.max() < 60:  # else float32 holds the sums as they are
+    top = np.float32(0) if tame else x.max(axis=1)
+    if not tame:
         x -= top[:, None]
-    else:
-        top = np.float32(0)
     return np.log(np.exp(x, out=x) @ np.ones(x.shape[1], np.float32)) + top
 
 
@@ -291,17 +305,24 @@ def _add(batches: Iterator[pa.RecordBatch], fan: int, half: bool) -> Iterator[pa
 
 
 def count(docs: DataFrame, learn: Column) -> DataFrame:
-    """(word, c) over the words and ends of all rows for which ``learn`` holds, added up by piece of text before they are shuffled."""
+    """(word, c) over the words and ends of all rows for which ``learn`` holds, added up task by task before they are shuffled."""
+
+    def batch_of(found: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Counter()
         for batch in batches:
             for piece in in_pieces(batch, "text"):
                 data, at = utf8(piece.column(0))
-                found = Counter()
                 for a, b in zip(at[:-1], at[1:], strict=True):
                     found.update(data[a:b].tobytes().lower().split())
                 found[END] += len(at) - 1
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "c"])
+                if len(found) > TALLY:
+                    yield batch_of(found)
+                    found = Counter()
+        if found:
+            yield batch_of(found)
 
     each = docs.where(learn).select("text").mapInArrow(run, "word string, c long")
     return materialise(each.groupBy("word").agg(F.sum("c").alias("c")), "counts")
@@ -339,9 +360,9 @@ def train(docs: DataFrame, learn: Column, known: Vocabulary, shard: int = SHARD,
             for piece in in_pieces(batch, "text"):
                 data, at = utf8(piece.column(1))
                 place, edge, _ = known.places([data[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)])
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(place, pa.int32()))], names=["key", "place"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([place[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], names=["key", "place"])
 
-    coded = docs.where(learn).select(key.alias("key"), "text").mapInArrow(encode, "key long, place array<int>")
+    coded = docs.where(learn).select(key.alias("key"), "text").mapInArrow(encode, "key long, place binary")
     coded = coded.select("key", "place", F.pmod("key", F.lit(rounds)).cast("int").alias("round"), F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"))
     coded = materialise(coded, "coded")
     for turn in range(rounds):
@@ -360,12 +381,12 @@ def train(docs: DataFrame, learn: Column, known: Vocabulary, shard: int = SHARD,
                     yield _sums(k, now, change[part], t[part], m[part])
 
             for batch in batches:
-                for which, place in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for which, place in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     if which != now and mine:
                         yield from solve()
                         mine = []
                     now = which
-                    mine.append(place.values.to_numpy(zero_copy_only=False))
+                    mine.append(np.frombuffer(place, np.int32))
             if mine:
                 yield from solve()
 
@@ -373,7 +394,8 @@ def train(docs: DataFrame, learn: Column, known: Vocabulary, shard: int = SHARD,
         sums = dealt.mapInArrow(fit, SUMS)
         for fan, half in ((FAN, True), (1 << 30, False)):
             near = F.floor(F.col("share") / fan)
-            sums = sums.repartition(16, "piece", near).sortWithinPartitions("piece", "share").mapInArrow(lambda x, fan=fan, half=half: _add(x, fan, half), SUMS)
+            parts = 16 if fan > FAN else max(16, 4 * -(-shards // FAN))  # a task reads the sums of some shares
+            sums = sums.repartition(parts, "piece", near).sortWithinPartitions("piece", "share").mapInArrow(lambda x, fan=fan, half=half: _add(x, fan, half), SUMS)
         got = sorted((r.piece, r.change, r.sums, r.weight) for r in sums.collect())  # one row for each piece
         if got:
             change, t, m = (np.concatenate([np.frombuffer(x[k], np.float32) for x in got]) for k in (1, 2, 3))
