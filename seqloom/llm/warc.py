@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import in_pieces, materialise, maybe_broadcast, new_path, release, utf8
+from seqloom.llm.shared import in_pieces, materialise, maybe_broadcast, new_path, release, remove, utf8
 
 FILE_BYTES = 64 << 20
 #: Bytes of html up to which pages are written together; the last kind has a file for each page.
@@ -165,11 +165,17 @@ def _batch(rows: list[dict], kinds: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[t]) for k, t in FIELDS.items()], names=list(FIELDS))
 
 
+def _node(name: Column) -> Column:
+    """16 bytes that stand for a record's name in links."""
+    return F.unhex(F.md5(name.cast("binary")))
+
+
 def _owners(named: DataFrame, main: DataFrame) -> DataFrame:
     """(node, owner): each node's nearest main records over undirected links, one ring of links around them after another."""
-    one_way = named.select(F.col("node").alias("a"), F.explode("concurrent_to").alias("b")).where("a <> b")
+    one_way = named.select(_node(F.col("node")).alias("a"), F.explode(F.transform("concurrent_to", _node)).alias("b")).where("a <> b")
     links = materialise(one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    ring = found = main.select(F.col("record_id").alias("node"), F.col("record_id").alias("owner")).distinct()
+    own = _node(F.col("record_id"))
+    ring = found = main.select(own.alias("node"), own.alias("owner")).distinct()
     before = ring.limit(0)
     while True:
         # the neighbours of a ring are in it, in the one before or in the next
@@ -187,17 +193,18 @@ def assemble(records: DataFrame) -> DataFrame:
     A request or metadata record belongs to the response or revisit that the fewest concurrent-to links, in either direction, lead to,
     and to each of several at the same distance; without one it belongs to no capture. A response or revisit without an id is none.
     Repeated records repeat in the arrays, repeated responses give a capture each."""
-    records = materialise(records, "records")
+    if not hasattr(records, "_kept_at"):
+        records = materialise(records, "records")
     main = records.where("type IN ('response', 'revisit') AND record_id IS NOT NULL")
     # records without an id that name the same ones share a node
     node = F.coalesce("record_id", F.concat(F.lit("no id: "), F.array_join("concurrent_to", " ")))
-    rest = records.where("type IN ('request', 'metadata')").select(node.alias("node"), "record_id", "type", "target_uri", "fields")
+    rest = records.where("type IN ('request', 'metadata')").select(_node(node).alias("node"), "record_id", "type", "target_uri", "fields")
     owned = rest.join(_owners(records.select(node.alias("node"), "concurrent_to"), main.select("record_id")), "node")
     item = F.struct("record_id", "target_uri", "fields")
     of = lambda kind: F.sort_array(F.collect_list(F.when(F.col("type") == kind, item)))
     parts = owned.groupBy("owner").agg(of("request").alias("requests"), of("metadata").alias("metadata"))
     none = lambda c: F.coalesce(c, F.array().cast("array<struct<record_id:string,target_uri:string,fields:string>>"))
-    joined = main.select(F.struct(*main.columns).alias("main")).join(parts, F.col("main.record_id") == F.col("owner"), "left")
+    joined = main.select(F.struct(*main.columns).alias("main")).join(parts, _node(F.col("main.record_id")) == F.col("owner"), "left")
     return joined.select("main", none(F.col("requests")).alias("requests"), none(F.col("metadata")).alias("metadata"))
 
 
@@ -210,7 +217,9 @@ def digest(pages: DataFrame) -> DataFrame:
     nested rows described. Payload length and digest of a response are those of the payload it holds, of a revisit those it states."""
     path = new_path(pages.sparkSession, "warc")
     write_pages(pages, path)
-    captures = materialise(assemble(read(pages.sparkSession, path)), "captures")
+    records = materialise(read(pages.sparkSession, path), "records")
+    remove(pages.sparkSession, path)  # the records stand for the archive from here
+    captures = assemble(records)
     return captures.select(
         _page(F.col("main.record_id")).cast("long").alias("page_id"), F.coalesce(F.length("main.payload").cast("long"), "main.payload_bytes").alias("payload_bytes"), "main.payload_digest",
         F.col("main.type").alias("record_type"), _page(F.col("main.refers_to")).cast("long").alias("refers_to"), F.size("requests").alias("n_requests"), F.size("metadata").alias("n_metadata"),
