@@ -105,6 +105,22 @@ def mixture_scores(points: DataFrame, point_id: str, features: str, weights: np.
     return points.select(F.col(point_id).alias("id"), features).mapInArrow(run, f"id {schema.dtypes[0][1]}, component int, log_likelihood double")
 
 
+def posteriors(points: DataFrame, point_id: str, features: str, weights: np.ndarray, means: np.ndarray, variances: np.ndarray) -> DataFrame:
+    """(point_id, posterior, log_likelihood): P(component) of each point; null features give nulls."""
+    kind = dict(points.dtypes)[point_id]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            out, ll = np.zeros((len(held), len(weights))), np.zeros(len(held))
+            if held.any():
+                out[held], ll[held] = responsibilities(_matrix(batch.column(1).drop_null()), weights, means, variances)
+            rows = [r if h else None for r, h in zip(out, held.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64())), pa.array(ll, mask=~held)], names=[point_id, "posterior", "log_likelihood"])
+
+    return points.select(point_id, features).mapInArrow(run, f"{point_id} {kind}, posterior array<double>, log_likelihood double")
+
+
 def information(log_likelihood: float, rows: int, components: int, dims: int) -> tuple[float, float]:
     """AIC and BIC of a diagonal mixture."""
     free = components - 1 + 2 * components * dims

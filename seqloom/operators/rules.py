@@ -22,8 +22,8 @@ def finite(*values: Column) -> Column:
 
 
 def timing_consistent(offset: Column, consonant: Column, blank: Column, preutterance: Column) -> Column:
-    """Nothing negative, something positive, and a preutterance of at most twice the total."""
-    total = offset + consonant + blank
+    """Nothing negative, consonant or blank positive, and a preutterance of at most twice their sum."""
+    total = consonant + blank
     return (offset >= 0) & (consonant >= 0) & (blank >= 0) & (total > 0) & (preutterance <= 2 * total)
 
 
@@ -47,3 +47,14 @@ def category_scores(found: DataFrame, key: str, category: str, severity: str) ->
     weight = F.when(F.col(severity) == "critical", 10).when(F.col(severity) == "error", 5).when(F.col(severity) == "warning", 2).otherwise(1)
     x = found.groupBy(key).agg(F.count("*").alias("n"), F.sum(weight).alias("_w"), F.countDistinct(category).alias("categories"))
     return x.select(key, "n", "categories", F.greatest(F.lit(0.0), 1 - F.col("_w") / 100).alias("consistency"), F.greatest(F.lit(0.0), 1 - F.col("n") / 10).alias("integrity"))
+
+
+def feature_quality(df: DataFrame, keys: list[str], good: Column, sure: Column) -> DataFrame:
+    """By key the mean of the share of good rows and the mean confidence, from 0 to 1; a null ``good`` counts as not good."""
+    mean = (F.avg(F.coalesce(good, F.lit(False)).cast("double")) + F.avg(sure)) / 2
+    return df.groupBy(*keys).agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), mean)).alias("quality"))
+
+
+def safe_variance(value: str) -> Column:
+    """The population variance, 1e-6 at least and for groups without values."""
+    return F.greatest(F.coalesce(F.var_pop(value), F.lit(1e-6)), F.lit(1e-6))

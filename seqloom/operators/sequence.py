@@ -125,3 +125,38 @@ def tempo_seconds(changes: DataFrame, keys: list[str], tick: str, bpm: str, ppq:
     w = over(keys, [tick])
     stretch = (F.col(tick) - F.lag(tick, 1).over(w)) / float(ppq) * 60.0 / F.lag(bpm, 1).over(w)
     return changes.withColumn("_s", F.coalesce(stretch, F.lit(0.0))).withColumn("seconds", F.sum("_s").over(w)).drop("_s")
+
+
+def by_position(left: DataFrame, right: DataFrame, keys: list[str], left_order: list[str], right_order: list[str], name: str = "i") -> DataFrame:
+    """The rows of both sides that stand at the same place (from 1) of the same sequence: as many as the shorter one has.
+
+    Ties of the order keys leave places open, so give keys that tell rows apart; a null key matches nothing."""
+    place = lambda df, order: df.withColumn(name, F.row_number().over(over(keys, order)))
+    return place(left, left_order).join(place(right, right_order), [*keys, name])
+
+
+def number_context(df: DataFrame, keys: list[str], order: list[str], value: str, width: int = 2) -> DataFrame:
+    """df with the values ``l<width>`` to ``l1`` before and ``r1`` to ``r<width>`` after each row; 0 beyond the ends and for nulls."""
+    w = over(keys, order)
+    found = {f"{side}{i}": F.coalesce(f(value, i).over(w), F.lit(0.0)) for side, f in (("l", F.lag), ("r", F.lead)) for i in range(1, width + 1)}
+    return df.withColumns(found)
+
+
+def ranked_normaliser(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """By key: mean, population deviation, least, most, and the values at ranks n/4, n/2 and 3n/4 (from 0, no interpolation).
+
+    Ranks are found over counts of equal values, so equal values are combined before a sort; nulls are left out."""
+    rows = df.where(F.col(value).isNotNull())
+    stats = rows.groupBy(*keys).agg(F.count(value).alias("_n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"), F.min(value).alias("least"), F.max(value).alias("most"))
+    upto = F.sum("_m").over(over(keys, ["_v"]).rowsBetween(Window.unboundedPreceding, 0))
+    ranks = rows.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_m")).withColumn("_b", upto).join(stats.select(*keys, "_n"), keys)
+    at = lambda share, name: F.min(F.when(F.col("_b") > F.expr(share), F.col("_v"))).alias(name)
+    quartiles = ranks.groupBy(*keys).agg(at("_n div 4", "q25"), at("_n div 2", "q50"), at("3 * _n div 4", "q75"))
+    return stats.drop("_n").join(quartiles, keys)
+
+
+def compared(left: DataFrame, right: DataFrame, keys: list[str], place: str, a: str, b: str) -> DataFrame:
+    """By key: places of the longer side, equal values at the same place, and their ``share``. Nulls equal nothing and are no places."""
+    both = left.select(*keys, place, a).join(right.select(*keys, place, b), [*keys, place], "full")
+    got = both.groupBy(*keys).agg(F.greatest(F.count(a), F.count(b)).alias("n"), F.count_if(F.col(a) == F.col(b)).alias("same"))
+    return got.withColumn("share", F.try_divide(F.col("same"), F.col("n")))

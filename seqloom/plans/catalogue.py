@@ -227,11 +227,10 @@ def _(spark, sf):
     return tm.with_default(tb(spark, sf, "customer").select("c_custkey", "c_nationkey"), dim, F.col("c_nationkey").cast("string"), "k", "n_name", F.lit("SILENCE")).select("c_custkey", "n_name")
 
 
-@query("jn18_positional_compare", """WITH a AS (SELECT turn, role FROM conversations WHERE conv_id = 0), b AS (SELECT turn, role FROM conversations WHERE conv_id = 1) SELECT greatest((SELECT count(*) FROM a), (SELECT count(*) FROM b)) AS n, count(*) FILTER (WHERE a.role = b.role) AS same FROM a FULL JOIN b USING (turn)""")
+@query("jn18_positional_compare", """SELECT coalesce(a.conv_id, b.conv_id - 1) AS conv_id, greatest(count(a.role), count(b.role)) AS n, count(*) FILTER (WHERE a.role = b.role) AS same FROM conversations a FULL JOIN conversations b ON b.conv_id = a.conv_id + 1 AND b.turn = a.turn GROUP BY 1""")
 def _(spark, sf):
     c = tb(spark, sf, "conversations").select("conv_id", "turn", "role")
-    a, b = (c.where(F.col("conv_id") == k).select("turn", F.col("role").alias(n)) for k, n in ((0, "a"), (1, "b")))
-    return a.join(b, "turn", "full").agg(F.greatest(F.count("a"), F.count("b")).alias("n"), F.count_if(F.col("a") == F.col("b")).alias("same"))
+    return seq.compared(c.withColumnRenamed("role", "a"), c.select((F.col("conv_id") - 1).alias("conv_id"), "turn", F.col("role").alias("b")), ["conv_id"], "turn", "a", "b").select("conv_id", "n", "same")
 
 
 @query("jn27_overlaps", f"""WITH {EV} SELECT a.event_id AS a, b.event_id AS b FROM ev a JOIN ev b ON a.user_id = b.user_id AND a.event_id < b.event_id AND abs(a.t - b.t) < 600000000""")
@@ -333,7 +332,7 @@ def _(spark, sf):
     return x.where("n >= 10")
 
 
-@query("ag21_total_lines", """SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(DISTINCT o_orderkey) AS orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
+@query("jn_revenue_by_nation", """SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(DISTINCT o_orderkey) AS orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
 def _(spark, sf):
     l = tb(spark, sf, "lineitem").select("l_orderkey", "l_extendedprice", "l_discount")  # noqa: E741
     o, c, n = tb(spark, sf, "orders").select("o_orderkey", "o_custkey"), tb(spark, sf, "customer").select("c_custkey", "c_nationkey"), tb(spark, sf, "nation").select("n_nationkey", "n_name")

@@ -27,13 +27,6 @@ def _(spark, sf):
     return x.select("l_orderkey", "l_linenumber", q.alias("start_ms"), F.round(q + F.col("l_extendedprice"), 2).alias("end_ms"), F.round(F.greatest(F.lit(0.0), q - 100 * F.col("l_discount")), 4).alias("effective_start"))
 
 
-@query("prj05_least_durations", """SELECT event_id, value AS vowel_start, greatest(value / 2, value + 30) AS vowel_end, greatest(value / 2, value + 50) AS consonant_end FROM events""")
-def _(spark, sf):
-    v = F.col("value")
-    end = F.greatest(v / 2, v + 30)
-    return tb(spark, sf, "events").select("event_id", v.alias("vowel_start"), end.alias("vowel_end"), F.greatest(v / 2, v + 50).alias("consonant_end"))
-
-
 _CODES = "codes AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS code FROM (SELECT DISTINCT event_type FROM events WHERE event_type <> 'view'))"
 
 
@@ -55,10 +48,9 @@ def _(spark, sf):
     return x.select("event_id", F.coalesce("code", F.lit(1)).alias("code"))
 
 
-@query("prj23_names", """SELECT event_id, event_type || '_pitch' || printf('%.1f', event_id / 10.0) || '.wav' AS name FROM events WHERE event_id % 2 = 1""")
+@query("prj23_names", """SELECT event_id, event_type || '_pitch' || printf('%.1f', event_id / 10.0) || '.wav' AS name FROM events""")
 def _(spark, sf):
-    x = tb(spark, sf, "events").where("event_id % 2 = 1")
-    return x.select("event_id", F.format_string("%s_pitch%.1f.wav", "event_type", F.col("event_id") / 10.0).alias("name"))
+    return tb(spark, sf, "events").select("event_id", F.format_string("%s_pitch%.1f.wav", "event_type", F.col("event_id") / 10.0).alias("name"))
 
 
 @query("prj24_severity_text", """SELECT event_type, CASE event_type WHEN 'purchase' THEN 'Critical' WHEN 'click' THEN 'Error' WHEN 'view' THEN 'Warning' ELSE 'Info' END AS severity, count(*) AS n FROM events GROUP BY 1, 2""")
@@ -91,9 +83,9 @@ def _(spark, sf):
     return rnd(rules.category_scores(rules.issues(tb(spark, sf, "lineitem"), ["l_orderkey"], checks), "l_orderkey", "rule", "severity"), "consistency", "integrity")
 
 
-@query("flt03_consistent", """SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 0 AND l_discount >= 0 AND l_tax >= 0 AND l_quantity + l_discount + l_tax > 0 AND l_extendedprice / 1000 <= 2 * (l_quantity + l_discount + l_tax)""")
+@query("flt03_consistent", """SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 0 AND l_discount >= 0 AND l_tax >= 0 AND l_discount + l_tax > 0 AND l_extendedprice / 1000000 <= 2 * (l_discount + l_tax)""")
 def _(spark, sf):
-    ok = rules.timing_consistent(F.col("l_quantity"), F.col("l_discount"), F.col("l_tax"), F.col("l_extendedprice") / 1000)
+    ok = rules.timing_consistent(F.col("l_quantity"), F.col("l_discount"), F.col("l_tax"), F.col("l_extendedprice") / 1000000)
     return tb(spark, sf, "lineitem").where(ok).select("l_orderkey", "l_linenumber")
 
 
@@ -319,9 +311,14 @@ def _(spark, sf):
     return tb(spark, sf, "conversations").select("conv_id", "turn", text.csv_field(F.col("text")).alias("field"))
 
 
-@query("fn_s14_sizes", """SELECT doc_id, CASE WHEN n_chars >= 1024 THEN printf('%.1f', n_chars / 1024.0) || ' KB' ELSE CAST(n_chars AS VARCHAR) || ' B' END AS size FROM documents WHERE n_chars % 512 <> 256 AND n_chars < 1048576""")
+# one decimal, halves up
+_SIZE = " ".join(f"WHEN b >= {1024**k} THEN printf('%.1f', floor(b / {1024**k}.0::DOUBLE * 10 + 0.5) / 10) || ' {unit}'" for k, unit in ((4, "TB"), (3, "GB"), (2, "MB"), (1, "KB")))
+
+
+@query("fn_s14_sizes", f"""SELECT doc_id, CASE {_SIZE} ELSE CAST(b AS VARCHAR) || ' B' END AS size FROM (SELECT doc_id, CAST(n_chars AS BIGINT) * [1, 1024, 1048576, 1073741824][1 + doc_id % 4] AS b FROM documents)""")
 def _(spark, sf):
-    return tb(spark, sf, "documents").where("n_chars % 512 <> 256 AND n_chars < 1048576").select("doc_id", text.file_size(F.col("n_chars")).alias("size"))
+    by = F.element_at(F.array(*(F.lit(1024**k) for k in range(4))), (1 + F.col("doc_id") % 4).cast("int"))
+    return tb(spark, sf, "documents").select("doc_id", text.file_size(F.col("n_chars").cast("long") * by).alias("size"))
 
 
 @query("fn_d02_label_times", """SELECT event_id, CAST(event_id * 10000 AS VARCHAR) || ' ' || CAST((event_id + 150) * 10000 AS VARCHAR) || ' ' || event_type AS line, CAST(event_id // 5 AS VARCHAR) AS frame FROM events""")

@@ -10,10 +10,10 @@ from seqloom.plans.catalogue import query, rnd, tb
 
 
 def _points(spark, sf):
-    return tb(spark, sf, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("x"))
+    return tb(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
 
 
-@query("ml01_log_density", """WITH e AS (SELECT vec_id, CAST(unnest(embedding[1:8]) AS DOUBLE) AS x FROM embeddings) SELECT vec_id, round(-0.5 * sum(x * x + ln(2 * pi())), 5) AS log_density FROM e GROUP BY 1""")
+@query("ml01_log_density", """WITH e AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) SELECT vec_id, round(-0.5 * sum(x * x + ln(2 * pi())), 5) AS log_density FROM e GROUP BY 1""")
 def _(spark, sf):
     d = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v + float(np.log(2 * np.pi)))
     return _points(spark, sf).select("vec_id", F.round(-0.5 * d, 5).alias("log_density"))
@@ -28,26 +28,26 @@ def _(spark, sf):
 @query("ml04_mixture", None)
 def _(spark, sf):
     x = _points(spark, sf)
-    w, m, v, _ = kernels.fit_mixture(x, "vec_id", "x", 3, steps=5)
+    w, m, v, _ = kernels.fit_mixture(x, "vec_id", "x", 3)
     return rnd(kernels.mixture_scores(x, "vec_id", "x", w, m, v), "log_likelihood")
 
 
 @query("ml05_order", None)
 def _(spark, sf):
-    rows = kernels.choose_order(_points(spark, sf), "vec_id", "x", range(1, 4), steps=4)
+    rows = kernels.choose_order(_points(spark, sf), "vec_id", "x")
     return spark.createDataFrame(rows, "k int, aic double, bic double")
 
 
 @query("ml10_alignment", None)
 def _(spark, sf):
     x = _points(spark, sf)
-    means = np.linspace(-1, 1, 3)[:, None] * np.ones(8)
+    means = np.linspace(-1, 1, 3)[:, None] * np.ones(64)
     steps = np.array([[0.6, 0.4, 0], [0, 0.6, 0.4], [0, 0, 1.0]])
     return rnd(kernels.align(x, ["label"], "vec_id", "x", means, np.ones_like(means), steps), "posterior")
 
 
 @query("ml15_trajectories", None)
 def _(spark, sf):
-    x = tb(spark, sf, "embeddings").select("label", "vec_id", F.transform(F.slice("embedding", 1, 6), lambda v: v.cast("double")).alias("mean"), F.transform(F.slice("embedding", 7, 6), lambda v: 0.1 + v * v.cast("double")).alias("var"))
+    x = tb(spark, sf, "embeddings").select("label", "vec_id", F.transform(F.slice("embedding", 1, 32), lambda v: v.cast("double")).alias("mean"), F.transform(F.slice("embedding", 33, 32), lambda v: 0.1 + v * v.cast("double")).alias("var"))
     x = x.withColumn("duration", (F.col("vec_id") % 3).cast("int"))
     return kernels.trajectories(x, "label", "vec_id").select("label", "frame", F.posexplode("c").alias("dim", "c")).withColumn("c", F.round("c", 6))

@@ -65,10 +65,11 @@ def _(spark, sf):
 
 
 @query("prj14_quinphone_vector", f"""WITH codes(p, code) AS (VALUES {', '.join(f"('{p}', {i})" for p, i in ph.CODES.items())}), l AS (SELECT event_id, {_LABEL} AS p FROM events)
-SELECT event_id, coalesce(code, 1) * 1 AS hot, CAST({len(ph.INVENTORY)} + 2 AS BIGINT) AS n, CAST(coalesce(code, 1) AS DOUBLE) AS categorical FROM l LEFT JOIN codes USING (p)""")
+SELECT event_id, coalesce(code, 1) * 1 AS hot, CAST({len(ph.INVENTORY)} * 5 + 11 AS BIGINT) AS n, CAST(coalesce(code, 1) AS DOUBLE) AS categorical FROM l LEFT JOIN codes USING (p)""")
 def _(spark, sf):
-    numbers = [F.lit(3), F.lit(0.5)]
-    x = _labelled(spark, sf).select("event_id", ph.quinphone_vector([F.col("p")], numbers).alias("h"), ph.quinphone_vector([F.col("p")], numbers, one_hot=False).alias("c"))
+    numbers = [F.lit(float(i)) for i in range(11)]
+    labels = [F.col("p"), F.lit("a"), F.lit("i"), F.lit("u"), F.col("p")]
+    x = _labelled(spark, sf).select("event_id", ph.quinphone_vector(labels, numbers).alias("h"), ph.quinphone_vector(labels, numbers, one_hot=False).alias("c"))
     return x.select("event_id", (F.array_position("h", F.lit(1.0)) - 1).cast("int").alias("hot"), F.size("h").cast("long").alias("n"), F.get("c", F.lit(0)).alias("categorical"))
 
 
@@ -115,7 +116,7 @@ def _(spark, sf):
     return x.withColumns({c: F.round(c, 5) for c in ("formant", "tension", "breath", "brightness", "emphasis")})
 
 
-@query("ag48_voice_kind", """SELECT event_id, CASE WHEN value < 120 THEN 'male_adult' WHEN value > 350 AND event_id % 5000 > 3000 THEN 'child' WHEN value > 250 THEN 'female_adult' WHEN event_id % 10 < 3 THEN 'whisper'
+@query("fn_m13_voice_kind", """SELECT event_id, CASE WHEN value < 120 THEN 'male_adult' WHEN value > 350 AND event_id % 5000 > 3000 THEN 'child' WHEN value > 250 THEN 'female_adult' WHEN event_id % 10 < 3 THEN 'whisper'
 WHEN event_id % 10 / 10 > 0.85 AND event_id % 5000 < 1500 THEN 'growl' ELSE 'unknown' END AS kind FROM events""")
 def _(spark, sf):
     r = F.col("event_id")
@@ -156,18 +157,18 @@ def _(spark, sf):
     return synthesis.pitch(x, "vec_id", "samples", 8000).select("vec_id", F.round("f0", 1).alias("f0"), F.round("strength", 4).alias("strength"))
 
 
-@query("ml16_variance_corrected", f"""WITH {_DIMS}, v AS (SELECT e.vec_id, e.label, dim, x, avg(x) OVER w AS m, var_pop(x) OVER w AS v FROM dims JOIN embeddings e USING (vec_id) WHERE dim < 4 WINDOW w AS (PARTITION BY e.vec_id % 3, dim)),
+@query("ml16_variance_corrected", f"""WITH {_DIMS}, v AS (SELECT e.vec_id, e.label, dim, x, avg(x) OVER w AS m, var_pop(x) OVER w AS v FROM dims JOIN embeddings e USING (vec_id) WINDOW w AS (PARTITION BY e.vec_id % 3, dim)),
 g AS (SELECT label, dim, var_pop(x) AS goal FROM v GROUP BY 1, 2) SELECT vec_id, CAST(dim AS INT) AS dim, round(CASE WHEN v > 1e-6 AND goal > 1e-6 THEN m + greatest(0.01, least(2, sqrt(goal / v))) * (x - m) ELSE x END, 5) AS corrected FROM v JOIN g USING (label, dim)""")
 def _(spark, sf):
-    x = tb(spark, sf, "embeddings").select("vec_id", "label", (F.col("vec_id") % 3).alias("s"), F.posexplode(F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double"))).alias("dim", "x"))
+    x = tb(spark, sf, "embeddings").select("vec_id", "label", (F.col("vec_id") % 3).alias("s"), F.posexplode(F.transform("embedding", lambda v: v.cast("double"))).alias("dim", "x"))
     goal = x.groupBy("label", "dim").agg(F.var_pop("x").alias("variance"))
     return st.variance_corrected(x, ["s"], "label", "dim", "x", goal).select("vec_id", "dim", F.round("corrected", 5).alias("corrected"))
 
 
-@query("ml17_variance_weights", f"""WITH {_DIMS}, x AS (SELECT e.vec_id % 3 AS s, e.label, dim, x FROM dims JOIN embeddings e USING (vec_id) WHERE dim < 4), v AS (SELECT s, dim, var_pop(x) AS v FROM x GROUP BY 1, 2), g AS (SELECT label, dim, var_pop(x) AS goal FROM x GROUP BY 1, 2)
+@query("ml17_variance_weights", f"""WITH {_DIMS}, x AS (SELECT e.vec_id % 3 AS s, e.label, dim, x FROM dims JOIN embeddings e USING (vec_id)), v AS (SELECT s, dim, var_pop(x) AS v FROM x GROUP BY 1, 2), g AS (SELECT label, dim, var_pop(x) AS goal FROM x GROUP BY 1, 2)
 SELECT s, label, round(greatest(0.01, least(2, 1 + avg(abs(ln(v / goal))))), 5) AS weight FROM (SELECT DISTINCT s, label FROM x) JOIN v USING (s) JOIN g USING (label, dim) WHERE v > 1e-6 AND goal > 1e-6 GROUP BY 1, 2""")
 def _(spark, sf):
-    x = tb(spark, sf, "embeddings").select("label", (F.col("vec_id") % 3).alias("s"), F.posexplode(F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double"))).alias("dim", "x"))
+    x = tb(spark, sf, "embeddings").select("label", (F.col("vec_id") % 3).alias("s"), F.posexplode(F.transform("embedding", lambda v: v.cast("double"))).alias("dim", "x"))
     goal = x.groupBy("label", "dim").agg(F.var_pop("x").alias("variance"))
     return st.variance_weights(x, ["s"], "label", "dim", "x", goal).withColumn("weight", F.round("weight", 5))
 
@@ -176,20 +177,20 @@ _CHAIN = np.array([[0.6, 0.4, 0], [0, 0.6, 0.4], [0, 0, 1.0]])
 
 
 def _frames(spark, sf):
-    return tb(spark, sf, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double")).alias("x"))
+    return tb(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
 
 
 @query("ml11_alignment_within", None)
 def _(spark, sf):
-    means = np.linspace(-1, 1, 3)[:, None] * np.ones(4)
+    means = np.linspace(-1, 1, 3)[:, None] * np.ones(64)
     x = _frames(spark, sf).withColumn("windows", F.expr("array(named_struct('state', 0, 'first', 0, 'last', 0), named_struct('state', 2, 'first', 3, 'last', 1000000000))"))
     return kernels.align_within(x, ["label"], "vec_id", "x", "windows", means, np.ones_like(means), _CHAIN)
 
 
 @query("ml13_chain_training", None)
 def _(spark, sf):
-    means = np.linspace(-1, 1, 3)[:, None, None] * np.ones((3, 1, 4))
-    (w, m, v, a), trace = kernels.train_chain(_frames(spark, sf), ["label"], "vec_id", "x", np.ones((3, 1)), means, np.ones_like(means), _CHAIN, steps=3)
+    means = np.linspace(-1, 1, 3)[:, None, None] * np.ones((3, 1, 64))
+    (w, m, v, a), trace = kernels.train_chain(_frames(spark, sf), ["label"], "vec_id", "x", np.ones((3, 1)), means, np.ones_like(means), _CHAIN)
     rows = [(i, float(m[i, 0, 0]), float(v[i, 0, 0]), float(a[i, i]), float(trace[-1][0])) for i in range(3)]
     return rnd(spark.createDataFrame(rows, "state int, mean double, variance double, stay double, log_likelihood double"), "mean", "variance", "stay", "log_likelihood")
 
