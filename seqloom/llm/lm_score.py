@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.shared import in_pieces, materialise, release, remainder, utf8
 
-HEAD, VECTORS, SINGLES, BUCKETS, GROUP = 131_072, 16_384, 64, 64, 128
+HEAD, VECTORS, SINGLES, BUCKETS, GROUP = 131_072, 10_240, 64, 32, 96
 WIDTH, NOISE, INNER_NOISE, BATCH, LEAST_STEPS = 16, 48, 1, 4_096, 400
 SHARD, ROUNDS = 8_000_000, 4
 #: Averages are taken over pieces of so many rows, first among so many shards.
