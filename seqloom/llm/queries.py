@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import decontaminate, html_text, lm_score, media, mixing, ngram_join, quality, token_counts, toxicity, warc
+from seqloom.llm import byte_bpe, decontaminate, fill_middle, html_text, lm_score, media, merkle, mixing, ngram_join, quality, token_counts, toxicity, warc
 from seqloom.llm.shared import table
 
 
@@ -51,9 +51,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_media_columns, op2_benchmark_decontamination, op3_token_counts, op4_lm_scoring, op5_ngram_jaccard_join, op6_toxicity, op7_warc,
-    op8_html_extraction, op9_quality_classifier, op10_mixing,
+    op8_html_extraction, op9_quality_classifier, op10_mixing, op11_merkle_manifest, op12_byte_bpe, op13_fill_in_middle,
 )}
 
 #: By definition: shingle sets, every pair that shares one, reachability.
@@ -69,4 +83,5 @@ SELECT r.node AS doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingl
 
 SQL: dict[str, str] = {
     "op2_benchmark_decontamination": decontaminate.SQL, "op3_token_counts": token_counts.SQL, "op5_ngram_jaccard_join": JOIN_SQL, "op10_mixing": mixing.sql(),
+    "op11_merkle_manifest": merkle.SQL, "op13_fill_in_middle": fill_middle.SQL,
 }
