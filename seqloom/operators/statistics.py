@@ -25,6 +25,16 @@ def global_variance(df: DataFrame, group: str, dim: str, value: str) -> DataFram
     return df.groupingSets([(group, dim), (dim,)], group, dim).agg(F.count("*").alias("frames"), F.avg(value).alias("mean"), F.greatest(F.var_pop(value), F.lit(FLOOR)).alias("variance"))
 
 
+def aligned_variance(frames: DataFrame, spans: DataFrame, keys: list[str], time: str, start: str, end: str, label: str, features: str) -> DataFrame:
+    """(label, dim, frames, mean, variance): the global variance by label of the frames inside each label's spans, and over all labels (label null).
+
+    A frame in several spans counts in each; frames without features or outside all spans count nowhere; spans without a label count in the whole only."""
+    from seqloom.operators.temporal import held
+
+    x = held(frames.where(F.col(features).isNotNull()).select(*keys, time, features), spans.select(*keys, start, end, label), keys, time, start, end)
+    return global_variance(x.select(label, F.posexplode(features).alias("dim", "value")), label, "dim", "value")
+
+
 def spectral_distance(df: DataFrame, keys: list[str], a: str, b: str, skip: int = 1) -> DataFrame:
     """Mean over frames of 10 / ln 10 * 2 * sqrt(sum of squared differences), from coefficient ``skip`` on."""
     d = F.aggregate(F.zip_with(F.slice(a, skip + 1, F.size(a)), F.slice(b, skip + 1, F.size(b)), lambda x, y: (x - y).cast("double") * (x - y).cast("double")), F.lit(0.0), lambda s, x: s + x)

@@ -54,6 +54,23 @@ def inside(points: DataFrame, spans: DataFrame, keys: list[str], time: str, star
     return points.withColumn("_b", bucket(F.col(time))).join(covered, [*keys, "_b"]).where(held).drop("_b")
 
 
+def held(points: DataFrame, spans: DataFrame, keys: list[str], time: str, start: str, end: str, least: int = 0) -> DataFrame:
+    """Points joined with the spans [start, end) of equal keys that hold them, for spans of any lengths.
+
+    A span stands in the buckets of the power of two that is at least its length (and at least 2 ** least), so in two of them at most, however long it is; a point
+    looks once at each of the powers that occur, of which there are no more than 64. Spans that are empty or have a null hold nothing."""
+    length = F.col(end) - F.col(start)
+    level = F.greatest(F.ceil(F.log2(length)).cast("int"), F.lit(least))
+    x = spans.where(length > 0).withColumn("_level", level)
+    # rounding of the logarithm must not leave a bucket shorter than the span
+    x = x.withColumn("_level", F.when(F.pow(F.lit(2.0), F.col("_level")) < length, F.col("_level") + 1).otherwise(F.col("_level")))
+    levels = sorted(r[0] for r in x.select("_level").distinct().collect())  # at most 64 for whole numbers
+    bucket = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
+    covered = x.withColumn("_b", F.explode(F.array_distinct(F.array(bucket(F.col(start)), bucket(F.col(end))))))
+    spread = points.withColumn("_level", F.explode(F.array(*(F.lit(v) for v in levels)).cast("array<int>"))).withColumn("_b", bucket(F.col(time)))
+    return spread.join(covered, [*keys, "_level", "_b"]).where((F.col(time) >= F.col(start)) & (F.col(time) < F.col(end))).drop("_level", "_b")
+
+
 def with_default(facts: DataFrame, dimension: DataFrame, key: Column, dim_key: str, value: str, default: Column) -> DataFrame:
     """facts with a looked-up value; an exact key first, then its lower-case form, then the default. AQE broadcasts a small dimension."""
     d = dimension.select(F.col(dim_key).alias("_k1"), F.col(value).alias("_v1"))

@@ -195,11 +195,11 @@ def _(spark, sf):
     return rnd(tm.interpolated(e.where("event_type = 'purchase'").select("user_id", "event_id", "t"), knots, K, "t", "value"), "curve").select("event_id", "curve")
 
 
-@query("jn15_inside", f"""WITH {EV} SELECT p.event_id, s.event_id AS span FROM ev p JOIN ev s ON p.user_id = s.user_id AND s.event_type = 'login' AND p.t >= s.t AND p.t < s.t + 7200000000""")
+@query("jn15_inside", f"""WITH {EV} SELECT p.event_id, s.event_id AS span FROM ev p JOIN ev s ON p.user_id = s.user_id AND s.event_type = 'signup' AND p.t >= s.t AND p.t < s.t + 86400000000""")
 def _(spark, sf):
     e = ev(spark, sf)
-    spans = e.where("event_type = 'login'").select("user_id", F.col("event_id").alias("span"), F.col("t").alias("s"), (F.col("t") + 7_200_000_000).alias("e"))
-    return tm.inside(e.select("user_id", "event_id", "t"), spans, K, "t", "s", "e", 3_600_000_000).select("event_id", "span")
+    spans = e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("span"), F.col("t").alias("s"), (F.col("t") + 86_400_000_000).alias("e"))
+    return tm.inside(e.select("user_id", "event_id", "t"), spans, K, "t", "s", "e", 43_200_000_000).select("event_id", "span")
 
 
 @query("jn06_missing", """SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
