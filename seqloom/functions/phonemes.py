@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,9 +108,18 @@ def mask(phoneme: Column) -> Column:
     return F.coalesce(F.try_element_at(table, phoneme), F.try_element_at(table, F.lower(phoneme)), F.lit(SILENCE))
 
 
-def bits(mask: Column) -> Column:
-    """The 32 features as an array of 0 and 1."""
-    return F.array(*(F.when(mask.bitwiseAND(1 << i) != 0, 1.0).otherwise(0.0) for i in range(len(BITS))))
+def _each(values: list[Column], of: Callable[[Column], Column]) -> Column:
+    """The arrays that ``of`` makes of each value, one after the other; a value is computed once, however often ``of`` uses it."""
+    return F.flatten(F.transform(F.array(*values), of))
+
+
+def _places(n: int) -> Column:
+    return F.sequence(F.lit(0), F.lit(n - 1))
+
+
+def bits(*masks: Column) -> Column:
+    """The 32 features of each mask as an array of 0 and 1."""
+    return _each(list(masks), lambda m: F.transform(_places(len(BITS)), lambda i: F.getbit(m, i).cast("double")))
 
 
 def category(mask: Column) -> Column:
@@ -140,7 +151,7 @@ def context_vector(phonemes: list[Column], positions: list[Column], timing: list
     valid, confidence, *parts = vcv
     ok = F.coalesce(valid, F.lit(False))
     tail = [F.when(ok, number(confidence)).otherwise(0.0), *(F.when(ok & (F.length(p) > 0), 1.0).otherwise(0.0) for p in parts)]
-    arrays = [*(bits(mask(p)) for p in phonemes), *positions, F.array(*map(number, timing)), F.array(*scaled), F.array(*tail)]
+    arrays = [bits(*map(mask, phonemes)), *positions, F.array(*map(number, timing)), F.array(*scaled), F.array(*tail)]
     return F.concat(*(a.cast("array<float>") for a in arrays)).cast("array<double>")
 
 
@@ -151,11 +162,12 @@ def code(label: Column) -> Column:
 
 def quinphone_vector(labels: list[Column], numbers: list[Column], one_hot: bool = True) -> Column:
     """Labels as one-hot vectors over the inventory (or as numbers), followed by the continuous features."""
+    codes = [code(x) for x in labels]
     if one_hot:
-        parts = [F.array(*(F.when(code(x) == i, 1.0).otherwise(0.0) for i in range(len(INVENTORY)))) for x in labels]
+        part = _each(codes, lambda c: F.transform(_places(len(INVENTORY)), lambda i: (i == c).cast("double")))
     else:
-        parts = [F.array(*(code(x).cast("double") for x in labels))]
-    return F.concat(*parts, F.array(*(x.cast("double") for x in numbers)))
+        part = F.array(*codes).cast("array<double>")
+    return F.concat(part, F.array(*(x.cast("double") for x in numbers)))
 
 
 def romaji(kana: Column) -> Column:

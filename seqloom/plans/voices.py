@@ -65,12 +65,16 @@ def _(spark, sf):
 
 
 @query("prj14_quinphone_vector", f"""WITH codes(p, code) AS (VALUES {', '.join(f"('{p}', {i})" for p, i in ph.CODES.items())}), l AS (SELECT event_id, {_LABEL} AS p FROM events)
-SELECT event_id, coalesce(code, 1) * 1 AS hot, CAST({len(ph.INVENTORY)} * 5 + 11 AS BIGINT) AS n, CAST(coalesce(code, 1) AS DOUBLE) AS categorical FROM l LEFT JOIN codes USING (p)""")
+SELECT event_id, CAST(coalesce(code, 1) AS INT) AS hot, CAST({len(ph.INVENTORY)} * 5 + 11 AS BIGINT) AS n, CAST(coalesce(code, 1) AS DOUBLE) AS categorical,
+concat_ws(' ', coalesce(code, 1) || ':1', {", ".join(f"'{len(ph.INVENTORY) * k + ph.CODES[p]}:1'" for k, p in ((1, "a"), (2, "i"), (3, "u")))}, (coalesce(code, 1) + {len(ph.INVENTORY) * 4}) || ':1', {", ".join(f"'{len(ph.INVENTORY) * 5 + i}:{i}'" for i in range(1, 11))}) AS vector FROM l LEFT JOIN codes USING (p)""")
 def _(spark, sf):
+    """``vector``: place and value of each number of the vector that is not zero."""
     numbers = [F.lit(float(i)) for i in range(11)]
     labels = [F.col("p"), F.lit("a"), F.lit("i"), F.lit("u"), F.col("p")]
     x = _labelled(spark, sf).select("event_id", ph.quinphone_vector(labels, numbers).alias("h"), ph.quinphone_vector(labels, numbers, one_hot=False).alias("c"))
-    return x.select("event_id", (F.array_position("h", F.lit(1.0)) - 1).cast("int").alias("hot"), F.size("h").cast("long").alias("n"), F.get("c", F.lit(0)).alias("categorical"))
+    cells = F.filter(F.transform("h", lambda v, i: F.struct(i.alias("i"), v.cast("int").alias("v"))), lambda c: c["v"] != 0)
+    vector = F.array_join(F.transform(cells, lambda c: F.concat_ws(":", c["i"].cast("string"), c["v"].cast("string"))), " ")
+    return x.select("event_id", (F.array_position("h", F.lit(1.0)) - 1).cast("int").alias("hot"), F.size("h").cast("long").alias("n"), F.get("c", F.lit(0)).alias("categorical"), vector.alias("vector"))
 
 
 _PAIRS = "kana(k, r) AS (VALUES " + ", ".join(f"('{k}', '{r}')" for k, r in ph.ROMAJI.items()) + ")"
