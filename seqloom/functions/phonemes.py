@@ -151,8 +151,9 @@ def context_vector(phonemes: list[Column], positions: list[Column], timing: list
     valid, confidence, *parts = vcv
     ok = F.coalesce(valid, F.lit(False))
     tail = [F.when(ok, number(confidence)).otherwise(0.0), *(F.when(ok & (F.length(p) > 0), 1.0).otherwise(0.0) for p in parts)]
-    arrays = [bits(*map(mask, phonemes)), *positions, F.array(*map(number, timing)), F.array(*scaled), F.array(*tail)]
-    return F.concat(*(a.cast("array<float>") for a in arrays)).cast("array<double>")
+    # all but the bits are single precision already
+    rest = F.concat(*(p.cast("array<float>") for p in positions), F.array(*map(number, timing)), F.array(*scaled), F.array(*tail).cast("array<float>"))
+    return F.concat(bits(*map(mask, phonemes)), rest.cast("array<double>"))
 
 
 def code(label: Column) -> Column:

@@ -61,7 +61,7 @@ def _(spark, sf):
     note = F.when(F.col("event_id") % 3 > 0, F.lit(60)).otherwise(0)
     vector = ph.context_vector([F.col("p")] * 7, [_positions()] * 7, [F.col("value"), F.lit(1.0), F.lit(True).cast("int")], [note, F.lit(100), F.lit(250.0)], [F.col("event_id") % 2 == 0, F.lit(0.5), F.lit("a"), F.lit(""), F.lit("i")])
     x = x.select("event_id", vector.alias("x"))
-    return x.select("event_id", F.size("x").cast("long").alias("n"), F.round(F.expr("aggregate(transform(x, (v, i) -> v * (i + 1)), 0D, (a, v) -> a + v)"), 1).alias("checksum"))
+    return x.select("event_id", F.size("x").cast("long").alias("n"), F.round(F.expr("aggregate(zip_with(x, sequence(1, 346), (v, i) -> v * i), 0D, (a, v) -> a + v)"), 1).alias("checksum"))
 
 
 @query("prj14_quinphone_vector", f"""WITH codes(p, code) AS (VALUES {', '.join(f"('{p}', {i})" for p, i in ph.CODES.items())}), l AS (SELECT event_id, {_LABEL} AS p FROM events)
@@ -72,8 +72,8 @@ def _(spark, sf):
     numbers = [F.lit(float(i)) for i in range(11)]
     labels = [F.col("p"), F.lit("a"), F.lit("i"), F.lit("u"), F.col("p")]
     x = _labelled(spark, sf).select("event_id", ph.quinphone_vector(labels, numbers).alias("h"), ph.quinphone_vector(labels, numbers, one_hot=False).alias("c"))
-    cells = F.filter(F.transform("h", lambda v, i: F.struct(i.alias("i"), v.cast("int").alias("v"))), lambda c: c["v"] != 0)
-    vector = F.array_join(F.transform(cells, lambda c: F.concat_ws(":", c["i"].cast("string"), c["v"].cast("string"))), " ")
+    places = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.get("h", i) != 0)
+    vector = F.array_join(F.transform(places, lambda i: F.concat_ws(":", i.cast("string"), F.get("h", i).cast("int").cast("string"))), " ")
     return x.select("event_id", (F.array_position("h", F.lit(1.0)) - 1).cast("int").alias("hot"), F.size("h").cast("long").alias("n"), F.get("c", F.lit(0)).alias("categorical"), vector.alias("vector"))
 
 
