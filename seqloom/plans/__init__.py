@@ -1,3 +1,3 @@
 """The catalogue of named queries; importing this package fills it."""
 
-from seqloom.plans import breadth, catalogue, fields, live, models, records, voices  # noqa: F401
+from seqloom.plans import breadth, catalogue, fields, live, models, records, shapes, voices  # noqa: F401
