@@ -79,7 +79,7 @@ def read_entries(spark: SparkSession, *roots: str, strict: bool = False) -> tupl
 
 
 def references(files: DataFrame, entries: DataFrame) -> DataFrame:
-    """By folder with entries: ``entries``, ``referenced`` (distinct files), ``duplicate_aliases`` (aliases that stand more than once),
+    """By folder with entries or files: ``entries``, ``referenced`` (distinct files), ``duplicate_aliases`` (aliases that stand more than once),
     ``missing`` (referenced but not listed) and ``orphaned`` (audio files of the folder that nothing refers to).
 
     Null aliases and file names count as names of their own in ``entries`` only."""
@@ -92,7 +92,7 @@ def references(files: DataFrame, entries: DataFrame) -> DataFrame:
         F.count("named").alias("referenced"), F.count_if(F.col("named").isNotNull() & F.col("audio").isNull()).alias("missing"),
         F.count_if(F.col("named").isNull() & (F.col("audio") == 1)).alias("orphaned"),
     )
-    return counts.join(both, "folder")
+    return both.join(counts, "folder", "left").fillna(0, ["entries", "duplicate_aliases"])
 
 
 def validation(files: DataFrame, entries: DataFrame) -> DataFrame:
@@ -100,9 +100,9 @@ def validation(files: DataFrame, entries: DataFrame) -> DataFrame:
     x = folders(files).join(references(files, entries), "folder", "left").fillna(0, ["entries", "duplicate_aliases", "referenced", "missing", "orphaned"])
     x = x.withColumn("is_valid", F.col("is_bank") & (F.col("missing") == 0))
     told = F.array(
-        F.when(~F.col("has_ini"), "Create oto.ini file with phoneme timing data"), F.when(F.col("audio") == 0, "Add WAV audio files to voice bank directory"),
-        F.when(F.col("missing") > 0, F.concat(F.lit("Fix "), F.col("missing").cast("string"), F.lit(" missing audio files referenced in oto.ini"))),
-        F.when(F.col("duplicate_aliases") > 0, F.concat(F.lit("Remove "), F.col("duplicate_aliases").cast("string"), F.lit(" duplicate aliases from oto.ini"))),
+        F.when(~F.col("has_ini"), "no timing file: list the samples and their times"), F.when(F.col("audio") == 0, "no audio: put the samples into the folder"),
+        F.when(F.col("missing") > 0, F.concat(F.lit("samples that are listed but absent: "), F.col("missing").cast("string"))),
+        F.when(F.col("duplicate_aliases") > 0, F.concat(F.lit("aliases given more than once: "), F.col("duplicate_aliases").cast("string"))),
     )
     return x.withColumn("suggestions", F.when(F.col("is_valid"), F.array().cast("array<string>")).otherwise(F.array_compact(told)))
 

@@ -217,7 +217,7 @@ def _validated(spark, sf):
     return banks.validation(files, entries)
 
 
-@query("ag04_validation", f"""WITH {_REF} SELECT folder, CAST(entries AS BIGINT) AS entries, dups AS duplicate_aliases, referenced, missing, CASE WHEN entries > 0 THEN orphaned ELSE 0 END AS orphaned, is_valid, CASE WHEN is_valid THEN '' ELSE concat_ws('|', CASE WHEN NOT has_ini THEN 'Create oto.ini file with phoneme timing data' END, CASE WHEN audio = 0 THEN 'Add WAV audio files to voice bank directory' END, CASE WHEN missing > 0 THEN 'Fix ' || missing || ' missing audio files referenced in oto.ini' END, CASE WHEN dups > 0 THEN 'Remove ' || dups || ' duplicate aliases from oto.ini' END) END AS suggestions FROM al""")
+@query("ag04_validation", f"""WITH {_REF} SELECT folder, CAST(entries AS BIGINT) AS entries, dups AS duplicate_aliases, referenced, missing, orphaned, is_valid, CASE WHEN is_valid THEN '' ELSE concat_ws('|', CASE WHEN NOT has_ini THEN 'no timing file: list the samples and their times' END, CASE WHEN audio = 0 THEN 'no audio: put the samples into the folder' END, CASE WHEN missing > 0 THEN 'samples that are listed but absent: ' || missing END, CASE WHEN dups > 0 THEN 'aliases given more than once: ' || dups END) END AS suggestions FROM al""")
 def _(spark, sf):
     return _validated(spark, sf).select("folder", "entries", "duplicate_aliases", "referenced", "missing", "orphaned", "is_valid", F.array_join("suggestions", "|").alias("suggestions"))
 

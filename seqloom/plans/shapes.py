@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from seqloom.functions import context_labels as labels
 from seqloom.functions import significance
 from seqloom.operators import adaptive
 from seqloom.operators import sequence as seq
@@ -73,3 +75,49 @@ def _(spark, sf):
     frames = adaptive.cut(_series(spark, sf).withColumn("value", F.col("value") - 50), ["user_id"], "i", "value", 16, 8)
     x = adaptive.spectral_bands(frames).withColumn("peaks", adaptive.peaks(F.col("samples")))
     return x.select("user_id", "frame", *(F.round(F.col("bands")[k], 4).alias(f"b{k}") for k in range(4)), F.round(adaptive.crossings(F.col("samples")), 6).alias("crossings"), *(F.round(F.col("peaks")[k], 5).alias(f"p{k}") for k in range(3)))
+
+
+#: A user is a phrase, a day a word, three events a syllable.
+_CONTEXT = f"""{EV}, a AS (SELECT *, t // 86400000000 AS day, row_number() OVER {WD} - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n, lag(event_type, 2, 'sil') OVER {WD} AS l2, lag(event_type, 1, 'sil') OVER {WD} AS l1, lead(event_type, 1, 'sil') OVER {WD} AS r1, lead(event_type, 2, 'sil') OVER {WD} AS r2 FROM ev),
+b AS (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY day) - 1 AS w, row_number() OVER (PARTITION BY user_id, day ORDER BY t, event_id) AS wp, count(*) OVER (PARTITION BY user_id, day) AS wl FROM a),
+c AS (SELECT *, max(w) OVER (PARTITION BY user_id) + 1 AS words, least(3, n - i // 3 * 3) AS sl FROM b)"""
+_LABEL_SQL = """concat('/A:', i // 3, '_', (n - 1) // 3 - i // 3, '/B:', i % 3 + 1, '_', sl, '/C:', l2, '-', l1, '+', event_type, '++', r1, '+', r2, '/D:', wp, '_', wl, '/E:', w, '_', words - 1 - w, '/F:', (n - 1) // 3 + 1, '_', words,
+'/G:', CAST(trunc(value * 10 - 1000.7) AS BIGINT), '_', CAST(trunc(value * 3.3) AS BIGINT), '/H:', CAST(trunc(60 + value / 4) AS BIGINT), '_', i % 4, '/I:', CAST(event_id % 2 = 0 AS INT), '_', CAST(event_id % 5 = 0 AS INT), '_', event_id % 3)"""
+
+
+def _context(spark, sf):
+    """Events with their fields, by name."""
+    x = seq.context(ev(spark, sf), K, O, "event_type").withColumn("day", F.floor(F.col("t") / 86_400_000_000))
+    phrase, word = Window.partitionBy(*K), Window.partitionBy(*K, "day")
+    x = x.withColumns({"i": F.row_number().over(phrase.orderBy(*O)) - 1, "n": F.count("*").over(phrase), "w": F.dense_rank().over(phrase.orderBy("day")) - 1, "wp": F.row_number().over(word.orderBy(*O)), "wl": F.count("*").over(word)})
+    x = x.withColumn("words", F.max("w").over(phrase) + 1)
+    third = lambda c: F.floor(c / 3)
+    i, n, e, v = (F.col(c) for c in ("i", "n", "event_id", "value"))
+    fields = {
+        "syllables_from_start": third(i), "syllables_to_end": third(n - 1) - third(i), "syllable_position": i % 3 + 1, "syllable_length": F.least(F.lit(3), n - third(i) * 3), "word_position": F.col("wp"), "word_length": F.col("wl"),
+        "words_from_start": F.col("w"), "words_to_end": F.col("words") - 1 - F.col("w"), "phrase_syllables": third(n - 1) + 1, "phrase_words": F.col("words"), "pitch_cents": v * 10 - 1000.7, "duration_ms": v * 3.3,
+        "tempo": 60 + v / 4, "beat": i % 4, "stressed": e % 2 == 0, "accented": e % 5 == 0, "stress_level": e % 3, "c": F.col("event_type"), **{k: F.col(k) for k in ("l2", "l1", "r1", "r2")},
+    }
+    return x, fields
+
+
+@query("prj16_context_labels", f"WITH {_CONTEXT} SELECT event_id, {_LABEL_SQL} AS label FROM c")
+def _(spark, sf):
+    x, fields = _context(spark, sf)
+    return x.select("event_id", labels.context_label(fields).alias("label"))
+
+
+@query("prj17_context_text", f"""WITH {_CONTEXT} SELECT event_id, concat('Context[', l2, '-', l1, '-', event_type, '+', r1, '+', r2, ' | syl:', i % 3 + 1, '/', sl, ' | word:', wp, '/', wl, ' | pitch:', event_id % 50 * 20 - 500, 'c | dur:', event_id % 90 * 7, 'ms]') AS label FROM c""")
+def _(spark, sf):
+    x, fields = _context(spark, sf)
+    whole = {"pitch_cents": F.col("event_id") % 50 * 20 - 500, "duration_ms": F.col("event_id") % 90 * 7}
+    return x.select("event_id", labels.context_text(fields | whole).alias("label"))
+
+
+@query("srt01_label_files", f"""WITH {_CONTEXT}, l AS (SELECT user_id, t // 1000 AS s, event_id, concat_ws(' ', t // 1000 * 10000, (t // 1000 + CAST(trunc(value * 3.3) AS BIGINT)) * 10000, {_LABEL_SQL}) AS line FROM c)
+SELECT user_id, count(*) AS lines, concat(string_agg(line, chr(10) ORDER BY s, event_id), chr(10)) AS content FROM l GROUP BY 1""")
+def _(spark, sf):
+    x, fields = _context(spark, sf)
+    start = F.floor(F.col("t") / 1000)
+    rows = x.select("user_id", "event_id", start.alias("s"), (start + (F.col("value") * 3.3).cast("long")).alias("e"), labels.context_label(fields).alias("label"))
+    return labels.label_files(rows, ["user_id"], "s", "e", "label", "event_id")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.functions import significance
+from seqloom.functions import context_labels, significance
 from seqloom.operators import adaptive
 
 # Tabled two-sided 5 % and 1 % points of Student's t.
@@ -98,3 +98,21 @@ def test_energies_of_tones(spark):
     assert np.allclose(got[2].bands, [135, 0, 0, 0]) and got[3].bands == [0, 0, 0, 0] and got[4].bands == [0, 0, 0, 0]
     assert np.allclose(got[6].bands, [0, 0, 0, 16]) and got[6].c == 1.0 and got[2].c == 0 and got[5].c == 0
     assert got[2].p == [9, 9, 9] and got[5].p == [0, 0, 4] and got[3].p == [0, 0, 0]
+
+
+def test_context_labels(spark):
+    names = "l2 l1 c r1 r2 syllables_from_start syllables_to_end syllable_position syllable_length word_position word_length words_from_start words_to_end phrase_syllables phrase_words beat stress_level".split()
+    fields = {k: F.lit(k if k in ("l2", "l1", "c", "r1", "r2") else i) for i, k in enumerate(names)}
+    fields |= {"pitch_cents": F.lit(-1.7), "duration_ms": F.lit(250.9), "tempo": F.lit(None).cast("double"), "stressed": F.lit(True), "accented": F.lit(None).cast("boolean")}
+    got = spark.range(1).select(context_labels.context_label(fields).alias("a"), context_labels.context_text(fields | {"r2": F.lit(None).cast("string")}).alias("b")).first()
+    assert got.a == "/A:5_6/B:7_8/C:l2-l1+c++r1+r2/D:9_10/E:11_12/F:13_14/G:-1_250/H:_15/I:1_0_16"
+    assert got.b == "Context[l2-l1-c+r1+ | syl:7/8 | word:9/10 | pitch:-1.7c | dur:250.9ms]"
+    with pytest.raises(KeyError):
+        context_labels.context_label({})
+
+
+def test_label_files_are_in_order(spark):
+    rows = spark.createDataFrame([("u", 2, 20.0, 30.0, "b"), ("u", 1, 20.0, 25.0, "a"), ("u", 3, 0.5, 20.0, "x"), ("v", 1, 0.0, 1.0, "y")], "k string, i int, s double, e double, l string").repartition(3)
+    got = {r.k: (r.lines, r.content) for r in context_labels.label_files(rows, ["k"], "s", "e", "l", "i").collect()}
+    assert got == {"u": (3, "5000 200000 x\n200000 250000 a\n200000 300000 b\n"), "v": (1, "0 10000 y\n")}
+    assert context_labels.label_files(rows.limit(0), ["k"], "s", "e", "l", "i").count() == 0
