@@ -22,8 +22,9 @@ def stretched(values: str, factor: float) -> Column:
 
 
 def unit(seed: int, *keys: Column) -> Column:
-    """A number in [0, 1) that the keys and the seed fix, so that a task that runs again draws the same."""
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    """A number in [0, 1) that the keys and the seed fix, so that a task that runs again draws the same: 52 bits of a SHA-256, null as ``-``."""
+    text = F.concat_ws(":", *(F.coalesce(k.cast("string"), F.lit("-")) for k in keys), F.lit(seed))
+    return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def normal(seed: int, *keys: Column) -> Column:

@@ -370,9 +370,13 @@ def _(spark, sf):
     return tb(spark, sf, "documents").select("doc_id", scalars.hash32(F.col("text")).alias("hash"))
 
 
-@query("fn_s07_scripts", """SELECT event_id, regexp_matches(event_type, '^[a-z]+$') AS romaji FROM events""")
+@query("fn_s07_scripts", """WITH x AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN chr(12353 + CAST(event_id % 90 AS INT)) WHEN 2 THEN upper(event_type) ELSE chr(12353 + CAST(event_id % 80 AS INT)) || event_type END AS s FROM events)
+SELECT event_id, regexp_full_match(s, '[a-z]+') AS romaji, length(s) = 1 AND unicode(s) BETWEEN 12353 AND 12438 AS hiragana FROM x""")
 def _(spark, sf):
-    return tb(spark, sf, "events").select("event_id", phonemes.is_romaji(F.col("event_type")).alias("romaji"))
+    """Letters, kana (and signs just beyond them), capitals, and both together."""
+    kind, kana = F.col("event_id") % 4, lambda n: F.decode(F.unhex(F.lpad(F.hex(12353 + F.col("event_id") % n), 8, "0")), "UTF-32")
+    s = F.when(kind == 0, F.col("event_type")).when(kind == 1, kana(90)).when(kind == 2, F.upper("event_type")).otherwise(F.concat(kana(80), "event_type"))
+    return tb(spark, sf, "events").select("event_id", phonemes.is_romaji(s).alias("romaji"), phonemes.is_hiragana(s).alias("hiragana"))
 
 
 @query("fn_d01_iso", """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, epoch(date_trunc('second', ts))::BIGINT AS seconds FROM events""")

@@ -119,18 +119,40 @@ def _(spark, sf):
     return x.withColumn("x", F.round("x", 5))
 
 
-@query("arr08_augmented", """SELECT vec_id, unnest(['original', 'pitch', 'time', 'noise', 'tilt']) AS kind, true AS within FROM embeddings""")
+def _unit(seed, *keys):
+    """SQL for the number that augment.unit draws."""
+    return f"(CAST(concat('0x', substr(sha256(concat_ws(':', {', '.join(keys)}, {seed})), 1, 13)) AS BIGINT) / 4503599627370496.0)"
+
+
+def _normal(seed, *keys):
+    return f"(sqrt(-2 * ln(1 - {_unit(seed, *keys)})) * cos(2 * pi() * {_unit(seed + 1, *keys)}))"
+
+
+def _between(r, seed):
+    return f"({r[0]} + {_unit(seed, 'vec_id')} * {r[1] - r[0]})"
+
+
+_MADE = f"""s AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e, {_between(augment.PITCH, 43)} AS pitch, {_between(augment.STRETCH, 44)} AS stretch, {_between(augment.TILT, 45)} AS tilt,
+{augment.NOISE_DB[0]} + greatest(-{augment.NOISE_DB[2]}, least({augment.NOISE_DB[2]}, {augment.NOISE_DB[1]} * {_normal(51, 'vec_id')})) AS noise FROM embeddings),
+m AS (SELECT vec_id, 'original' AS kind, 0.0 AS amount, e AS x FROM s
+UNION ALL SELECT vec_id, 'pitch', pitch, [CASE WHEN v > 0 THEN greatest(50, least(1000, v * pow(2, pitch / 12))) ELSE v END FOR v IN e] FROM s
+UNION ALL SELECT vec_id, 'time', stretch, list_transform(range(0, CAST(floor(64 / stretch) AS INT)), lambda i: e[CAST(floor(i * stretch) AS INT) + 1] + (coalesce(e[CAST(floor(i * stretch) AS INT) + 2], e[CAST(floor(i * stretch) AS INT) + 1]) - e[CAST(floor(i * stretch) AS INT) + 1]) * (i * stretch - floor(i * stretch))) FROM s
+UNION ALL SELECT vec_id, 'noise', noise, [e[i + 1] * (1 + pow(10, noise / 20) * {_normal(62, 'vec_id', 'i')}) FOR i IN range(0, 64)] FROM s
+UNION ALL SELECT vec_id, 'tilt', tilt, [e[i + 1] + ln(pow(10, tilt * i / 63 / 20)) FOR i IN range(0, 64)] FROM s)"""
+
+
+@query("arr08_augmented", f"""WITH {_MADE} SELECT vec_id, kind, round(amount, 6) AS amount, len(x) AS n, round(list_sum([x[i] * i FOR i IN range(1, len(x) + 1)]), 2) AS checksum FROM m""")
 def _(spark, sf):
-    a, v = F.col("amount"), F.col("kind")
-    ok = (v == "original") | ((v == "pitch") & a.between(-2, 2)) | ((v == "time") & a.between(0.8, 1.2) & (F.size("values") == F.floor(64 / a))) | ((v == "noise") & a.between(-50, -30)) | ((v == "tilt") & a.between(-3, 3))
-    return augment.augmented(_vectors(spark, sf), "vec_id", "e").select("vec_id", "kind", (ok & F.forall("values", lambda x: x.isNotNull())).alias("within"))
+    """``checksum``: the values, each times its place from 1."""
+    x = augment.augmented(_vectors(spark, sf), "vec_id", "e")
+    sums = F.aggregate(F.transform("values", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return x.select("vec_id", "kind", F.round("amount", 6).alias("amount"), F.size("values").cast("long").alias("n"), F.round(sums, 2).alias("checksum"))
 
 
-@query("arr06_noise_level", f"""WITH {_DIMS} SELECT vec_id, true AS near FROM dims GROUP BY 1""")
+@query("arr06_noise_level", f"""SELECT vec_id, CAST(i AS INT) AS i, round(CAST(embedding[i + 1] AS DOUBLE) * (1 + 0.01 * {_normal(7, 'vec_id', 'i')}), 6) AS x FROM (SELECT *, unnest(range(0, 64)) AS i FROM embeddings)""")
 def _(spark, sf):
     noise = augment.noisy(F.col("e"), F.lit(-40.0), 7, F.col("vec_id"))
-    x = _vectors(spark, sf).select("vec_id", F.arrays_zip("e", noise.alias("n")).alias("z"))
-    return x.select("vec_id", F.forall("z", lambda p: F.abs(p["n"] - p["e"]) <= 0.1 * F.abs(p["e"])).alias("near"))
+    return _vectors(spark, sf).select("vec_id", F.posexplode(noise).alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
 @query("arr14_transform_and_back", f"""WITH {_DIMS} SELECT vec_id, CAST(dim AS INT) AS i, round(x, 5) AS x FROM dims""")
