@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import context_labels as labels
 from seqloom.functions import significance
-from seqloom.operators import adaptive
+from seqloom.operators import adaptive, analysis
 from seqloom.operators import sequence as seq
 from seqloom.plans.catalogue import EV, WD, K, O, ev, query, rnd, tb
 
@@ -121,3 +121,13 @@ def _(spark, sf):
     start = F.floor(F.col("t") / 1000)
     rows = x.select("user_id", "event_id", start.alias("s"), (start + (F.col("value") * 3.3).cast("long")).alias("e"), labels.context_label(fields).alias("label"))
     return labels.label_files(rows, ["user_id"], "s", "e", "label", "event_id")
+
+
+@query("arr20_analysis", """SELECT vec_id, 100 + vec_id % 200 AS hertz, true AS voiced, 513 AS bins, 5 AS bands FROM embeddings""")
+def _(spark, sf):
+    """A tone of eight harmonics for each row, their strengths from its embedding: its pitch to the nearest Hz, and little noise in the band of its first harmonics."""
+    x = tb(spark, sf, "embeddings").select("vec_id", (100 + F.col("vec_id") % 200).alias("f"), F.slice("embedding", 1, 8).alias("e"))
+    sample = "aggregate(transform(e, (v, k) -> (abs(v) * 0.3 + 1.0 / (k + 1)) * sin(2 * pi() * f * (k + 1) * t / 16000)), 0D, (s, v) -> s + v)"
+    x = analysis.analysed(x.select("vec_id", F.expr(f"transform(sequence(0, 799), t -> {sample})").alias("samples")), 16_000.0)
+    quiet = (F.col("f0") > 0) & (F.col("aperiodicity")[0] < 0.2)
+    return x.select("vec_id", F.round("f0").cast("long").alias("hertz"), quiet.alias("voiced"), F.size("envelope").alias("bins"), F.size("aperiodicity").alias("bands"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import context_labels, significance
-from seqloom.operators import adaptive
+from seqloom.operators import adaptive, analysis
 
 # Tabled two-sided 5 % and 1 % points of Student's t.
 TABLE = {1: (12.706, 63.657), 2: (4.303, 9.925), 3: (3.182, 5.841), 5: (2.571, 4.032), 10: (2.228, 3.169), 30: (2.042, 2.750), 120: (1.980, 2.617)}
@@ -116,3 +116,49 @@ def test_label_files_are_in_order(spark):
     got = {r.k: (r.lines, r.content) for r in context_labels.label_files(rows, ["k"], "s", "e", "l", "i").collect()}
     assert got == {"u": (3, "5000 200000 x\n200000 250000 a\n200000 300000 b\n"), "v": (1, "0 10000 y\n")}
     assert context_labels.label_files(rows.limit(0), ["k"], "s", "e", "l", "i").count() == 0
+
+
+def vowel(f0, formants, rate=16_000, n=1024, seed=None):
+    """A train of pulses (or noise) through resonances."""
+    t = np.arange(4 * n)
+    x = np.where((t * f0 / rate) % 1 < f0 / rate, 1.0, 0.0) if seed is None else np.random.default_rng(seed).normal(size=len(t))
+    for f, width in formants:
+        r = np.exp(-np.pi * width / rate)
+        a, b = 2 * r * np.cos(2 * np.pi * f / rate), -r * r
+        y = np.zeros(len(x))
+        for i in range(len(x)):
+            y[i] = x[i] + (a * y[i - 1] if i else 0) + (b * y[i - 2] if i > 1 else 0)
+        x = y
+    return x[-n:]
+
+
+@pytest.mark.parametrize("f0", [100.0, 125.0, 200.0])
+def test_envelope_has_the_vowels_formants(f0):
+    formants = [(700.0, 80.0), (1800.0, 100.0)]
+    x = vowel(f0, formants)[None]
+    found, strength = analysis.pitches(x, 16_000.0)
+    assert abs(found[0] - f0) < 0.01 * f0 and strength[0] > 0.8
+    e = analysis.envelopes(x, 16_000.0, found, 1024)[0]
+    peaks = [i * 16_000 / 1024 for i in range(2, 300) if e[i] > e[i - 1] and e[i] >= e[i + 1]]
+    assert all(min(abs(p - f) for p in peaks) < 0.5 * f0 for f, _ in formants) and len([p for p in peaks if 300 < p < 2500]) <= 3
+    assert (analysis.aperiodicities(x, 16_000.0, found, 1024, 4)[0] < 0.3).all()
+
+
+def test_noise_is_aperiodic():
+    noise = np.random.default_rng(1).normal(size=(1, 1024))
+    found, _ = analysis.pitches(noise, 16_000.0)
+    assert found[0] == 0 and (analysis.aperiodicities(noise, 16_000.0, found, 1024, 4) == 1).all()
+    high = np.fft.rfft(noise)
+    high[:, :256] = 0
+    x = vowel(125.0, [(700.0, 80.0)])[None]
+    mixed = x + np.fft.irfft(high) * x.std() * 0.5
+    a = analysis.aperiodicities(mixed, 16_000.0, np.array([125.0]), 1024, 4)[0]
+    assert a[0] < 0.2 and a[2] > 0.5 and a[3] > 0.5
+
+
+def test_analysis_of_odd_frames(spark):
+    rows = [(1, vowel(125.0, [(700.0, 80.0)]).tolist()), (2, None), (3, []), (4, [0.0] * 512), (5, [0.0] * 2000), (6, [1.0, 2.0]), (7, vowel(200.0, [(500.0, 80.0)])[:600].tolist())]
+    got = {r.id: r for r in analysis.analysed(spark.createDataFrame(rows, "id int, samples array<double>").repartition(2), 16_000.0).collect()}
+    assert len(got) == 7 and abs(got[1].f0 - 125) < 1 and abs(got[7].f0 - 200) < 2 and len(got[1].envelope) == 513
+    assert all(got[i].f0 is None and got[i].envelope is None for i in (2, 3, 5))
+    assert got[4].f0 == 0 and got[4].aperiodicity == [1.0] * 5 and got[6].f0 == 0 and np.isfinite(got[4].envelope).all()
