@@ -75,3 +75,31 @@ def kind(f0_mean: Column, centroid: Column, richness: Column) -> Column:
     high = F.when((f0_mean > 350) & (centroid > 3000), "child").otherwise("female_adult")
     middle = F.when(richness < 0.3, "whisper").when((richness > 0.9) & (centroid < 1500), "growl").otherwise("unknown")
     return F.when(f0_mean < 120, "male_adult").when(f0_mean > 250, high).otherwise(middle)
+
+
+def pulse(spectrum: Column, aperiodicity: Column, breath: Column, scale: Column, tilt: Column, formant: Column, brightness: Column) -> Column:
+    """struct(spectrum, aperiodicity, formant_shift, amplitude_scale, pitch_shift) of a pulse under a voice's parameters.
+
+    Breath times ``scale`` is added to each aperiodicity, up to 1; the linear spectrum is tilted by ``tilt`` dB from its first bin to beyond its last. Null
+    arrays stay null, empty ones empty; null parameters change nothing."""
+    zero, one = F.lit(0.0), F.lit(1.0)
+    more = F.coalesce(breath * scale, zero)
+    slope = F.coalesce(tilt, zero)
+    return F.struct(
+        F.transform(spectrum, lambda x, i: x * F.pow(F.lit(10.0), slope * i / F.size(spectrum) / 20.0)).alias("spectrum"), F.transform(aperiodicity, lambda a: F.least(one, a + more)).alias("aperiodicity"),
+        F.coalesce(formant, one).alias("formant_shift"), F.coalesce(brightness, one).alias("amplitude_scale"), one.alias("pitch_shift"),
+    )
+
+
+def engine(harmonics: Column, threshold: Column, noise_floor: Column, corrects: Column, phase: Column, emphasis: Column, breath: Column, tension: Column) -> Column:
+    """struct(anti_aliasing, noise_floor, random_phase, harmonics, threshold, window, adaptive, less_pre_echo, side_lobe_db) that a voice's parameters ask of synthesis.
+
+    Emphasis over 0.1 raises the number of harmonics (cut to whole) and lowers their threshold by half of it; much breath asks for adaptive Gaussian windows, tension for
+    less pre-echo and side lobes of -70 dB. A window, flag or level that nothing asks for is null."""
+    more = F.coalesce(emphasis > 0.1, F.lit(False))
+    breathy, tense = F.coalesce(breath > 0.3, F.lit(False)), F.coalesce(tension > 0.5, F.lit(False))
+    return F.struct(
+        corrects.alias("anti_aliasing"), noise_floor.alias("noise_floor"), F.coalesce(phase > 0.1, F.lit(False)).alias("random_phase"), F.when(more, F.floor(harmonics * (1 + emphasis))).otherwise(harmonics).cast("int").alias("harmonics"),
+        F.when(more, threshold * (1 - emphasis * 0.5)).otherwise(threshold).alias("threshold"), F.when(breathy, F.lit("gaussian")).alias("window"), F.when(breathy, F.lit(True)).alias("adaptive"),
+        F.when(tense, F.lit(True)).alias("less_pre_echo"), F.when(tense, F.lit(-70.0)).alias("side_lobe_db"),
+    )

@@ -9,7 +9,9 @@ from seqloom.functions import context_labels as labels
 from seqloom.functions import significance
 from seqloom.operators import adaptive, analysis
 from seqloom.operators import sequence as seq
+from seqloom.operators import voice
 from seqloom.plans.catalogue import EV, WD, K, O, ev, query, rnd, tb
+from seqloom.sources import arguments
 
 #: Student's two-sided p by Simpson's rule over the angle whose tangent is t over the root of the degrees of freedom.
 _P = """2 * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(pi()) * (pi() / 2 - atan(abs(t) / sqrt(df))) / 600 / 3
@@ -131,3 +133,33 @@ def _(spark, sf):
     x = analysis.analysed(x.select("vec_id", F.expr(f"transform(sequence(0, 799), t -> {sample})").alias("samples")), 16_000.0)
     quiet = (F.col("f0") > 0) & (F.col("aperiodicity")[0] < 0.2)
     return x.select("vec_id", F.round("f0").cast("long").alias("hertz"), quiet.alias("voiced"), F.size("envelope").alias("bins"), F.size("aperiodicity").alias("bands"))
+
+
+#: Calls with pitches and velocities in and out of range, words for numbers, and too few arguments.
+_CALL = """CASE WHEN event_id % 13 = 0 THEN array('x', 'in.wav', 'out.wav') ELSE array('x', concat('in', event_id, '.wav'), 'out.wav', CASE WHEN event_id % 7 = 0 THEN 'C4' ELSE CAST(event_id % 10000 - 5000 AS STRING) END, CASE WHEN event_id % 11 = 0 THEN '' ELSE CAST(event_id % 1100 AS STRING) END,
+CASE WHEN event_id % 5 = 0 THEN 'g-5B20' ELSE '' END, CAST(event_id % 300 - 20 AS STRING), '12.5', concat('+', event_id % 90), CAST(0 - event_id % 400 AS STRING), CAST(event_id % 150 - 70 AS STRING), CAST(event_id % 120 AS STRING)) END"""
+
+
+@query("prj26_arguments", """WITH a AS (SELECT event_id, event_id % 13 <> 0 AS whole, event_id % 10000 - 5000 AS p, event_id % 1100 AS v FROM events), b AS (SELECT event_id, whole, CASE WHEN whole AND event_id % 7 <> 0 AND p BETWEEN -4800 AND 4800 THEN p END AS pitch, CASE WHEN whole AND event_id % 11 <> 0 AND v BETWEEN 1 AND 1000 THEN v END AS velocity, p, v FROM a)
+SELECT event_id, CAST(pitch AS INT) AS pitch, CAST(velocity AS INT) AS velocity, CASE WHEN whole AND event_id % 5 = 0 THEN 'g-5B20' ELSE '' END AS flags, CAST(CASE WHEN whole THEN greatest(0, event_id % 300 - 20) ELSE 0 END AS INT) AS "offset", 0 AS "length", CAST(CASE WHEN whole THEN event_id % 90 ELSE 0 END AS INT) AS consonant,
+CAST(CASE WHEN whole THEN 0 - event_id % 400 ELSE 0 END AS INT) AS cutoff, CAST(CASE WHEN whole AND event_id % 150 - 70 BETWEEN -60 AND 60 THEN event_id % 150 - 70 ELSE 0 END AS INT) AS volume, CAST(CASE WHEN whole AND event_id % 120 <= 100 THEN event_id % 120 ELSE 0 END AS INT) AS "start", 100 AS "end",
+CASE WHEN NOT whole THEN 'too few arguments: 3' WHEN pitch IS NULL THEN 'no valid pitch: ' || CASE WHEN event_id % 7 = 0 THEN 'C4' ELSE CAST(p AS VARCHAR) END WHEN velocity IS NULL THEN 'no valid velocity: ' || CASE WHEN event_id % 11 = 0 THEN '' ELSE CAST(v AS VARCHAR) END END AS error FROM b""")
+def _(spark, sf):
+    return tb(spark, sf, "events").select("event_id", arguments.resampler(F.expr(_CALL)).alias("a")).select("event_id", "a.*").drop("input", "output", "is_valid")
+
+
+@query("prj28_pulse", """WITH e AS (SELECT vec_id, label, [abs(CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings) SELECT vec_id, CAST(i AS INT) AS i, round(e[i + 1] * pow(10, (label - 4) * 1.5 * i / 64 / 20), 6) AS spectrum, round(least(1, e[i + 1] + label / 10.0 * 0.5), 6) AS aperiodicity, 1 + label / 20.0 AS formant FROM (SELECT *, unnest(range(0, 64)) AS i FROM e)""")
+def _(spark, sf):
+    x = tb(spark, sf, "embeddings").select("vec_id", F.col("label").alias("l"), F.transform("embedding", lambda v: F.abs(v.cast("double"))).alias("e"))
+    p = voice.pulse(F.col("e"), F.col("e"), F.col("l") / 10.0, F.lit(0.5), (F.col("l") - 4) * 1.5, 1 + F.col("l") / 20.0, F.lit(None).cast("double"))
+    x = x.select("vec_id", p.alias("p")).select("vec_id", F.col("p.formant_shift").alias("formant"), F.posexplode(F.arrays_zip("p.spectrum", "p.aperiodicity")).alias("i", "z"))
+    return x.select("vec_id", "i", F.round("z.spectrum", 6).alias("spectrum"), F.round("z.aperiodicity", 6).alias("aperiodicity"), "formant")
+
+
+@query("prj28_engine", """WITH x AS (SELECT event_id, value / 100 AS e, event_id % 10 / 10.0 AS b, event_id % 7 / 7.0 AS t FROM events) SELECT event_id, CAST(CASE WHEN e > 0.1 THEN floor(50 * (1 + e)) ELSE 50 END AS INT) AS harmonics, round(CASE WHEN e > 0.1 THEN 0.01 * (1 - e * 0.5) ELSE 0.01 END, 8) AS threshold,
+CASE WHEN b > 0.3 THEN 'gaussian' END AS "window", CASE WHEN t > 0.5 THEN CAST(-70 AS DOUBLE) END AS side_lobe_db, b > 0.1 AS random_phase FROM x""")
+def _(spark, sf):
+    e, b, t = F.col("value") / 100, F.col("event_id") % 10 / 10.0, F.col("event_id") % 7 / 7.0
+    made = voice.engine(F.lit(50), F.lit(0.01), F.lit(-60.0), F.lit(True), b, e, b, t)
+    x = tb(spark, sf, "events").select("event_id", made.alias("m")).select("event_id", "m.*")
+    return x.select("event_id", "harmonics", F.round("threshold", 8).alias("threshold"), "window", "side_lobe_db", "random_phase")

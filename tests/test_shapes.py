@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import context_labels, significance
-from seqloom.operators import adaptive, analysis
+from seqloom.operators import adaptive, analysis, voice
+from seqloom.sources import arguments
 
 # Tabled two-sided 5 % and 1 % points of Student's t.
 TABLE = {1: (12.706, 63.657), 2: (4.303, 9.925), 3: (3.182, 5.841), 5: (2.571, 4.032), 10: (2.228, 3.169), 30: (2.042, 2.750), 120: (1.980, 2.617)}
@@ -162,3 +163,27 @@ def test_analysis_of_odd_frames(spark):
     assert len(got) == 7 and abs(got[1].f0 - 125) < 1 and abs(got[7].f0 - 200) < 2 and len(got[1].envelope) == 513
     assert all(got[i].f0 is None and got[i].envelope is None for i in (2, 3, 5))
     assert got[4].f0 == 0 and got[4].aperiodicity == [1.0] * 5 and got[6].f0 == 0 and np.isfinite(got[4].envelope).all()
+
+
+def test_resampler_arguments(spark):
+    full = ["x", "a.wav", "b.wav", " +12", "100", "g-5", "3", "4", "5", "-6", "-60", "100", "0"]
+    calls = [full, full[:5], full[:4], [], None, [*full[:3], "4801", *full[4:]], [*full[:3], "1.5", *full[4:]], [*full[:4], "0", *full[5:]], [*full[:6], "-1", "99999999999", "x", "", "61", "101", "101"], [*full[:3], "7\n", *full[4:]], [*full[:3], None, "5"], [*full, "AA"], ["x", "", *full[2:]]]
+    df = spark.createDataFrame(list(enumerate(calls)), "i int, args array<string>")
+    got = {r.i: r.a for r in df.select("i", arguments.resampler(F.col("args")).alias("a")).collect()}
+    assert tuple(got[0]) == ("a.wav", "b.wav", 12, 100, "g-5", 3, 4, 5, -6, -60, 100, 0, None, True)
+    assert got[1].is_valid and (got[1].flags, got[1].end, got[1].volume) == ("", 100, 0)
+    assert [got[i].error for i in (2, 3, 4)] == ["too few arguments: 4", "too few arguments: 0", "too few arguments: 0"]
+    assert [got[i].error for i in (5, 6, 7, 9, 10)] == ["no valid pitch: 4801", "no valid pitch: 1.5", "no valid velocity: 0", "no valid pitch: 7\n", "no valid pitch: "]
+    assert got[11].error == "too many arguments: 14" and got[12].error == "empty path" and not got[12].is_valid
+    assert tuple(got[8])[5:12] == (0, 0, 0, 0, 0, 0, 100) and got[8].is_valid
+
+
+def test_pulse_and_engine_of_odd_values(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0], [0.9, 0.1], 0.5, 6.0), (2, None, [], None, None)], "i int, s array<double>, a array<double>, b double, t double")
+    none = F.lit(None).cast("double")
+    got = {r.i: r.p for r in df.select("i", voice.pulse(F.col("s"), F.col("a"), F.col("b"), F.lit(1.0), F.col("t"), none, none).alias("p")).collect()}
+    assert got[1].aperiodicity == [1.0, 0.6] and got[1].spectrum == pytest.approx([1.0, 2 * 10**0.15]) and got[1].amplitude_scale == 1
+    assert got[2].spectrum is None and got[2].aperiodicity == []
+    made = df.select(voice.engine(F.lit(50), F.lit(0.01), none, F.lit(True), none, F.col("b"), F.col("b"), F.col("b")).alias("m")).collect()
+    assert made[0].m.harmonics == 75 and made[0].m.window == "gaussian" and made[0].m.side_lobe_db is None
+    assert made[1].m.harmonics == 50 and made[1].m.window is None and made[1].m.random_phase is False
