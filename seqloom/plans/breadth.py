@@ -468,6 +468,7 @@ def _(spark, sf):
     return ev(spark, sf).select("event_id", F.row_number().over(seq.over(K, O)).alias("i"))
 
 
-@query("arr10_gaussian", """SELECT CAST(i AS INT) AS i, round(exp(-0.5 * pow((i - 31.5) / (64 / 6.0), 2)), 5) AS x FROM range(64) t(i)""")
+@query("arr10_gaussian", """SELECT vec_id, CAST(i AS INT) AS i, round(x * exp(-0.5 * pow((i - 31.5) / (64 / 6.0), 2)), 5) AS x FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)""")
 def _(spark, sf):
-    return spark.range(1).select(F.posexplode(signal.window("gaussian", 64)).alias("i", "x")).withColumn("x", F.round("x", 5))
+    x = tb(spark, sf, "embeddings").select("vec_id", F.posexplode(F.zip_with("embedding", signal.window("gaussian", 64), lambda v, w: v.cast("double") * w)).alias("i", "x"))
+    return x.withColumn("x", F.round("x", 5))

@@ -369,11 +369,11 @@ def _(spark, sf):
     return x.select("vec_id", F.posexplode(signal.resample("e", 1.5)).alias("i", "x")).withColumn("x", F.round("x", 5))
 
 
-@query("arr10_windows", """SELECT CAST(i AS INT) AS i, round(0.5 - 0.5 * cos(2 * pi() * i / 63), 6) AS hann, round(0.54 - 0.46 * cos(2 * pi() * i / 63), 6) AS hamming, round(0.42 - 0.5 * cos(2 * pi() * i / 63) + 0.08 * cos(4 * pi() * i / 63), 6) AS blackman FROM range(64) t(i)""")
+@query("arr10_windows", """SELECT vec_id, CAST(i AS INT) AS i, round(x * (0.5 - 0.5 * cos(2 * pi() * i / 63)), 6) AS hann, round(x * (0.54 - 0.46 * cos(2 * pi() * i / 63)), 6) AS hamming, round(x * (0.42 - 0.5 * cos(2 * pi() * i / 63) + 0.08 * cos(4 * pi() * i / 63)), 6) AS blackman FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)""")
 def _(spark, sf):
     kinds = ("hann", "hamming", "blackman")
-    x = spark.range(1).select(*(signal.window(k, 64).alias(k) for k in kinds)).select(F.posexplode(F.arrays_zip(*kinds)).alias("i", "w"))
-    return x.select("i", *(F.round(F.col("w")[k], 6).alias(k) for k in kinds))
+    x = tb(spark, sf, "embeddings").select("vec_id", *(F.zip_with("embedding", signal.window(k, 64), lambda v, w: v.cast("double") * w).alias(k) for k in kinds))
+    return x.select("vec_id", F.posexplode(F.arrays_zip(*kinds)).alias("i", "w")).select("vec_id", "i", *(F.round(F.col("w")[k], 6).alias(k) for k in kinds))
 
 
 @query("ml03_assign", """WITH c AS (SELECT vec_id AS cid, embedding AS c FROM embeddings WHERE vec_id < 8), d AS (SELECT e.vec_id, c.cid, unnest(e.embedding) AS x, unnest(c.c) AS y FROM embeddings e, c), s AS (SELECT vec_id, cid, sum(CAST(x - y AS DOUBLE) * CAST(x - y AS DOUBLE)) AS d FROM d GROUP BY ALL) SELECT vec_id, arg_min(cid, d) AS cid FROM s GROUP BY 1""")

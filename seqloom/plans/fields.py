@@ -394,10 +394,10 @@ def _(spark, sf):
     return x.select("vec_id", F.posexplode(signal.tilted("e", 3.0)).alias("i", "x")).withColumn("x", F.round("x", 5))
 
 
-@query("arr10_more_windows", """SELECT CAST(i AS INT) AS i, round(0.35875 - 0.48829 * cos(2 * pi() * i / 63) + 0.14128 * cos(4 * pi() * i / 63) - 0.01168 * cos(6 * pi() * i / 63), 6) AS blackman_harris,
-round(0.355768 - 0.487396 * cos(2 * pi() * i / 63) + 0.144232 * cos(4 * pi() * i / 63) - 0.012604 * cos(6 * pi() * i / 63), 6) AS nuttall,
-round(CASE WHEN least(i, 63 - i) < 15.75 THEN 0.5 * (1 - cos(4 * pi() * least(i, 63 - i) / 63)) ELSE 1 END, 6) AS tukey FROM (SELECT unnest(range(0, 64)) AS i)""")
+@query("arr10_more_windows", """SELECT vec_id, CAST(i AS INT) AS i, round(x * (0.35875 - 0.48829 * cos(2 * pi() * i / 63) + 0.14128 * cos(4 * pi() * i / 63) - 0.01168 * cos(6 * pi() * i / 63)), 6) AS blackman_harris,
+round(x * (0.355768 - 0.487396 * cos(2 * pi() * i / 63) + 0.144232 * cos(4 * pi() * i / 63) - 0.012604 * cos(6 * pi() * i / 63)), 6) AS nuttall,
+round(x * CASE WHEN least(i, 63 - i) < 15.75 THEN 0.5 * (1 - cos(4 * pi() * least(i, 63 - i) / 63)) ELSE 1 END, 6) AS tukey FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)""")
 def _(spark, sf):
     kinds = ("blackman_harris", "nuttall", "tukey")
-    x = spark.range(1).select(*(signal.window(k, 64).alias(k) for k in kinds)).select(F.posexplode(F.arrays_zip(*kinds)).alias("i", "w"))
-    return x.select("i", *(F.round(F.col("w")[k], 6).alias(k) for k in kinds))
+    x = tb(spark, sf, "embeddings").select("vec_id", *(F.zip_with("embedding", signal.window(k, 64), lambda v, w: v.cast("double") * w).alias(k) for k in kinds))
+    return x.select("vec_id", F.posexplode(F.arrays_zip(*kinds)).alias("i", "w")).select("vec_id", "i", *(F.round(F.col("w")[k], 6).alias(k) for k in kinds))

@@ -167,10 +167,11 @@ def _(spark, sf):
     return x.select("vec_id", "k", F.round("z.re", 4).alias("re"), F.round("z.im", 4).alias("im"))
 
 
-@query("arr13_window_figures", """WITH w AS (SELECT 'hann' AS kind, 0.5 - 0.5 * cos(2 * pi() * i / 63) AS x FROM range(64) t(i) UNION ALL SELECT 'hamming', 0.54 - 0.46 * cos(2 * pi() * i / 63) FROM range(64) t(i)) SELECT kind, round(avg(x), 5) AS gain, round(64 * sum(x * x) / (sum(x) * sum(x)), 5) AS bandwidth FROM w GROUP BY 1""")
+@query("arr13_window_figures", """WITH w AS (SELECT vec_id, abs(x) * (0.5 - 0.5 * cos(2 * pi() * i / 63)) AS x FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)) SELECT vec_id, round(avg(x), 5) AS gain, round(64 * sum(x * x) / (sum(x) * sum(x)), 5) AS bandwidth FROM w GROUP BY 1""")
 def _(spark, sf):
-    x = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), signal.window(k, 64).alias("w")) for k in ("hann", "hamming")))))
-    return spectra.window_figures(x, "kind", "w").select("kind", F.round(F.col("figures")[0], 5).alias("gain"), F.round(F.col("figures")[1], 5).alias("bandwidth"))
+    """A Hann window weighted by the sizes of each row's values."""
+    x = _vectors(spark, sf).select("vec_id", F.zip_with("e", signal.window("hann", 64), lambda v, w: F.abs(v) * w).alias("w"))
+    return spectra.window_figures(x, "vec_id", "w").select("vec_id", F.round(F.col("figures")[0], 5).alias("gain"), F.round(F.col("figures")[1], 5).alias("bandwidth"))
 
 
 # Models: a model for each supplier, its states by nation.
