@@ -1,7 +1,7 @@
 """Models over sequences: Gaussian mixtures, hidden Markov chains, trajectories.
 
-Mixtures are fitted by distributed sums: a pass adds up moments for each component, so nothing is gathered but the model. Chains and
-trajectories need a whole sequence; one utterance, bounded by its own length, meets in one task.
+Mixtures are fitted by distributed sums: a pass adds up moments for each component, so nothing is gathered but the model. Chains need
+a whole sequence; one utterance, bounded by its own length, meets in one task. Trajectories are solved in stretches of frames.
 """
 
 from __future__ import annotations
@@ -10,9 +10,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 FLOOR = 1e-6
 LOG_2PI = float(np.log(2 * np.pi))
@@ -297,32 +297,182 @@ def boundaries(states: DataFrame, keys: list[str], order: str) -> DataFrame:
     return states.groupBy(*keys, "state").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("frames"))
 
 
+#: Frames of a stretch of a trajectory.
+STRETCH = 2048
+#: What frames before, at and after each frame are to its value, difference and second difference.
+_TAPS = np.array([[0.0, 1.0, 0.0], [-0.5, 0.0, 0.5], [1.0, -2.0, 1.0]])
+
+
+def _banded(diagonal: np.ndarray, next1: np.ndarray, next2: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solutions (n, d, m) of d symmetric systems with two bands, (n, d) each, for m right sides."""
+    n = len(diagonal)
+    e, l1, l2, x = diagonal.copy(), next1.copy(), next2.copy(), right.copy()
+    for i in range(n):
+        if i > 0:
+            e[i] -= e[i - 1] * l1[i - 1] ** 2
+            l1[i] -= l2[i - 1] * e[i - 1] * l1[i - 1]
+            x[i] -= l1[i - 1, :, None] * x[i - 1]
+        if i > 1:
+            e[i] -= e[i - 2] * l2[i - 2] ** 2
+            x[i] -= l2[i - 2, :, None] * x[i - 2]
+        l1[i] /= e[i]
+        l2[i] /= e[i]
+    x /= e[:, :, None]
+    for i in range(n - 2, -1, -1):
+        x[i] -= l1[i, :, None] * x[i + 1]
+        if i + 2 < n:
+            x[i] -= l2[i, :, None] * x[i + 2]
+    return x
+
+
+class _Stretch:
+    """Equations of frames [first, first + len) of ``total``: their observations and the nodes (frames) that these touch.
+
+    Its last two nodes, unless it ends the utterance, and the last two of the stretch before are shared; the others are its own."""
+
+    def __init__(self, means: np.ndarray, variances: np.ndarray, first: int, low: int, high: int, total: int, left: bool, right: bool, ridge: float):
+        u, d = len(means), means.shape[1] // 3
+        shape = (u, 3, d)
+        mean, p = means[:, : 3 * d].reshape(shape), 1 / np.maximum(variances[:, : 3 * d].reshape(shape), FLOOR)
+        taps = np.repeat(_TAPS[None], u, axis=0)
+        if first == 0:
+            taps[0, :, 1] += taps[0, :, 0]
+            taps[0, :, 0] = 0
+        if first + u == total:
+            taps[-1, :, 1] += taps[-1, :, 2]
+            taps[-1, :, 2] = 0
+        # one node more on either side, which stays empty
+        n = high - low + 2
+        bands, b = np.zeros((3, n, d)), np.zeros((n, d))
+        at = first - low  # of the node before the first frame
+        for i in range(3):
+            b[at + i : at + i + u] += np.einsum("urd,ur->ud", p * mean, taps[:, :, i])
+            for j in range(i, 3):
+                bands[j - i, at + i : at + i + u] += np.einsum("urd,ur->ud", p, taps[:, :, i] * taps[:, :, j])
+        self.bands, self.b, self.d = bands[:, 1:-1], b[1:-1], d
+        self.l, self.r = 2 * left, 2 * right
+        self.bands[0, self.l :] += ridge
+        self.n = high - low
+        self.own = slice(self.l, self.n - self.r)
+
+    def _across(self) -> np.ndarray:
+        """(own, d, shared): what own nodes have to do with shared ones."""
+        n = self.n - self.l - self.r
+        out = np.zeros((n, self.d, self.l + self.r))
+        shared = [*range(self.l), *range(self.n - self.r, self.n)]
+        for k, s in enumerate(shared):
+            for gap in (1, 2):
+                for i in (s - gap, s + gap):
+                    if 0 <= i - self.l < n:
+                        out[i - self.l, :, k] = self.bands[gap, min(i, s)]
+        return out
+
+    def reduced(self) -> tuple[np.ndarray, np.ndarray]:
+        """(d, shared, shared) and (d, shared): the equations of the shared nodes once the own ones are eliminated."""
+        shared = [*range(self.l), *range(self.n - self.r, self.n)]
+        across = self._across()
+        x = _banded(*self.bands[:, self.own], np.concatenate([self.b[self.own, :, None], across], axis=2))
+        g, a = np.stack([self.b[s] for s in shared], axis=1), np.zeros((self.d, len(shared), len(shared)))
+        for k, s in enumerate(shared):
+            a[:, k, k] = self.bands[0, s]
+            for m, v in enumerate(shared):
+                if 0 < v - s <= 2:
+                    a[:, k, m] = a[:, m, k] = self.bands[v - s, s]
+        return a - np.einsum("nds,ndt->dst", across, x[:, :, 1:]), g - np.einsum("nds,nd->ds", across, x[:, :, 0])
+
+    def solved(self, shared: np.ndarray) -> np.ndarray:
+        """(own, d) when the shared nodes are (shared, d)."""
+        b = self.b[self.own] - np.einsum("nds,sd->nd", self._across(), shared)
+        return _banded(*self.bands[:, self.own], b[:, :, None])[:, :, 0]
+
+
 def trajectory(means: np.ndarray, variances: np.ndarray, durations: np.ndarray, ridge: float = 1e-8) -> np.ndarray:
     """The static path (t, d) that is likeliest under Gaussians over statics, differences and second differences.
 
     means and variances are (states, 3 d); differences are 0.5 (x[t+1] - x[t-1]), second ones x[t-1] - 2 x[t] + x[t+1], edges repeated."""
     at = np.repeat(np.arange(len(durations)), durations)
     t, d = len(at), means.shape[1] // 3
-    eye = np.eye(t)
-    after, before = eye[np.minimum(np.arange(t) + 1, t - 1)], eye[np.maximum(np.arange(t) - 1, 0)]
-    w = np.concatenate([eye, 0.5 * (after - before), before - 2 * eye + after])
-    out = np.empty((t, d))
-    for j in range(d):
-        cols = [j, d + j, 2 * d + j]
-        p = 1 / np.maximum(variances[at][:, cols].T.ravel(), FLOOR)
-        out[:, j] = np.linalg.solve((w.T * p) @ w + ridge * eye, (w.T * p) @ means[at][:, cols].T.ravel()) if t else 0
-    return out
-
-
-def trajectories(states: DataFrame, key: str, order: str, mean: str = "mean", variance: str = "var", duration: str = "duration") -> DataFrame:
-    """(key, frame, c) for each utterance's states; durations below 1 are left out."""
-    schema = states.select(key).schema.add("frame", IntegerType()).add("c", ArrayType(DoubleType()))
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by(order)
-        m, v = (_matrix(table.column(c).combine_chunks()) for c in (mean, variance))
-        path = trajectory(m, v, table.column(duration).to_numpy().astype(int))
-        first = table.column(key)[0].as_py()
-        return pa.table({key: pa.array([first] * len(path), table.schema.field(key).type), "frame": pa.array(range(len(path)), pa.int32()), "c": pa.array(path.tolist(), pa.list_(pa.float64()))})
-
-    return states.where(F.col(duration) >= 1).select(key, order, mean, variance, duration).groupBy(key).applyInArrow(run, schema)
+    return _Stretch(means[at], variances[at], 0, 0, t, t, False, False, ridge).solved(np.zeros((0, d))) if t else np.empty((0, d))
+
+
+def _bound(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """(k, 2, d): the nodes that each stretch k shares with the next, from the reduced equations of all stretches in order."""
+    n, d = len(parts) - 1, len(parts[0][1])
+    diagonal, after, right = np.zeros((n, d, 2, 2)), np.zeros((n, d, 2, 2)), np.zeros((n, d, 2))
+    for k, (_, a, g) in enumerate(parts):
+        left = 2 if k else 0
+        if k:
+            diagonal[k - 1] += a[:, :2, :2]
+            right[k - 1] += g[:, :2]
+        if k < n:
+            diagonal[k] += a[:, left:, left:]
+            right[k] += g[:, left:]
+            if k:
+                after[k - 1] = a[:, :2, 2:]
+    for k in range(1, n):
+        f = np.linalg.solve(diagonal[k - 1], after[k - 1]).transpose(0, 2, 1)
+        diagonal[k] -= f @ after[k - 1]
+        right[k] -= (f @ right[k - 1][:, :, None])[:, :, 0]
+    x = np.zeros((n, d, 2))
+    for k in range(n - 1, -1, -1):
+        b = right[k] - ((after[k] @ x[k + 1][:, :, None])[:, :, 0] if k + 1 < n else 0)
+        x[k] = np.linalg.solve(diagonal[k], b[:, :, None])[:, :, 0]
+    return x.transpose(0, 2, 1)
+
+
+def trajectories(states: DataFrame, key: str, order: str, mean: str = "mean", variance: str = "var", duration: str = "duration", stretch: int = STRETCH, ridge: float = 1e-8) -> DataFrame:
+    """(key, frame, c) for each utterance's states; durations below 1 are left out.
+
+    Frames are solved in stretches of ``stretch``, each in a task of its own: first what a stretch says of the two frames that it shares with either
+    neighbour, then those frames for the whole utterance (a few numbers a stretch meet in one task), then the frames between. It is the exact solution."""
+    whole = Window.partitionBy("k")
+    x = states.where(F.col(duration) >= 1).select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(mean).alias("m"), F.col(variance).alias("v"), F.col(duration).cast("long").alias("n"))
+    x = x.select("k", "m", "v", F.sum("n").over(whole.orderBy("o").rowsBetween(Window.unboundedPreceding, 0)).alias("to"), "n", F.sum("n").over(whole).alias("total"))
+    x = x.withColumn("from", F.col("to") - F.col("n"))
+    last = F.expr(f"(total - 1) div {stretch}")
+    of = lambda frame: F.least((F.expr(f"({frame}) div {stretch}")), last)
+    x = x.withColumn("s", F.explode(F.sequence(of("from + 1"), of("to")))).select("k", "s", "from", "to", "total", "m", "v")
+
+    def read(table: pa.Table) -> tuple[_Stretch, int, int]:
+        table = table.sort_by("from")
+        s, total = table.column("s")[0].as_py(), table.column("total")[0].as_py()
+        ends = (total - 1) // stretch == s
+        first, until = max(s * stretch - 1, 0), total if ends else (s + 1) * stretch - 1
+        begin, end = (np.clip(table.column(c).to_numpy(), first, until) for c in ("from", "to"))
+        at = np.repeat(np.arange(table.num_rows), end - begin)
+        m, v = (_matrix(table.column(c).combine_chunks())[at] for c in ("m", "v"))
+        low, high = max(s * stretch - 2, 0), total if ends else (s + 1) * stretch
+        return _Stretch(m, v, first, low, high, total, s > 0, not ends, ridge), s, low
+
+    kind = states.schema[key].dataType
+    lists = ArrayType(DoubleType())
+    same = lambda table, n: pa.array([table.column("k")[0].as_py()] * n, table.schema.field("k").type)
+
+    def reduce(table: pa.Table) -> pa.Table:
+        one, s, _ = read(table)
+        a, g = one.reduced()
+        return pa.table({"k": same(table, 1), "s": pa.array([s], pa.int64()), "a": pa.array([a.ravel().tolist()], pa.list_(pa.float64())), "g": pa.array([g.ravel().tolist()], pa.list_(pa.float64()))})
+
+    def bind(table: pa.Table) -> pa.Table:
+        table = table.sort_by("s")
+        parts = []
+        for i, (a, g) in enumerate(zip(table.column("a").to_pylist(), table.column("g").to_pylist(), strict=True)):
+            n = 2 if i in (0, table.num_rows - 1) else 4
+            parts.append((i, np.array(a).reshape(-1, n, n), np.array(g).reshape(-1, n)))
+        x = _bound(parts)
+        near = [np.concatenate(x[max(i - 1, 0) : i + 1]).ravel().tolist() for i in range(len(parts))]
+        return pa.table({"k": same(table, len(parts)), "s": table.column("s"), "x": pa.array(near, pa.list_(pa.float64()))})
+
+    def solve(table: pa.Table, bounds: pa.Table) -> pa.Table:
+        one, _, low = read(table)
+        shared = np.array(bounds.column("x")[0].as_py()).reshape(-1, one.d) if bounds.num_rows else np.zeros((0, one.d))
+        path = np.concatenate([one.solved(shared), shared[one.l :]])
+        frames = np.arange(low + one.l, low + one.l + len(path))
+        c = pa.ListArray.from_arrays(pa.array(np.arange(len(path) + 1) * one.d, pa.int32()), pa.array(path.ravel()))
+        return pa.table({key: same(table, len(path)), "frame": pa.array(frames, pa.int32()), "c": c})
+
+    row = StructType([StructField("k", kind), StructField("s", LongType())])
+    several = x.where(F.col("total") > stretch).groupBy("k", "s").applyInArrow(reduce, StructType([*row, StructField("a", lists), StructField("g", lists)]))
+    bounds = several.groupBy("k").applyInArrow(bind, StructType([*row, StructField("x", lists)]))
+    out = StructType([StructField(key, kind), StructField("frame", IntegerType()), StructField("c", lists)])
+    return x.groupBy("k", "s").cogroup(bounds.groupBy("k", "s")).applyInArrow(solve, out)

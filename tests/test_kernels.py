@@ -97,6 +97,41 @@ def test_alignment_and_trajectories_run(spark):
     assert [round(r.c[0], 5) for r in kernels.trajectories(states, "utt", "s").orderBy("frame").collect()] == [1.0, 1.0, 1.0]
 
 
+def dense_trajectory(means, variances, durations, ridge=1e-8):
+    at = np.repeat(np.arange(len(durations)), durations)
+    t, d = len(at), means.shape[1] // 3
+    eye = np.eye(t)
+    after, before = eye[np.minimum(np.arange(t) + 1, t - 1)], eye[np.maximum(np.arange(t) - 1, 0)]
+    w = np.concatenate([eye, 0.5 * (after - before), before - 2 * eye + after])
+    out = np.empty((t, d))
+    for j in range(d):
+        p, m = 1 / variances[at][:, j : 3 * d : d].T.ravel(), means[at][:, j : 3 * d : d].T.ravel()
+        out[:, j] = np.linalg.solve((w.T * p) @ w + ridge * eye, (w.T * p) @ m)
+    return out
+
+
+def test_trajectories_by_stretches(spark):
+    r = np.random.default_rng(4)
+    utterances = {k: (r.normal(size=(n, 7)), r.uniform(0.05, 2, size=(n, 7)), r.integers(0, 5, size=n)) for k, n in (("a", 40), ("b", 1), ("c", 3), (None, 20))}
+    utterances["d"] = (r.normal(size=(2, 7)), r.uniform(0.05, 2, size=(2, 7)), np.array([30, 2]))
+    utterances["b"][2][:] = 1
+    rows = [(k, i, [*map(float, m[i])], [*map(float, v[i])], int(n[i])) for k, (m, v, n) in utterances.items() for i in range(len(n))]
+    states = spark.createDataFrame(rows, "utt string, s int, mean array<double>, var array<double>, duration int").repartition(3)
+    for stretch in (4, 8, 31, 2048):
+        got = {}
+        for x in kernels.trajectories(states, "utt", "s", stretch=stretch).orderBy("frame").collect():
+            got.setdefault(x.utt, []).append(x.c)
+        for k, (m, v, n) in utterances.items():
+            assert np.allclose(got.get(k, np.empty((0, 2))), dense_trajectory(m, v, n), atol=1e-9), (k, stretch)
+
+
+def test_long_trajectory_fits():
+    """A square matrix of its frames would take 80 GB."""
+    n = 100_000
+    path = kernels.trajectory(np.tile([2.0, 0.0, 0.0], (n, 1)), np.ones((n, 3)), np.ones(n, int))
+    assert path.shape == (n, 1) and np.allclose(path, 2, atol=1e-6)
+
+
 def test_kaiser_window(spark):
     got = spark.range(1).select(signal.window("kaiser", 32).alias("w")).first().w
     assert np.allclose(got, np.kaiser(32, 8.6), atol=1e-9)
