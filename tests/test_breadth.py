@@ -8,6 +8,8 @@ from seqloom.functions import scalars
 from seqloom.operators import augment, banks, reports, spectra
 from seqloom.operators import sequence as seq
 from seqloom.operators import timing as tm
+from seqloom.plans import fields  # noqa: F401  fills the catalogue
+from seqloom.plans.catalogue import QUERIES
 
 
 def test_banks_of_files(spark, tmp_path):
@@ -82,3 +84,15 @@ def test_pitch_of_no_sound(spark, value):
     df = spark.createDataFrame([(value,)], "hz double")
     note, cents, sound = df.select(scalars.note(F.col("hz")), scalars.cents(F.col("hz")), scalars.voiced(F.col("hz"))).first()
     assert cents is None and not sound and note == (None if value is None else 0)
+
+
+def events(spark, path, rows):
+    """A folder with the table of events of (event_id, user_id, event_type, value), in this order."""
+    df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double")
+    df.coalesce(1).selectExpr("event_id", "timestamp_micros(event_id) AS ts", "user_id", "event_type", "value").write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_arg_max_takes_the_first_of_equals(spark, tmp_path):
+    sf = events(spark, tmp_path, [(1, 1, "a", 2.0), (3, 1, "a", 7.0), (5, 1, "a", 7.0), (9, 1, "a", 7.0), (11, 1, "a", None), (2, 2, "a", None)])
+    assert sorted(map(tuple, QUERIES["srt05_arg_max"](spark, sf).collect())) == [(1, 3, 7.0), (2, None, None)]
