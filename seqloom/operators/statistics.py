@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 FLOOR = 1e-6
 
 
+def exact_mean(value: Column) -> Column:
+    """The mean, from a sum that does not depend on the order of rows: that of twelve decimals, or of doubles where a value has more than 14 digits before them."""
+    fixed = value.try_cast("decimal(26,12)")
+    n = F.count(value)
+    return F.when(F.count(fixed) == n, F.try_divide(F.try_sum(fixed).cast("double"), n)).otherwise(F.avg(value))
+
+
 def profile(df: DataFrame, keys: list[str], name: str, file: str, timed: Column) -> DataFrame:
     """Rows, distinct names and files, rows with any timing, and extra occurrences of names."""
     return df.groupBy(*keys).agg(F.count("*").alias("total"), F.countDistinct(name).alias("names"), F.countDistinct(file).alias("files"), F.count_if(timed).alias("timed"), (F.count(name) - F.countDistinct(name)).alias("extra"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import phonemes, scalars, signal
 from seqloom.operators import banks, reports, rules
 from seqloom.operators import sequence as seq
+from seqloom.operators import statistics as st
 from seqloom.operators import timing as tm
 from seqloom.plans.catalogue import _DIMS, EV, WD, K, O, _dims, ev, query, rnd, tb
 
@@ -271,7 +272,7 @@ def _(spark, sf):
 
 @query("ag50_wins_and_means", """WITH p AS (SELECT avg(value) FILTER (WHERE event_type = 'click') AS a, avg(value) FILTER (WHERE event_type = 'view') AS b FROM events GROUP BY user_id), q AS (SELECT * FROM p WHERE a IS NOT NULL AND b IS NOT NULL) SELECT count(*) FILTER (WHERE a - b > 5) AS wins_a, count(*) FILTER (WHERE b - a > 5) AS wins_b, count(*) FILTER (WHERE abs(a - b) <= 5) AS ties, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, count(*) AS n, round(100.0 * count(*) FILTER (WHERE a - b > 5) / count(*), 6) AS percent_wins_a, round(100.0 * count(*) FILTER (WHERE b - a > 5) / count(*), 6) AS percent_wins_b, round(100.0 * count(*) FILTER (WHERE abs(a - b) <= 5) / count(*), 6) AS percent_ties FROM q""")
 def _(spark, sf):
-    p = tb(spark, sf, "events").groupBy("user_id").agg(*(F.avg(F.when(F.col("event_type") == k, F.col("value"))).alias(n) for k, n in (("click", "a"), ("view", "b"))))
+    p = tb(spark, sf, "events").groupBy("user_id").agg(*(st.exact_mean(F.when(F.col("event_type") == k, F.col("value"))).alias(n) for k, n in (("click", "a"), ("view", "b"))))
     return rnd(reports.wins(p, "a", "b", 5.0), "mean_a", "mean_b", "percent_wins_a", "percent_wins_b", "percent_ties")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import signal, text
 from seqloom.operators import rules
 from seqloom.operators import sequence as seq
+from seqloom.operators import statistics as st
 from seqloom.operators import temporal as tm
 from seqloom.plans.catalogue import _DIMS, EV, WD, K, O, _dims, ev, query, rnd, tb
 from seqloom.sinks import forms
@@ -234,7 +235,7 @@ def _(spark, sf):
 @query("ag50_wins", """WITH p AS (SELECT user_id, avg(value) FILTER (WHERE event_type = 'click') AS a, avg(value) FILTER (WHERE event_type = 'view') AS b FROM events GROUP BY 1 HAVING a IS NOT NULL AND b IS NOT NULL)
 SELECT CASE WHEN abs(a - b) < 5 THEN 'tie' WHEN a > b THEN 'a' ELSE 'b' END AS winner, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM p GROUP BY 1""")
 def _(spark, sf):
-    p = tb(spark, sf, "events").groupBy("user_id").agg(*(F.avg(F.when(F.col("event_type") == k, F.col("value"))).alias(n) for k, n in (("click", "a"), ("view", "b")))).where("a IS NOT NULL AND b IS NOT NULL")
+    p = tb(spark, sf, "events").groupBy("user_id").agg(*(st.exact_mean(F.when(F.col("event_type") == k, F.col("value"))).alias(n) for k, n in (("click", "a"), ("view", "b")))).where("a IS NOT NULL AND b IS NOT NULL")
     won = F.when(F.abs(F.col("a") - F.col("b")) < 5, "tie").when(F.col("a") > F.col("b"), "a").otherwise("b")
     x = p.groupBy(won.alias("winner")).agg(F.count("*").alias("n"))
     return x.crossJoin(F.broadcast(x.agg(F.sum("n").alias("all")))).select("winner", "n", F.round(100.0 * F.col("n") / F.col("all"), 6).alias("percent"))  # three rows by one

@@ -96,3 +96,10 @@ def events(spark, path, rows):
 def test_arg_max_takes_the_first_of_equals(spark, tmp_path):
     sf = events(spark, tmp_path, [(1, 1, "a", 2.0), (3, 1, "a", 7.0), (5, 1, "a", 7.0), (9, 1, "a", 7.0), (11, 1, "a", None), (2, 2, "a", None)])
     assert sorted(map(tuple, QUERIES["srt05_arg_max"](spark, sf).collect())) == [(1, 3, 7.0), (2, None, None)]
+
+
+@pytest.mark.parametrize("order", [(2.63, 5.52, 6.85), (6.85, 5.52, 2.63)])
+def test_wins_do_not_depend_on_the_order_of_rows(spark, tmp_path, order):
+    """The mean of the clicks is five, which is no tie; added one after another they come to less."""
+    sf = events(spark, tmp_path, [(0, 1, "view", 0.0), *((i, 1, "click", v) for i, v in enumerate(order, 1)), (8, 2, "view", 1e300), (9, 2, "click", None), (10, 3, "view", 1e300), (11, 3, "click", 1.0)])
+    assert sorted(map(tuple, QUERIES["ag50_wins"](spark, sf).collect())) == [("a", 1, 50.0), ("b", 1, 50.0)]
