@@ -71,6 +71,21 @@ def held(points: DataFrame, spans: DataFrame, keys: list[str], time: str, start:
     return spread.join(covered, [*keys, "_level", "_b"]).where((F.col(time) >= F.col(start)) & (F.col(time) < F.col(end))).drop("_level", "_b")
 
 
+def paired(left: DataFrame, right: DataFrame, left_key: str, right_key: str, at_once: int = 1 << 25) -> DataFrame:
+    """All pairs of rows of equal keys, however few the keys: those of a key are dealt into cells, the left rows of one against the right rows of one, so that a task
+    makes about ``at_once`` pairs. There are as many pairs as there are, only no task has more of them than others."""
+    cell, side = max(at_once // 4, 1), 1 << 16
+    n = left.groupBy(F.col(left_key).alias("_k")).agg(F.count("*").alias("_l")).join(right.groupBy(F.col(right_key).alias("_k")).agg(F.count("*").alias("_r")), "_k")
+    total = n.agg(F.sum(F.expr("_l * _r"))).first()[0] or 0
+    tasks = max(left.sparkSession.sparkContext.defaultParallelism, -(-total // at_once))
+    n = n.select("_k", F.ceil(F.col("_l") * F.least("_r", F.lit(side)) / cell).alias("_lefts"), F.ceil(F.col("_r") / side).alias("_rights"))
+    dealt = lambda df, of: F.pmod(F.xxhash64(*df.columns), F.col(of)).cast("long")
+    every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of).cast("long") - 1))
+    x = left.withColumn("_k", F.col(left_key)).join(n, "_k").select("_k", dealt(left, "_lefts").alias("_a"), every("_rights").alias("_b"), *left.columns).repartition(tasks, "_k", "_a", "_b")
+    y = right.withColumn("_k", F.col(right_key)).join(n, "_k").select("_k", every("_lefts").alias("_a"), dealt(right, "_rights").alias("_b"), *right.columns).repartition(tasks, "_k", "_a", "_b")
+    return x.join(y, ["_k", "_a", "_b"]).drop("_k", "_a", "_b")
+
+
 def with_default(facts: DataFrame, dimension: DataFrame, key: Column, dim_key: str, value: str, default: Column) -> DataFrame:
     """facts with a looked-up value; an exact key first, then its lower-case form, then the default. AQE broadcasts a small dimension."""
     d = dimension.select(F.col(dim_key).alias("_k1"), F.col(value).alias("_v1"))

@@ -139,7 +139,7 @@ def _(spark, sf):
 @query("jn09_by_alias", """SELECT p.p_partkey, s.s_suppkey FROM part p JOIN supplier s ON p.p_size = s.s_nationkey""")
 def _(spark, sf):
     p, s = tb(spark, sf, "part").select("p_partkey", "p_size"), tb(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
-    return p.join(s, p.p_size == s.s_nationkey).select("p_partkey", "s_suppkey")
+    return tm.paired(p, s, "p_size", "s_nationkey").select("p_partkey", "s_suppkey")
 
 
 @query("jn14_group_or_global", """WITH g AS (SELECT label, var_pop(v) AS v FROM (SELECT label, CAST(embedding[1] AS DOUBLE) AS v FROM embeddings) WHERE label < 3 GROUP BY 1), a AS (SELECT var_pop(CAST(embedding[1] AS DOUBLE)) AS v FROM embeddings)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import scalars
 from seqloom.operators import augment, banks, reports, spectra
 from seqloom.operators import sequence as seq
+from seqloom.operators import temporal
 from seqloom.operators import timing as tm
 from seqloom.plans import fields  # noqa: F401  fills the catalogue
 from seqloom.plans.catalogue import QUERIES
@@ -103,3 +104,12 @@ def test_wins_do_not_depend_on_the_order_of_rows(spark, tmp_path, order):
     """The mean of the clicks is five, which is no tie; added one after another they come to less."""
     sf = events(spark, tmp_path, [(0, 1, "view", 0.0), *((i, 1, "click", v) for i, v in enumerate(order, 1)), (8, 2, "view", 1e300), (9, 2, "click", None), (10, 3, "view", 1e300), (11, 3, "click", 1.0)])
     assert sorted(map(tuple, QUERIES["ag50_wins"](spark, sf).collect())) == [("a", 1, 50.0), ("b", 1, 50.0)]
+
+
+def test_pairs_of_one_key_are_dealt_out(spark):
+    x = spark.createDataFrame([*((i, 1) for i in range(300)), (900, 2), (901, None)], "a long, k int")
+    y = spark.createDataFrame([*((i, 1) for i in range(200)), *((i, 2) for i in range(3)), (7, None), (8, 5)], "b long, j int")
+    got = temporal.paired(x, y, "k", "j", at_once=2000).select("a", "b")
+    assert got.distinct().count() == got.count() == 300 * 200 + 3
+    assert got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 12_000  # of one task; all of a key's before
+    assert temporal.paired(x.limit(0), y, "k", "j").isEmpty()
