@@ -1,5 +1,7 @@
 """Operators that no query over the tables reaches: files of banks, odd rows, driver utilities."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -113,3 +115,29 @@ def test_pairs_of_one_key_are_dealt_out(spark):
     assert got.distinct().count() == got.count() == 300 * 200 + 3
     assert got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 12_000  # of one task; all of a key's before
     assert temporal.paired(x.limit(0), y, "k", "j").isEmpty()
+
+
+def test_control_limits_of_odd_rows(spark):
+    rng = np.random.default_rng(3)
+    times = [None, None, *map(int, rng.integers(-300, 300, 120))]
+    rows = [(i, [None, "a", "b"][i % 3], t, None if i % 7 == 0 else float(round(v, 2))) for i, (t, v) in enumerate(zip(times, rng.normal(50, 20, len(times)), strict=True))]
+    schema = "i long, k string, t long, v double"
+
+    def check(rows):
+        got = seq.control_limits(spark.createDataFrame(rows, schema).repartition(3), ["k"], "t", "v", 100).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            near = [v for _, k, t, v in rows if k == r.k and v is not None and (t is None if r.t is None else t is not None and r.t - 100 <= t <= r.t)]
+            assert r.mean_before is None if not near else np.isclose(r.mean_before, np.mean(near)), r
+            group = [v for _, k, _, v in rows if k == r.k and v is not None]
+            assert r.out is None if r.v is None else r.out == (abs(r.v - np.mean(group)) > 3 * np.std(group, ddof=1))
+
+    check(rows)
+    check([*rows, (999, "b", 5, 1e200)])
+
+
+def test_control_limits_do_not_add_up_a_span_for_each_row(spark):
+    x = spark.range(150_000).selectExpr("1 AS k", "id AS t", "CAST(id % 10 AS DOUBLE) AS v")
+    began = time.time()
+    assert seq.control_limits(x, ["k"], "t", "v", 200_000).agg(F.sum("mean_before")).first()[0] > 0
+    assert time.time() - began < 20
