@@ -13,8 +13,9 @@ SAMPLES = 8
 
 
 def _stream(spark, df, time, parts=3):
-    """df as a stream of one file at a time."""
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(places.feed(df, time, parts))
+    """df as a stream of one span of its time at a time."""
+    files = places.files_for(df, parts)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(places.feed(df, time, parts, files=files))
 
 
 def ramp(batch: pa.RecordBatch) -> np.ndarray:

@@ -164,3 +164,19 @@ def test_normaliser_does_not_depend_on_batches(spark):
             assert r.n == want[k].n and (r.n == 0 or np.isclose(r["mean"], want[k].m, rtol=1e-12) and np.isclose(r.variance, want[k].v, rtol=1e-8))
     z = kept.scaled(df.where("k = 'a'")).agg(F.avg("scaled").alias("m"), F.var_pop("scaled").alias("v")).first()
     assert abs(z.m) < 1e-6 and abs(z.v - 1) < 1e-6
+
+
+def test_spans_of_several_files_come_one_at_a_time(spark):
+    """The second span has a row alone, so files of it stay empty; batches keep to their spans."""
+    df = spark.createDataFrame([*((i, float(i % 7)) for i in range(200)), (500, 1.0), *((i, 2.0) for i in range(800, 1001))], FRAME).repartition(5)
+    path = places.feed(df, "id", 3, files=4)
+    assert len(spark.read.parquet(path).inputFiles()) == 12
+    got = {}
+
+    def keep(batch, number):
+        got[number] = sorted(r.id for r in batch.collect())
+
+    stream = spark.readStream.schema(FRAME).option("maxFilesPerTrigger", 4).parquet(path)
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", places.folder(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    assert [got[n] for n in sorted(got)] == [[*range(200)], [500], [*range(800, 1001)]]
+    assert places.files_for(df, 3) == 1
