@@ -191,3 +191,11 @@ def test_silence_is_laid_side_by_side(spark, tmp_path):
     few = policies.filled(x, ["k"], "at", "v", together=3, at_once=1000)
     assert few.exceptAll(got).isEmpty() and got.exceptAll(few).isEmpty()
     assert policies.filled(x.where("k < 0"), ["k"], "at", "v").isEmpty()
+
+
+def test_a_long_silence_is_dealt_to_many_tasks(spark):
+    x = spark.createDataFrame([(1, 0, 2.0), (1, 1_000_000, None), (2, 7, 1.0), (None, None, 3.0)], "k int, at long, v double")
+    got = policies.filled(x, ["k"], "at", "v", at_once=1 << 16)
+    assert sorted(map(tuple, got.where("NOT padded").collect())) == [(1, 0, 2.0, False), (1, 1_000_000, 0.0, False), (2, 7, 1.0, False)]
+    assert got.count() == got.select("k", "at").distinct().count() == 1_000_002 and got.agg(F.sum("v")).first()[0] == 3
+    assert got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 150_000  # of one task; half of the silence before
